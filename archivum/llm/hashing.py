@@ -56,10 +56,13 @@ def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield lo, len(texts), part
 
 
-def words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of lower-cased texts, each text's first word's place (with the end), and bytes, starts, ends."""
+def words(part: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of lower-cased texts, each text's first word's place (with the end), and bytes, starts, ends.
+
+    ``space`` says which bytes stand between words; a blank always does.
+    """
     buf = np.frombuffer(b" ".join(part).lower() + b" ", np.uint8)
-    gap = _SPACE[buf]
+    gap = space[buf]
     edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
     if not gap[0]:
         edge = np.concatenate(([0], edge))
@@ -73,6 +76,7 @@ def words(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     place[starts[0] :] -= np.repeat(starts, np.diff(np.append(starts, len(buf))))
     place[gap] = 0
     value = _BYTE[buf] * _powers(longest + 1)[place]
+    value[gap] = 0
     return mix(np.add.reduceat(value, starts)), at, buf, starts, ends
 
 
