@@ -41,3 +41,9 @@ def semi_join(big: DataFrame, ids: DataFrame, key: str, rows: int = BROADCAST_RO
 def training_row(doc_id: str = "doc_id", held_out: int = 0):
     """True where crc32 of the id as text, mod 5, isn't ``held_out`` (rows without an id count as training rows)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != held_out, F.lit(True))
+
+
+def anti_join(big: DataFrame, ids: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``big`` whose ``key`` isn't in ``ids``; as ``semi_join``."""
+    few = ids.limit(rows + 1).count() <= rows
+    return big.join(F.broadcast(ids) if few else ids, key, "left_anti")
