@@ -1,21 +1,220 @@
-"""The queries of the library's operators on the driver's tables, and their SQL."""
+"""The queries of the library's operators on the driver's tables, each with its SQL where SQL can express it."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from archivum.functions import mail
+from archivum.operators import analytics as an
+from archivum.operators import search as se
 
-def _top_senders(spark: SparkSession, d: str) -> DataFrame:
-    orders = spark.read.parquet(f"{d}/orders.parquet")
-    return orders.groupBy(F.col("o_custkey").alias("sender")).agg(F.count("*").alias("messages")).orderBy(F.desc("messages"), "sender").limit(20)
+_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f):
+        _Q[name] = (f, sql)
+        return f
+
+    return keep
+
+
+def _t(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+@_query("a01_count_and_span", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_custkey) AS senders FROM orders WHERE o_orderstatus = 'F'")
+def _(s, d):
+    return _t(s, d, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.countDistinct("o_custkey").alias("senders"))
+
+
+@_query("a04_top_senders", "SELECT o_custkey AS sender, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, sender LIMIT 20")
+def _(s, d):
+    return an.top_k(_t(s, d, "orders").withColumnRenamed("o_custkey", "sender"), "sender", 20)
+
+
+@_query("a06_sender_rollups", "SELECT o_custkey AS sender, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(o_orderdate) AS latest FROM orders GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "orders").groupBy(F.col("o_custkey").alias("sender")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("o_orderdate").alias("latest"))
+
+
+@_query("a10_monthly_volume", "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
+@_query("a11_type_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@_query("a13_size_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN b < 1024 THEN '<1 KB' WHEN b < 10240 THEN '1-10 KB' WHEN b < 102400 THEN '10-100 KB' WHEN b < 1048576 THEN '100 KB-1 MB' ELSE '>1 MB' END AS bucket FROM (SELECT octet_length(encode(text)) AS b FROM documents)) GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "documents").groupBy(mail.size_bucket(F.octet_length("text")).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@_query("a14_heatmap", "SELECT CAST(w AS INTEGER) AS weekday, CAST(k AS INTEGER) AS slot, coalesce(n, 0) AS n FROM range(1, 8) a(w) CROSS JOIN range(0, 8) b(k) LEFT JOIN (SELECT dayofweek(ts) + 1 AS w2, hour(ts) // 3 AS k2, count(*) AS n FROM events GROUP BY 1, 2) ON w = w2 AND k = k2")
+def _(s, d):
+    return an.heatmap(_t(s, d, "events"), "ts")
+
+
+@_query("a15_pair_volume", "SELECT least(o_custkey, l_suppkey) AS one, greatest(o_custkey, l_suppkey) AS other, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2")
+def _(s, d):
+    return an.pair_volume(_t(s, d, "orders").join(_t(s, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("o_orderkey") == F.col("l_orderkey")), "o_custkey", "l_suppkey")
+
+
+@_query("a16_hours", "SELECT CAST(h AS INTEGER) AS hour, coalesce(n, 0) AS n FROM range(0, 24) a(h) LEFT JOIN (SELECT hour(ts) AS k, count(*) AS n FROM events GROUP BY 1) ON h = k")
+def _(s, d):
+    found = _t(s, d, "events").groupBy(F.hour("ts").alias("hour")).agg(F.count("*").alias("n"))
+    return s.range(24).select(F.col("id").cast("int").alias("hour")).join(F.broadcast(found), "hour", "left").select("hour", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("a17_running_stat", "SELECT event_type, count(value) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "events").groupBy("event_type").agg(F.count("value").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("low"), F.max("value").alias("high"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@_query("a18_top_with_rest", "WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY 1), t AS (SELECT * FROM c ORDER BY n DESC, user_id LIMIT 10) SELECT user_id, CAST(1 AS BIGINT) AS keys, n FROM t UNION ALL SELECT NULL, count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM c WHERE user_id NOT IN (SELECT user_id FROM t)")
+def _(s, d):
+    return an.top_k_with_rest(_t(s, d, "events"), "user_id", 10)
+
+
+@_query("w01_spikes", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), r AS (SELECT day, n, CASE WHEN row_number() OVER (ORDER BY day) > 7 AND count(*) OVER () >= 8 THEN n / avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) END AS ratio FROM d) SELECT day, n, round(ratio, 6) AS ratio, coalesce(ratio > 2, false) AS spike FROM r")
+def _(s, d):
+    return an.spikes(an.daily(_t(s, d, "events"), "ts")).withColumn("ratio", F.round("ratio", 6))
+
+
+@_query("w02_gaps", "WITH g AS (SELECT user_id, ts AS until, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS since FROM events), k AS (SELECT *, date_diff('microsecond', since, until) / 86400000000.0 AS days FROM g WHERE since IS NOT NULL), z AS (SELECT user_id, avg(days) AS m, stddev_pop(days) AS sd, count(*) AS c FROM k GROUP BY 1) SELECT user_id, since, until, round(days, 6) AS days FROM k JOIN z USING (user_id) WHERE c + 1 >= 10 AND days > m + 3 * sd AND days > 3")
+def _(s, d):
+    return an.gaps(_t(s, d, "events"), "user_id", "ts").withColumn("days", F.round("days", 6))
+
+
+@_query("w05_bursts", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT avg(n) AS mean, count(*) AS days FROM d) SELECT day, n, round(mean, 6) AS mean FROM d, m WHERE days >= 7 AND n > 2 * mean")
+def _(s, d):
+    return an.bursts(an.daily(_t(s, d, "orders"), "o_orderdate"), 2.0).withColumn("mean", F.round("mean", 6))
+
+
+@_query("w06_trend", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1), x AS (SELECT CAST(row_number() OVER (ORDER BY day) AS DOUBLE) AS x, CAST(n AS DOUBLE) AS y FROM d), t AS (SELECT regr_slope(y, x) AS slope, avg(y) AS mean, stddev_pop(y) AS sd FROM x) SELECT round(coalesce(slope, 0) / greatest(1, mean), 8) AS rate, CASE WHEN slope / greatest(1, mean) > 0.1 THEN 'increasing' WHEN slope / greatest(1, mean) < -0.1 THEN 'decreasing' WHEN sd / mean > 0.5 THEN 'volatile' ELSE 'stable' END AS direction FROM t")
+def _(s, d):
+    return an.trend(an.daily(_t(s, d, "events"), "ts")).withColumn("rate", F.round("rate", 8))
+
+
+@_query("w08_new_senders", "SELECT o_custkey AS sender, min(o_orderdate) AS first, count(*) AS n FROM orders GROUP BY 1 HAVING min(o_orderdate) >= TIMESTAMP '1999-01-01'")
+def _(s, d):
+    return an.new_since(_t(s, d, "orders").withColumnRenamed("o_custkey", "sender"), "sender", "o_orderdate", F.lit("1999-01-01").cast("timestamp_ntz"))
+
+
+@_query("w09_thread_positions", "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, CAST(count(*) OVER (PARTITION BY conv_id) AS BIGINT) AS size FROM conversations")
+def _(s, d):
+    w = Window.partitionBy("conv_id")
+    return _t(s, d, "conversations").select("conv_id", "turn", F.row_number().over(w.orderBy("turn")).alias("place"), F.count("*").over(w).alias("size"))
+
+
+@_query("w13_cadence", "SELECT o_custkey AS sender, CASE WHEN g < 2 THEN 'daily' WHEN g < 10 THEN 'weekly' WHEN g < 35 THEN 'monthly' ELSE 'rare' END AS cadence FROM (SELECT o_custkey, date_diff('microsecond', min(o_orderdate), max(o_orderdate)) / 86400000000.0 / (count(*) - 1) AS g FROM orders GROUP BY 1 HAVING count(*) >= 2)")
+def _(s, d):
+    g = _t(s, d, "orders").groupBy(F.col("o_custkey").alias("sender")).agg((F.timestamp_diff("MICROSECOND", F.min("o_orderdate"), F.max("o_orderdate")) / 86_400_000_000).alias("span"), F.count("*").alias("n")).where("n >= 2")
+    gap = F.col("span") / (F.col("n") - 1)
+    return g.select("sender", F.when(gap < 2, "daily").when(gap < 10, "weekly").when(gap < 35, "monthly").otherwise("rare").alias("cadence"))
+
+
+def _messages(s: SparkSession, d: str) -> DataFrame:
+    """Orders as messages: sender, type, date and attachments (lines)."""
+    lines = _t(s, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.col("l_partkey").cast("string")).alias("attachments"))
+    o = _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    o = o.select(F.col("o_orderkey").alias("id"), F.col("c_name").alias("sender"), F.col("c_mktsegment").alias("subject"), F.col("o_orderpriority").alias("message_type"), F.col("o_orderdate").alias("ts"))
+    return o.join(lines, "id", "left")
+
+
+@_query("f25_operator_search", "SELECT o_orderkey AS id, c_name AS sender, o_orderdate AS ts FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment ILIKE '%machin%' AND o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-06-01' AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45) AND NOT c_name ILIKE '%77%'")
+def _(s, d):
+    return se.search(_messages(s, d), "subject:machin has:attachment after:1998-01-01 before:06/01/1999 -from:77", "subject").select("id", "sender", "ts")
+
+
+@_query("f28_boolean_text", r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])idiot') OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])scum')) AND NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])clown')")
+def _(s, d):
+    return se.search(_t(s, d, "documents"), "idiot OR scum -clown", "text").select("doc_id")
+
+
+@_query("f21_confirmed_unresolved", "SELECT doc_id, CASE WHEN l.toxic IS NULL THEN 'unresolved' ELSE 'confirmed' END AS answer FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.toxic IS NULL OR (d.lang = 'en' AND NOT coalesce(l.toxic = 1, false))")
+def _(s, d):
+    df = _t(s, d, "documents").select("doc_id", "lang").join(_t(s, d, "labels"), "doc_id", "left")
+    groups = [se.Group("all", [[se.Condition(F.col("lang") == "en")]]), se.Group("exclude", [[se.Condition(F.col("toxic") == 1, reads_text=True)]])]
+    yes, open_ = se.confirm(df, groups, F.col("toxic").isNotNull())
+    return yes.select("doc_id", F.lit("confirmed").alias("answer")).unionByName(open_.select("doc_id", F.lit("unresolved").alias("answer")))
+
+
+@_query("f31_regex_search", r"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)\bth[a-z]*tion\b')")
+def _(s, d):
+    return _t(s, d, "documents").where(F.col("text").rlike(r"(?i)\bth[a-z]*tion\b")).select("doc_id")
+
+
+@_query("j04_only_in_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def _(s, d):
+    return _t(s, d, "customer").join(_t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@_query("j05_semi", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
+def _(s, d):
+    return _t(s, d, "supplier").join(_t(s, d, "lineitem").where("l_quantity >= 50"), F.col("s_suppkey") == F.col("l_suppkey"), "left_semi").select("s_suppkey", "s_name")
+
+
+@_query("j12_nearest", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])), 6) AS similarity FROM embeddings, q) SELECT vec_id, similarity FROM s ORDER BY similarity DESC, vec_id LIMIT 10")
+def _(s, d):
+    e = _t(s, d, "embeddings")
+    return an.nearest(e, "vec_id", "embedding", e.where("vec_id = 0").first()["embedding"], 10)
+
+
+@_query("t01_exact_duplicates", "SELECT doc_id, count(*) OVER (PARTITION BY sha256(text)) AS copies, doc_id = min(doc_id) OVER (PARTITION BY sha256(text)) AS kept FROM documents")
+def _(s, d):
+    docs = _t(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    return an.exact_duplicates(docs, ["sha"], ["doc_id"]).select("doc_id", "copies", "kept")
+
+
+@_query("t12_compare", "WITH a AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), b AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01') SELECT o_custkey, CAST(nth AS INTEGER) AS nth, CASE WHEN a.nth IS NULL THEN 'b' WHEN b.nth IS NULL THEN 'a' ELSE 'both' END AS side FROM a FULL OUTER JOIN b USING (o_custkey, nth)")
+def _(s, d):
+    o = _t(s, d, "orders")
+    cut = F.lit("1997-01-01").cast("timestamp_ntz")
+    return an.compare(o.where(F.col("o_orderdate") < cut), o.where(F.col("o_orderdate") >= cut), "o_custkey", "o_orderkey")
+
+
+@_query("t13_personal_data", "SELECT doc_id, len(regexp_extract_all(text, '" + mail.PATTERNS["email"] + "')) AS emails, len(regexp_extract_all(text, '" + mail.PATTERNS["ipv4"] + "')) AS addresses FROM documents")
+def _(s, d):
+    return _t(s, d, "documents").select("doc_id", F.size(mail.findings(F.col("text"), "email")).cast("long").alias("emails"), F.size(mail.findings(F.col("text"), "ipv4")).cast("long").alias("addresses"))
+
+
+@_query("t14_keyword_sweep", "SELECT w AS word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS hits FROM (SELECT w, len(regexp_extract_all(lower(text), w)) AS n FROM documents, (VALUES ('idiot'), ('license'), ('the')) v(w)) WHERE n > 0 GROUP BY 1")
+def _(s, d):
+    words = F.explode(F.array(*[F.lit(w) for w in ("idiot", "license", "the")]))
+    rows = _t(s, d, "documents").select(F.lower("text").alias("text"), words.alias("word")).withColumn("n", F.regexp_count("text", F.col("word")))
+    return rows.where("n > 0").groupBy("word").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("hits"))
+
+
+@_query("x07_index_text", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS text_md5 FROM pages")
+def _(s, d):
+    return _t(s, d, "pages").select("page_id", F.md5(mail.index_text(F.col("html")).cast("binary")).alias("text_md5"))
+
+
+@_query("x20_redact", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '" + mail.PATTERNS["email"] + "', '[EMAIL]', 'g'), '" + mail.PATTERNS["ssn"] + "', '[SSN]', 'g'), '" + mail.PATTERNS["ipv4"] + "', '[IPV4]', 'g')) AS redacted FROM documents")
+def _(s, d):
+    return _t(s, d, "documents").select("doc_id", F.md5(mail.redact(F.col("text")).cast("binary")).alias("redacted"))
+
+
+@_query("o02_bm25", r"WITH w AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+') IF x <> ''] AS w FROM documents), r AS (SELECT doc_id, len(w) AS dl, len([x FOR x IN w IF x = 'idiot']) AS a, len([x FOR x IN w IF x = 'scum']) AS b FROM w), t AS (SELECT count(*) AS n, avg(dl) AS av, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM r), z AS (SELECT doc_id, round(ln(1 + (n - da + 0.5) / (da + 0.5)) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / av)) + ln(1 + (n - db + 0.5) / (db + 0.5)) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / av)), 6) AS score FROM r, t) SELECT doc_id, score FROM z WHERE score > 0")
+def _(s, d):
+    return an.bm25(_t(s, d, "documents"), "doc_id", "text", ["idiot", "scum"])
+
+
+@_query("s10_keyset_page", "SELECT event_id, ts FROM events WHERE ts < TIMESTAMP '2024-01-15' OR (ts = TIMESTAMP '2024-01-15' AND event_id < 5000) ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(s, d):
+    return an.keyset_page(_t(s, d, "events").select("event_id", "ts"), "ts", "event_id", 50, ("2024-01-15", 5000))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"a04_top_senders": _top_senders}
+    return {k: f for k, (f, _) in _Q.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"a04_top_senders": "SELECT o_custkey AS sender, count(*) AS messages FROM orders GROUP BY 1 ORDER BY messages DESC, sender LIMIT 20"}
+    return {k: sql for k, (_, sql) in _Q.items() if sql}
