@@ -20,7 +20,7 @@ _BYTE[_SPACE] = 0
 _BASE = 0x9E3779B97F4A7C15
 _STEP = _rng.integers(1, 2**64 - 1, 8, dtype=U) | U(1)
 _SHORT = _rng.integers(1, 2**64 - 1, 8, dtype=U)
-_POWERS = np.ones(64, U)
+_POWERS = np.ones(1, U)  # grows as longer words come
 
 
 def mix(x: np.ndarray) -> np.ndarray:
