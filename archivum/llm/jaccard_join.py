@@ -26,6 +26,9 @@ from archivum.llm.hashing import U, chunks, mix, shingles, words
 
 #: Upper sizes of the bands grow by this factor.
 BAND = 1.6
+#: Keys with so many nodes are tried with further centres before their nodes are compared in blocks.
+CROWD = 8
+CENTRES = 3
 #: Nodes of one key that a task compares with each other; larger groups are dealt out as pairs of blocks.
 BLOCK = 2048
 
@@ -224,8 +227,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = materialize(_links(stars, details), "links")
     labels = connected_components(links)
 
-    apart = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_keys = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.countDistinct("node").alias("size")).where("lo != hi").select("key", "size")
+    def open_rows(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(key, node, label) of all shared keys, and (key, size) of those whose nodes lie in several components."""
+        apart = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+        several = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.countDistinct("node").alias("size")).where("lo != hi")
+        return apart, several.select("key", "size")
+
+    for turn in range(CENTRES):  # the same order of nodes at every key, so that few different pairs arise
+        apart, open_keys = open_rows(labels)
+        crowd = apart.join(open_keys.where(F.col("size") >= CROWD).select("key"), "key")
+        chosen = crowd.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("label").alias("other")), F.xxhash64(F.lit(turn), "node")).alias("c")).select("key", "c.*")
+        pairs = materialize(crowd.join(chosen, "key").where("label != other").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "centres")
+        if not pairs.limit(1).count():
+            break
+        more = materialize(_links(pairs, details), "links")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        labels = connected_components(links)
+
+    apart, open_keys = open_rows(labels)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = apart.join(open_keys, "key").join(details.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
