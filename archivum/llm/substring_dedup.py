@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,113 +107,153 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, around, doc_id, at): up to SIDE bytes before the anchor, the anchor, up to SIDE behind; first byte: how many before."""
     z = zstandard.ZstdDecompressor()
+
+    def found(docs: list[int], texts: list[bytes], keys: list[np.ndarray]) -> pa.RecordBatch:
+        text, at, key = anchors(texts)
+        # a key counts only in the text that it was asked for
+        asked = mix(np.concatenate(keys).view(U)) + mix(np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(U) + U(1))
+        rows = np.flatnonzero(np.isin(mix(key) + mix(text.astype(U) + U(1)), asked))
+        spots = at[rows].tolist()
+        around = [bytes((min(a, SIDE),)) + texts[t][max(0, a - SIDE) : a + GRAM + SIDE] for t, a in zip(text[rows].tolist(), spots, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(around, pa.binary()), pa.array(np.array(docs)[text[rows]]), pa.array(spots, pa.int32())], ["key", "around", "doc_id", "at"])
+
     for batch in batches:
-        for doc, body, keys in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), batch.column("keys"), strict=True):
+        docs, texts, keys, size = [], [], [], 0
+        for doc, body, own in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), batch.column("keys"), strict=True):
             text = z.decompress(body)
-            _, at, key = anchors([text])
-            rows = np.flatnonzero(np.isin(key.view(np.int64), keys.values.to_numpy()))
-            spots = at[rows].tolist()
-            around = [bytes((min(a, SIDE),)) + text[max(0, a - SIDE) : a + GRAM + SIDE] for a in spots]
-            yield pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(around, pa.binary()), pa.array(np.full(len(rows), doc)), pa.array(spots, pa.int32())], ["key", "around", "doc_id", "at"])
+            if texts and size + len(text) > 1 << 20:
+                yield found(docs, texts, keys)
+                docs, texts, keys, size = [], [], [], 0
+            docs.append(doc)
+            texts.append(text)
+            keys.append(own.values.to_numpy())
+            size += len(text)
+        if texts:
+            yield found(docs, texts, keys)
 
 
 _OUT = "doc_id long, lo int, hi int, window binary"
 
 
+def _rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: list[bytes] | None = None) -> pa.RecordBatch:
+    last = pa.nulls(len(doc), pa.binary()) if window is None else pa.array(window, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), last], ["doc_id", "lo", "hi", "window"])
+
+
+def _judge(group: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[bytes]) -> pa.RecordBatch | None:
+    """Groups of several kinds of surroundings: sort the suffixes at each possible window and cut what a smaller id has."""
+    bodies = [a[1:] for a in around]
+    size = np.array([len(b) for b in bodies])
+    base = np.concatenate(([0], np.cumsum(size)))
+    before = np.array([a[0] for a in around])
+    kind, shift = np.divmod(np.arange(len(around) * (SIDE + 1)), SIDE + 1)  # the window starts ``shift`` bytes before the anchor
+    ok = (shift <= before[kind]) & (before[kind] - shift + LENGTH <= size[kind])
+    kind, shift = kind[ok], shift[ok]
+    segment = group[kind] * (SIDE + 1) + shift
+    order = np.argsort(segment, kind="stable")
+    kind, shift, segment = kind[order], shift[order], segment[order]
+    sorter = SuffixSorter(np.frombuffer(b"".join(bodies), np.uint8), LENGTH)
+    order, equal = sorter.groups(base[kind] + before[kind] - shift, segment)
+    if not len(order):
+        return None
+    owner = doc[kind[order]]
+    least = np.full(int(equal[-1]) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, equal, owner)
+    hit = order[least[equal] < owner]
+    if not len(hit):
+        return None
+    hit = hit[np.lexsort((-shift[hit], kind[hit]))]
+    k, s = kind[hit], at[kind[hit]] - shift[hit]
+    cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] - s[:-1] > LENGTH))))
+    last = np.append(cut[1:], len(k)) - 1
+    return _rows(doc[k[cut]], s[cut], s[last] + LENGTH)
+
+
+def _as_windows(table: pa.Table) -> pa.RecordBatch:
+    """Every window of some surroundings with its bytes, to be judged by a shuffle."""
+    doc, lo, window = [], [], []
+    for a, d, at in zip(*(table.column(c).to_pylist() for c in ("around", "doc_id", "at")), strict=True):
+        for i in range(len(a) - LENGTH):
+            doc.append(d)
+            lo.append(at - a[0] + i)
+            window.append(a[1 + i : 1 + i + LENGTH])
+    return _rows(np.array(doc, np.int64), np.array(lo, np.int64), np.array(lo, np.int64) + LENGTH, window)
+
+
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, around, doc_id, at) -> spans to remove, or windows (with their bytes) that are still to be judged."""
-    docs: list[int] = []
-    los: list[int] = []
-    his: list[int] = []
-    windows: list[bytes | None] = []
-
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), pa.array(windows, pa.binary())], ["doc_id", "lo", "hi", "window"])
-        for x in (docs, los, his, windows):
-            x.clear()
-        return out
-
-    def remove(doc: int, lo: int, hi: int, window: bytes | None = None) -> None:
-        docs.append(doc)
-        los.append(lo)
-        his.append(hi)
-        windows.append(window)
-
-    #: Kinds of surroundings of the open groups: (group number, around, smallest doc, its places).
-    kinds: list[tuple[int, bytes, int, list[int]]] = []
-
-    def judge(rows: list[tuple[int, bytes, int, list[int]]]) -> None:
-        """Groups of at least two kinds: sort the suffixes of each group's windows."""
-        if len(rows) < 2:
-            return
-        bodies = [r[1][1:] for r in rows]
-        base = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
-        before = np.array([r[1][0] for r in rows])
-        group, owner = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
-        size = np.diff(base)
-        kind, shift = np.divmod(np.arange(len(rows) * (SIDE + 1)), SIDE + 1)  # the window starts ``shift`` bytes before the anchor
-        ok = (shift <= before[kind]) & (before[kind] - shift + LENGTH <= size[kind])
-        kind, shift = kind[ok], shift[ok]
-        order = np.lexsort((kind, group[kind] * (SIDE + 1) + shift))
-        kind, shift = kind[order], shift[order]
-        segment = group[kind] * (SIDE + 1) + shift
-        starts = base[kind] + before[kind] - shift
-        sorter = SuffixSorter(np.frombuffer(b"".join(bodies), np.uint8), LENGTH)
-        order, equal = sorter.groups(starts, segment)
-        least = np.full(int(equal[-1]) + 1 if len(equal) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, equal, owner[kind[order]])
-        hit = order[least[equal] < owner[kind[order]]]
-        if not len(hit):
+    """Rows sorted by (key, around, doc_id, at) -> spans to remove, or windows (with their bytes) that are still to be judged.
+
+    A task holds the rows of one batch and what it still needs of the open key: a row for each different surroundings,
+    HELD at most; a key with more goes on window by window.
+    """
+
+    def collapse(table: pa.Table) -> tuple[pa.Table, np.ndarray, pa.RecordBatch]:
+        """Rows of the smallest document of each kind of surroundings, with the kinds' numbers; and what others lose."""
+        key, doc, at = (table.column(c).to_numpy() for c in ("key", "doc_id", "at"))
+        around = table.column("around").combine_chunks()
+        size = pc.binary_length(around).to_numpy()
+        same = np.concatenate(([False], (key[1:] == key[:-1]) & pc.equal(around[1:], around[:-1]).to_numpy(zero_copy_only=False)))
+        kind = np.cumsum(~same) - 1
+        own = doc == doc[np.flatnonzero(~same)][kind]
+        late = np.flatnonzero(~own)
+        first = np.frombuffer(around.buffers()[2], np.uint8)[np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around)]] if len(around) else np.zeros(0, np.uint8)
+        lo = at[late] - first[late].astype(np.int64)
+        rows = np.flatnonzero(own)
+        return table.take(pa.array(rows)), kind[rows], _rows(doc[late], lo, lo + size[late] - 1)
+
+    def finish(table: pa.Table, wide: int | None) -> Iterator[pa.RecordBatch]:
+        table, kind, lost = collapse(table)
+        yield lost
+        key = table.column("key").to_numpy()
+        if wide is not None and len(key) and key[0] == wide:
+            n = int(np.searchsorted(key != wide, True)) if (key != wide).any() else len(key)
+            yield _as_windows(table.slice(0, n))
+            table, kind, key = table.slice(n), kind[n:], key[n:]
+        if not len(key):
             return
-        hit = hit[np.lexsort((-shift[hit], kind[hit]))]
-        k, s = kind[hit], -shift[hit]
-        cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] - s[:-1] > LENGTH))))
-        last = np.append(cut[1:], len(k)) - 1
-        for i, j in zip(cut.tolist(), last.tolist(), strict=True):
-            r = rows[k[i]]
-            for at in r[3]:
-                remove(r[2], at + int(s[i]), at + int(s[j]) + LENGTH)
-
-    def as_windows(rows: list[tuple[int, bytes, int, list[int]]]) -> None:
-        for _, around, doc, places in rows:
-            before, body = around[0], around[1:]
-            for lo in range(len(body) - LENGTH + 1):
-                for at in places:
-                    remove(doc, at - before + lo, at - before + lo + LENGTH, body[lo : lo + LENGTH])
-
-    key = around = None
-    number, owner, wide = 0, 0, False
-    group_at = 0  # where the open group begins in ``kinds``
+        group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1])))
+        begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        several = (kind[np.append(begin[1:], len(key)) - 1] > kind[begin])[group]
+        rows = np.flatnonzero(several)
+        for lo, hi in _parts(group[rows]):
+            own = table.take(pa.array(rows[lo:hi]))
+            if (out := _judge(group[rows[lo:hi]], own.column("doc_id").to_numpy(), own.column("at").to_numpy().astype(np.int64), own.column("around").to_pylist())) is not None:
+                yield out
+
+    held: pa.Table | None = None
+    wide = None
     for batch in batches:
-        for k, a, doc, at in zip(*(batch.column(c).to_pylist() for c in ("key", "around", "doc_id", "at")), strict=True):
-            if k != key:
-                if wide:
-                    as_windows(kinds[group_at:])
-                    del kinds[group_at:]
-                elif len(kinds) - group_at < 2:
-                    del kinds[group_at:]
-                if len(kinds) >= BATCH:
-                    judge(kinds)
-                    kinds.clear()
-                key, around, wide, number, group_at = k, None, False, number + 1, len(kinds)
-            if a != around:
-                if len(kinds) - group_at >= HELD:
-                    wide = True
-                    as_windows(kinds[group_at:])
-                    del kinds[group_at:]
-                around, owner = a, doc
-                kinds.append((number, a, doc, [at]))
-            elif doc == owner:
-                kinds[-1][3].append(at)
-            else:  # a smaller document has the same surroundings
-                remove(doc, at - a[0], at - a[0] + len(a) - 1)
-        if len(docs) > 50_000:
-            yield flush()
-    if wide:
-        as_windows(kinds[group_at:])
-        del kinds[group_at:]
-    judge(kinds)
-    yield flush()
+        table = pa.Table.from_batches([batch])
+        table = table if held is None else pa.concat_tables([held, table])
+        if not len(table):
+            continue
+        key = table.column("key").to_numpy()
+        n = int(np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))[-1])
+        if n:
+            yield from finish(table.slice(0, n), wide)
+            wide = wide if wide == key[-1] else None
+        held = table.slice(n)
+        if len(held) > HELD:
+            held, _, lost = collapse(held)
+            yield lost
+            if 2 * len(held) > HELD:
+                wide = int(key[-1])
+                yield _as_windows(held)
+                held = None
+    if held is not None and len(held):
+        yield from finish(held, wide)
+
+
+def _parts(group: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole groups of about BATCH rows."""
+    lo = 0
+    while lo < len(group):
+        hi = min(len(group), lo + BATCH)
+        if hi < len(group):
+            start = int(np.searchsorted(group, group[hi]))
+            hi = start if start > lo else int(np.searchsorted(group, group[hi], "right"))
+        yield lo, hi
+        lo = hi
 
 
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
