@@ -153,7 +153,10 @@ def _judge(group: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[byte
     order = np.argsort(segment, kind="stable")
     kind, shift, segment = kind[order], shift[order], segment[order]
     sorter = SuffixSorter(np.frombuffer(b"".join(bodies), np.uint8), LENGTH)
-    order, equal = sorter.groups(base[kind] + before[kind] - shift, segment)
+    starts = base[kind] + before[kind] - shift
+    shared = sorter.shared(starts, segment)  # most windows around a common anchor stand alone
+    kind, shift, segment, starts = kind[shared], shift[shared], segment[shared], starts[shared]
+    order, equal = sorter.groups(starts, segment)
     if not len(order):
         return None
     owner = doc[kind[order]]

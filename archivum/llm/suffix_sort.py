@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from archivum.llm.hashing import U
+from archivum.llm.hashing import U, mix
 
 _TABLE = np.random.default_rng(77).integers(1, 2**64 - 1, 256, dtype=U) | U(1)
 _BASE = U(0xD1342543DE82EF95)
@@ -50,6 +50,17 @@ class SuffixSorter:
         h, p = self.hash, self.power
         return (h[a + n] - h[a]) * p[b] == (h[b + n] - h[b]) * p[a]
 
+    def shared(self, starts: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """Places (ascending) of the suffixes whose first ``depth`` bytes have another's hash in their segment."""
+        _, back = powers(len(self.buf) + 1)
+        value = mix((self.hash[starts + self.depth] - self.hash[starts]) * back[starts]) + mix(segment.astype(U) + U(1))
+        sorted_ = np.sort(value)
+        twice = np.unique(sorted_[1:][sorted_[1:] == sorted_[:-1]])
+        if not len(twice):
+            return np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(twice, value), len(twice) - 1)
+        return np.flatnonzero(twice[at] == value)
+
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The length of the common extension, at most ``depth``."""
         lo, hi = np.zeros(len(a), np.int64), np.full(len(a), self.depth)
