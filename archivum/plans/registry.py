@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from archivum.functions import mail
 from archivum.operators import analytics as an
+from archivum.operators import durable
+from archivum.operators import review as rv
 from archivum.operators import search as se
+from archivum.sources import exports
+from archivum.streaming import capture
 
 _Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -212,6 +216,125 @@ def _(s, d):
     return an.keyset_page(_t(s, d, "events").select("event_id", "ts"), "ts", "event_id", 50, ("2024-01-15", 5000))
 
 
+@_query("s12_even_sample", "SELECT event_id, ts FROM (SELECT event_id, ts, row_number() OVER (ORDER BY ts, event_id) AS rn, greatest(1, count(*) OVER () // 500) AS step FROM events) WHERE (rn - 1) % step = 0 AND rn <= 500 * step")
+def _(s, d):
+    return rv.even_sample(_t(s, d, "events").select("event_id", "ts"), ["ts", "event_id"], 500)
+
+
+@_query("w12_stamps", "SELECT o_orderkey, 'DOC' || lpad(CAST(row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS VARCHAR), 8, '0') AS label FROM orders")
+def _(s, d):
+    return rv.stamp(_t(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "DOC").select("o_orderkey", "label")
+
+
+@_query("w03_new_keys", "WITH r AS (SELECT o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS c FROM orders) SELECT o_custkey, count(*) AS hits FROM r GROUP BY o_custkey, c HAVING min(rn) > c - greatest(c // 10, 1) AND c >= 10")
+def _(s, d):
+    return rv.new_keys(_t(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 1)
+
+
+@_query("w07_volume_trend", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT n, row_number() OVER (ORDER BY month) AS a, count(*) OVER () AS c FROM m), t AS (SELECT avg(n) FILTER (a > c - 3) AS recent, avg(n) FILTER (a <= greatest(1, c - 3)) AS earlier FROM p WHERE c >= 3) SELECT round(recent, 6) AS recent, round(earlier, 6) AS earlier, round((recent - earlier) / earlier, 6) AS change FROM t WHERE recent IS NOT NULL")
+def _(s, d):
+    months = _t(s, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+    return rv.volume_trend(months).select(*[F.round(c, 6).alias(c) for c in ("recent", "earlier", "change")])
+
+
+@_query("w14_routines", "SELECT o_custkey, count(*) AS n, count(DISTINCT dayofweek(o_orderdate)) AS weekdays FROM orders GROUP BY 1 HAVING count(*) >= 4 AND (count(DISTINCT dayofweek(o_orderdate)) <= 2 OR count(*) >= 8)")
+def _(s, d):
+    return rv.routines(_t(s, d, "orders"), "o_custkey", "o_orderdate")
+
+
+@_query("j07_reply_times", "WITH h AS (SELECT o_custkey, date_diff('microsecond', o_orderdate, l_shipdate) // 1000000 / 3600 AS hours FROM orders JOIN lineitem ON o_orderkey = l_orderkey) SELECT o_custkey, count(*) AS replies, round(avg(hours), 6) AS hours FROM h WHERE hours > 0 AND hours < 720 GROUP BY 1")
+def _(s, d):
+    return rv.reply_times(_t(s, d, "orders"), _t(s, d, "lineitem"), "o_orderkey", "o_orderdate", "l_orderkey", "l_shipdate", "o_custkey").withColumn("hours", F.round("hours", 6))
+
+
+@_query("a25_contacts", "SELECT o_custkey, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, round(0.6 * least(count(*) / 50, 1.0) + 0.4 * greatest(0.0, 1 - date_diff('microsecond', max(o_orderdate), TIMESTAMP '2000-01-01') // 86400000000 / 365), 6) AS activity FROM orders GROUP BY 1")
+def _(s, d):
+    return rv.contacts(_t(s, d, "orders"), "o_custkey", "o_orderdate", F.lit("2000-01-01").cast("timestamp_ntz")).withColumn("activity", F.round("activity", 6))
+
+
+@_query("a22_cleanup", "SELECT count(*) AS rows, count(*) - count(DISTINCT coalesce(text, '')) AS duplicates, count(*) FILTER (length(text) > 10000) AS large, count(*) FILTER (coalesce(trim(text) = '', true)) AS blank FROM documents")
+def _(s, d):
+    return rv.cleanup(_t(s, d, "documents"), "text", 10_000)
+
+
+@_query("a19_set_fingerprint", "WITH h AS (SELECT sha256(CAST(doc_id AS VARCHAR)) AS h FROM documents), l AS (SELECT " + ", ".join(f"CAST(CAST('0x' || substr(h, {1 + 16 * i}, 16) AS UBIGINT) AS HUGEINT) AS l{i}" for i in range(4)) + " FROM h) SELECT count(*) AS n, " + ", ".join(f"CAST(coalesce(sum(l{i}), 0) % 18446744073709551616 AS VARCHAR) AS lane_{i}" for i in range(4)) + " FROM l")
+def _(s, d):
+    return exports.set_fingerprint(_t(s, d, "documents"), "doc_id")
+
+
+@_query("t15_indicators", "SELECT kind, value, count(*) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{mail.PATTERNS[k]}')])) AS value FROM documents" for k in ("email", "ipv4", "md5")) + ") GROUP BY 1, 2")
+def _(s, d):
+    return rv.indicators(_t(s, d, "documents"), "doc_id", "text", ("email", "ipv4", "md5"))
+
+
+@_query("t17_responsiveness", "SELECT doc_id, round(least((least(len(regexp_extract_all(lower(coalesce(text, '')), 'license')), 5) * 2.0 + least(len(regexp_extract_all(lower(coalesce(text, '')), 'report')), 5) * 1.0 + CASE WHEN contains(source, 'license') THEN 2.0 ELSE 0.0 END + CASE WHEN contains(source, 'report') THEN 2.0 ELSE 0.0 END) / 10, 1.0), 6) AS score FROM documents")
+def _(s, d):
+    return rv.responsiveness(_t(s, d, "documents"), "doc_id", F.col("source"), F.col("text"), {"license": 2.0, "report": 1.0}).withColumn("score", F.round("score", 6))
+
+
+@_query("t23_predictive_coding", r"WITH w AS (SELECT doc_id, unnest(list_distinct([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') IF x <> ''])) AS w FROM documents), c AS (SELECT w, count(*) FILTER (toxic = 1) AS y, count(*) FILTER (toxic = 0) AS n FROM w JOIN labels USING (doc_id) GROUP BY 1), t AS (SELECT sum(y) AS ay, sum(n) AS an, count(*) AS v FROM c), m AS (SELECT w, ln((y + 1) / (ay + v)) - ln((n + 1) / (an + v)) AS g FROM c, t), z AS (SELECT doc_id, sum(g) AS g FROM w JOIN m USING (w) GROUP BY 1), p AS (SELECT ln(count(*) FILTER (toxic = 1) + 1) - ln(count(*) FILTER (toxic = 0) + 1) AS prior FROM labels) SELECT doc_id, round(coalesce(g, 0) + prior, 5) AS log_odds FROM documents LEFT JOIN z USING (doc_id), p")
+def _(s, d):
+    return rv.naive_bayes(_t(s, d, "documents"), _t(s, d, "labels"), "doc_id", "text", "toxic").withColumn("log_odds", F.round("log_odds", 5))
+
+
+@_query("j11_nearest_centroid", "WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), m AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY 1, 2), c AS (SELECT label, list(x ORDER BY i) AS centre FROM m GROUP BY 1), s AS (SELECT vec_id, c.label, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), centre), 6) AS similarity FROM embeddings, c) SELECT vec_id, label, similarity FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY similarity DESC, label) = 1")
+def _(s, d):
+    e = _t(s, d, "embeddings")
+    return rv.nearest_centroid(e, "vec_id", "embedding", rv.centroids(e, "label", "embedding"), "label")
+
+
+_EDGES = "g AS (SELECT 'c' || o_custkey AS a, 's' || l_suppkey AS b FROM orders JOIN lineitem ON o_orderkey = l_orderkey), e AS (SELECT a, b, count(*) AS weight FROM (SELECT * FROM g UNION ALL SELECT b, a FROM g) GROUP BY 1, 2)"
+
+
+def _graph(s: SparkSession, d: str) -> DataFrame:
+    lines = _t(s, d, "orders").select("o_orderkey", F.concat(F.lit("c"), "o_custkey").alias("c")).join(_t(s, d, "lineitem").select("l_orderkey", F.concat(F.lit("s"), "l_suppkey").alias("s")), F.col("o_orderkey") == F.col("l_orderkey"))
+    return rv.edges(lines, "c", "s")
+
+
+@_query("a30_connection_strength", f"WITH {_EDGES} SELECT a AS node, count(*) AS neighbours, CAST(sum(weight) AS BIGINT) AS strength FROM e GROUP BY 1")
+def _(s, d):
+    return _graph(s, d).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("neighbours"), F.sum("weight").alias("strength"))
+
+
+@_query("t26_hops", f"WITH {_EDGES}, n1 AS (SELECT DISTINCT b AS node FROM e WHERE a = 'c1'), n2 AS (SELECT DISTINCT b AS node FROM e WHERE a IN (SELECT node FROM n1)) SELECT node, CAST(min(k) AS INTEGER) AS distance FROM (SELECT 'c1' AS node, 0 AS k UNION ALL SELECT node, 1 FROM n1 UNION ALL SELECT node, 2 FROM n2) GROUP BY 1")
+def _(s, d):
+    start = _t(s, d, "customer").where("c_custkey = 1").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return rv.hops(_graph(s, d), start, 2)
+
+
+@_query("t36_review_merge", "SELECT d.doc_id, coalesce(l.toxic, d.new) AS code, CASE WHEN l.doc_id IS NULL THEN 'absent' WHEN l.toxic IS NULL THEN 'applied' WHEN l.toxic = d.new THEN 'same' ELSE 'conflict' END AS outcome FROM (SELECT doc_id, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS new FROM documents) d LEFT JOIN labels l USING (doc_id)")
+def _(s, d):
+    decisions = _t(s, d, "documents").select("doc_id", F.when(F.col("lang") == "en", 1).otherwise(0).alias("code"))
+    return rv.merge_codes(decisions, _t(s, d, "labels").withColumnRenamed("toxic", "code"), "doc_id")
+
+
+@_query("o08_rank_fusion", "WITH a AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey) AS rank FROM orders GROUP BY 1), b AS (SELECT o_custkey, row_number() OVER (ORDER BY max(o_totalprice) DESC, o_custkey) AS rank FROM orders GROUP BY 1) SELECT o_custkey, round(sum(1.0 / (60 + rank)), 8) AS score FROM (SELECT * FROM a WHERE rank <= 100 UNION ALL SELECT * FROM b WHERE rank <= 100) GROUP BY 1")
+def _(s, d):
+    per = _t(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top"))
+    ranked = [per.orderBy(F.desc(c), "o_custkey").limit(100).select("o_custkey", F.row_number().over(Window.orderBy(F.desc(c), "o_custkey")).alias("rank")) for c in ("n", "top")]
+    return an.reciprocal_rank_fusion(ranked, "o_custkey").withColumn("score", F.round("score", 8))
+
+
+@_query("g04_current_state", "SELECT user_id, event_id, ts, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def _(s, d):
+    e = _t(s, d, "events").select("event_id", "ts", "user_id", "event_type")
+    return capture.current(e, "user_id", "ts", e.where("event_type = 'error'").select("user_id").distinct())
+
+
+@_query("k08_load_file", "SELECT md5('þ' || doc_id || 'þ' || chr(20) || 'þ' || coalesce(lang, '') || 'þ' || chr(20) || 'þ' || regexp_replace(coalesce(text, ''), '\\r\\n|\\r|\\n', '®', 'g') || 'þ') AS line_md5 FROM documents")
+def _(s, d):
+    return _t(s, d, "documents").select(F.md5(exports.load_file_line(F.col("doc_id"), F.col("lang"), F.col("text")).cast("binary")).alias("line_md5"))
+
+
+@_query("g08_streamed_hours", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
+def _(s, d):
+    source = durable.fresh_path(s, "stream-source")
+    events = _t(s, d, "events").select("ts", "event_type")
+    events.write.parquet(source)
+    counts = capture.windowed_counts(capture.replay(s, source, events.schema), "ts", "event_type", "1 hour")
+    return capture.run_to_table(counts, durable.fresh_path(s, "stream-counts"), durable.fresh_path(s, "stream-state"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in _Q.items()}
 
