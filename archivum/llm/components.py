@@ -11,18 +11,19 @@ from archivum.llm.common import materialize
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b: long) -> (node, label): label is the smallest node of the component; only nodes that have an edge.
 
-    Each round is two shuffles; the number of rounds grows with the logarithm of the longest chain.  A node with very
-    many neighbours costs one window of (long, long) rows, which spills.  Every second step is written to the shared
-    folder, so lineage stays short.  Self-loops and repeated edges are allowed; an empty table gives no rows.
+    The number of rounds grows with the logarithm of the longest chain.  A node with very many neighbours is met by
+    pre-aggregated minima and a join, whose crowded partitions adaptive execution splits; each round is written to the
+    shared folder, so lineage stays short.  A round has no more rows than the one before.  Self-loops and repeated edges
+    are allowed; an empty table gives no rows.
     """
     now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     seen = None
     while True:
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least("u", F.min("v").over(Window.partitionBy("u")))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = now.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")).repartition("v")
+        large = now.join(least, "v").select("u", F.col("m").alias("v")).where("u != v").repartition("u").distinct()
         least = F.min("v").over(Window.partitionBy("u"))
-        small = large.withColumn("m", least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u != v").distinct()
+        small = large.withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = materialize(small, "components")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
