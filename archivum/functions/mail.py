@@ -92,3 +92,71 @@ def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(F.size(a) != F.size(b), F.lit(None).cast("double")).when(norm == 0, 0.0).otherwise(dot(a, b) / norm)
+
+
+#: Accented small letters and what they fold to.
+_ACCENTED, _PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def folded_tokens(text: Column) -> Column:
+    """Tokens without accents; empty for null."""
+    return tokens(F.translate(F.lower(F.coalesce(text, F.lit(""))), _ACCENTED, _PLAIN))
+
+
+def any_words(text: Column, words: list[str]) -> Column:
+    """Whether one of the words stands in the text as a whole token."""
+    return F.arrays_overlap(folded_tokens(text), F.array(*[F.lit(w) for w in words]))
+
+
+def all_words(text: Column, words: list[str]) -> Column:
+    """Whether each of the words stands in the text as a whole token."""
+    return F.size(F.array_except(F.array(*[F.lit(w) for w in words]), folded_tokens(text))) == 0
+
+
+def _joined(c: Column) -> Column:
+    low = F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(low, r"(?U)\s+", " ")
+
+
+def has_phrase(text: Column, phrase: str) -> Column:
+    """Whether the phrase stands in one section of the text: runs of blanks are one, A-Z are folded, U+001E parts sections."""
+    wanted = _joined(F.lit(phrase.replace("\x1e", " ")))
+    return F.exists(F.split(F.coalesce(text, F.lit("")), "\x1e"), lambda part: _joined(part).contains(wanted))
+
+
+def near(text: Column, a: str, b: str, between: int) -> Column:
+    """Whether tokens a and b stand with at most ``between`` tokens between them, in one pass over the tokens."""
+    none = F.lit(None).cast("int")
+    placed = F.transform(tokens(F.coalesce(text, F.lit(""))), lambda w, i: F.struct(w.alias("w"), i.cast("int").alias("i")))
+
+    def step(s: Column, x: Column) -> Column:
+        is_a, is_b = x["w"] == a, x["w"] == b
+        best = F.least(s["best"], F.when(is_a, x["i"] - s["b"]), F.when(is_b, x["i"] - s["a"]))
+        return F.struct(F.when(is_a, x["i"]).otherwise(s["a"]).alias("a"), F.when(is_b, x["i"]).otherwise(s["b"]).alias("b"), best.alias("best"))
+
+    best = F.aggregate(placed, F.struct(none.alias("a"), none.alias("b"), none.alias("best")), step)["best"]
+    return F.coalesce(best <= between + 1, F.lit(False))
+
+
+def keyword_snippet(text: Column, word: str, around: int = 20) -> Column:
+    """The first place of a word, any case, with ``around`` characters on each side; null where it isn't."""
+    at = F.locate(word.lower(), F.lower(text))
+    return F.when(at > 0, F.substring(text, F.greatest(at - around, F.lit(1)), F.lit(len(word) + around) + F.least(at - 1, F.lit(around))))
+
+
+def message_anomalies(sender: Column, recipients: Column, body: Column, subject: Column, ts: Column, attachments: Column) -> Column:
+    """Names of what is odd about a message's fields, in a fixed order."""
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    odd = [
+        (blank(sender), "missing sender"), (blank(recipients), "missing recipient"), (blank(body), "empty body"),
+        (F.length(subject) > 200, "long subject"), (effective_time(ts).isNull(), "invalid date"), (attachments > 10, "many attachments"),
+    ]
+    return F.array_compact(F.array(*[F.when(c, name) for c, name in odd]))
+
+
+def message_hash(addresses: Column, ts: Column, subject: Column, body: Column) -> Column:
+    """SHA-256 over sorted lower-case addresses, UTC time, and subject and body with blanks joined, parted by U+001E."""
+    people = F.array_join(F.array_sort(F.array_distinct(F.transform(addresses, F.lower))), ",")
+    flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\n]+", " "))
+    stamp = F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+    return F.sha2(F.concat_ws("\x1e", people, stamp, flat(subject), flat(body)).cast("binary"), 256)

@@ -13,23 +13,12 @@ from archivum.operators import durable
 from archivum.operators import review as rv
 from archivum.operators import search as se
 from archivum.sources import exports
+from archivum.plans import upkeep  # noqa: F401  (fills the table)
+from archivum.plans.base import QUERIES as _Q
+from archivum.plans.base import query as _query
+from archivum.plans.base import table as _t
 from archivum.streaming import capture
 
-_Q: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def keep(f):
-        _Q[name] = (f, sql)
-        return f
-
-    return keep
-
-
-def _t(s: SparkSession, d: str, name: str) -> DataFrame:
-    return s.read.parquet(f"{d}/{name}.parquet")
-
-
 @_query("a01_count_and_span", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_custkey) AS senders FROM orders WHERE o_orderstatus = 'F'")
 def _(s, d):
     return _t(s, d, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.countDistinct("o_custkey").alias("senders"))
