@@ -8,7 +8,9 @@ documents share one of their first ``(|A| + |B|) // 9 + 1`` parts, so only those
 
 Equal sets are one node from the start.  Of the documents at a key, each is first verified against the smallest node.
 Only keys whose nodes then still lie in different components are searched in blocks inside tasks: narrow parity
-sketches (a folded form of the wide ones) bound the symmetric difference, and what they leave is verified exactly.
+sketches (a folded form of the wide ones) bound the symmetric difference, and what they leave is verified exactly.  The
+first searches give only a forest of each block, fewer pairs than it has nodes; what it links needs no further pairs.
+A last search gives all pairs that are still within reach and in different components, so no link is lost.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ CROWD = 8
 CENTRES = 3
 #: A turn of centres that links less than this part of its pairs is the last: the blocks find the rest.
 YIELD = 0.01
+#: Searches for forests before the search for all pairs.
+FORESTS = 2
 #: Bits of a narrow sketch for each shingle, a power of two: with 4, pairs below a similarity of about 0.79 stay out.
 WIDTH = 4
 #: Nodes of one key that a task compares with each other; larger groups are dealt out as pairs of blocks.
@@ -131,10 +135,15 @@ def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * distance <= n + m)
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _block_pairs(batches, forest=True)
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (key, i, j) with node, n, label, sketch and block -> pairs of different components within reach.
 
-    A group is held while it is compared: at most two blocks of nodes.
+    With ``forest``, a pair that joins two components counts as a link for the rest of its group, and of a node's pairs
+    with one component only the closest is given.  A group is held while it is compared: at most two blocks of nodes.
     """
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -143,21 +152,32 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         other = rows if rows[0][5] == rows[0][6] else [r for r in rows if r[4] == rows[0][6]]
         if not own or not other:
             return
-        label, n, nodes = (np.array([r[i] for r in other]) for i in (2, 1, 0))
+        n, nodes = (np.array([r[i] for r in other]) for i in (1, 0))
+        number = {lab: i for i, lab in enumerate(dict.fromkeys(r[2] for r in rows))}
+        label = np.array([number[r[2]] for r in other])
+        root = np.arange(len(number))
         by_width: dict[int, list[int]] = {}
         for i, r in enumerate(other):
             by_width.setdefault(len(r[3]), []).append(i)
         packed = {w: (np.array(i), np.frombuffer(b"".join(other[x][3] for x in i), np.uint8).reshape(len(i), w)) for w, i in by_width.items()}
         for node, m, lab, sketch, *_ in own:
             mine = np.frombuffer(sketch, np.uint8)
+            closest: dict[int, tuple[int, int]] = {}
             for w, (i, table) in packed.items():
                 narrow = min(w, len(mine))
                 if max(w, len(mine)) > 4 * narrow:
                     continue
                 gap = np.bitwise_count(_fold(table, narrow) ^ _fold(mine, narrow)).sum(axis=1)
-                ok = (label[i] != lab) & _near(n[i], m, gap)
-                for x in nodes[i[ok]].tolist():
-                    yield min(node, x), max(node, x)
+                there = root[label[i]]
+                ok = (there != root[number[lab]]) & _near(n[i], m, gap)
+                for x, g, r in zip(nodes[i[ok]].tolist(), gap[ok].tolist(), there[ok].tolist(), strict=True):
+                    if not forest:
+                        yield min(node, x), max(node, x)
+                    elif r not in closest or (g, x) < closest[r]:
+                        closest[r] = g, x
+            for r, (_, x) in closest.items():
+                root[root == r] = root[number[lab]]
+                yield min(node, x), max(node, x)
 
     def out(found: set) -> pa.RecordBatch:
         both = list(found)
@@ -253,15 +273,30 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if linked < YIELD * tried:
             break
 
-    apart, open_keys = open_rows(labels)
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = apart.join(open_keys, "key").join(details.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
-    dealt = dealt.select("key", "i", "j", "node", "n", "label", "sketch", "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = dealt.mapInArrow(_block_pairs, "a long, b long").distinct()
-    more = materialize(_links(pairs, details), "links")
-    if more.limit(1).count():
-        labels = connected_components(links.unionByName(more))
+    def search(labels: DataFrame, inside) -> DataFrame:
+        """What ``inside`` finds in the blocks of all open keys, each pair once."""
+        apart, open_keys = open_rows(labels)
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        dealt = apart.join(open_keys, "key").join(details.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
+        dealt = dealt.select("key", "i", "j", "node", "n", "label", "sketch", "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        return dealt.mapInArrow(inside, "a long, b long").distinct()
+
+    for _ in range(FORESTS):
+        pairs = materialize(search(labels, _block_forests), "forests")
+        tried = pairs.count()
+        more = materialize(_links(pairs, details), "links")
+        linked = more.count()
+        if linked:
+            links = links.unionByName(more)
+            labels = connected_components(links)
+        if linked <= YIELD * tried:
+            break
+
+    if tried:  # a search that finds no forest leaves no pair
+        more = materialize(_links(search(labels, _block_pairs), details), "links")
+        if more.limit(1).count():
+            labels = connected_components(links.unionByName(more))
 
     named = members.join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
