@@ -34,7 +34,7 @@ CENTRES = 3
 #: A turn of centres that links less than this part of its pairs is the last: the blocks find the rest.
 YIELD = 0.01
 #: Searches for forests before the search for all pairs.
-FORESTS = 2
+FORESTS = 1
 #: Bits of a narrow sketch for each shingle, a power of two: with 4, pairs below a similarity of about 0.79 stay out.
 WIDTH = 4
 #: Nodes of one key that a task compares with each other; larger groups are dealt out as pairs of blocks.
