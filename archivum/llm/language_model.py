@@ -6,7 +6,7 @@ with their counts; of rarer words each document sends one row a word to a join w
 Model: a gated recurrent unit reads the text word by word, its state carried from window to window through the whole
 document; the output is factored into classes of words.  Words outside its vocabulary are one symbol, spelled out by the
 unigram model, so the probabilities of all texts sum to one.  It is trained in tasks by truncated backpropagation on
-windows from every training document, and averaged between rounds.
+every window of every training document, and averaged between rounds; each symbol is learned once in a round.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ VOCABULARY = CLASSES * EACH
 HIDDEN = 24
 #: Steps of a window of truncated backpropagation; as many steps before it warm up the state.
 WINDOW = 32
-#: One window in so many of every training document is trained on in each round (at a place that depends on the text).
-SHARE = 16
+#: Passes over all windows of all training documents.
 ROUNDS = 2
 BATCH = 64
 RATE = 0.01
+#: Windows that are cut, and rows of output that are computed, at a time.
+SLICE, ROWS = 4096, 16_384
 #: Blobs of weights that are averaged in one place.
 FAN_IN = 64
 #: The end of a text; no word has this hash but by chance.
@@ -103,78 +104,103 @@ class GatedModel:
         })
 
     def step(self, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        w, n = self.w, HIDDEN
-        x, g = w["wx"][symbol] + w["b"], h @ w["u"]
-        z, r = _sigmoid(x[:, :n] + g[:, :n]), _sigmoid(x[:, n : 2 * n] + g[:, n : 2 * n])
+        return self._gates(self.w["wx"][symbol] + self.w["b"], h)
+
+    def _gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        n = HIDDEN
+        g = h @ self.w["u"]
+        gates = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
+        z, r = gates[:, :n], gates[:, n:]
         c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return (1 - z) * c + z * h, z, r, c, g[:, 2 * n :]
+        return c + z * (h - c), z, r, c, g[:, 2 * n :]
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets; with ``grad``, gradients are added and those of ``h`` returned."""
         w = self.w
         c, word = np.divmod(target, EACH)
+        order = np.argsort(c, kind="stable")
+        h, c, word = h[order], c[order], word[order]
+        cut = np.searchsorted(c, np.arange(CLASSES + 1))
+        runs = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
         rows = np.arange(len(target))
-        s = h @ w["wc"] + w["bc"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
-        out = s[rows, c] - np.log(total)
+
+        def log_softmax(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            s -= s.max(1, keepdims=True)
+            own = s[rows, at]
+            np.exp(s, out=s)
+            total = s.sum(1)
+            if grad is None:
+                return own - np.log(total), None
+            s /= total[:, None]
+            s[rows, at] -= 1
+            return own - np.log(total), s
+
+        by_class, d = log_softmax(h @ w["wc"] + w["bc"], c)
         dh = None
         if grad is not None:
-            d = e / total[:, None]
-            d[rows, c] -= 1
             grad["wc"] += h.T @ d
             grad["bc"] += d.sum(0)
             dh = d @ w["wc"].T
-        order = np.argsort(c, kind="stable")
-        cut = np.searchsorted(c[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            own = order[cut[k] : cut[k + 1]]
-            if len(own):
-                hk = h[own]
-                s = hk @ w["ww"][k] + w["bw"][k]
-                s -= s.max(1, keepdims=True)
-                e = np.exp(s)
-                total = e.sum(1)
-                at = np.arange(len(own)), word[own]
-                out[own] += s[at] - np.log(total)
-                if grad is not None:
-                    d = e / total[:, None]
-                    d[at] -= 1
-                    grad["ww"][k] += hk.T @ d
-                    grad["bw"][k] += d.sum(0)
-                    dh[own] += d @ w["ww"][k].T
-        return out, dh
-
-    def train(self, windows: np.ndarray, warm: int) -> Weights:
-        """Gradients of the mean loss over rows of symbols: the first ``warm`` inputs carry the state, the rest are learned."""
+        s = np.empty((len(target), EACH), by_class.dtype)
+        for k, own in runs:
+            s[own] = h[own] @ w["ww"][k] + w["bw"][k]
+        by_word, d = log_softmax(s, word)
+        back = np.empty_like(order)
+        back[order] = rows
+        if grad is None:
+            return (by_class + by_word)[back], None
+        for k, own in runs:
+            grad["ww"][k] += h[own].T @ d[own]
+            grad["bw"][k] += d[own].sum(0)
+            dh[own] += d[own] @ w["ww"][k].T
+        return (by_class + by_word)[back], dh[back]
+
+    def train(self, windows: np.ndarray, warm: int, live: np.ndarray | None = None) -> Weights:
+        """Gradients of the mean loss over rows of symbols: the first ``warm`` inputs carry the state, the rest are learned.
+
+        With ``live``, only so many of a row's learned symbols count; what follows them is padding.
+        """
         w, n = self.w, HIDDEN
         b, steps = windows.shape[0], windows.shape[1] - 1
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        h, kept = np.zeros((b, n), np.float32), []
+        x = (w["wx"] + w["b"])[windows[:, :-1].T]
+        h, kept = np.zeros((b, n), x.dtype), []
         for t in range(steps):
             before = h
-            h, z, r, c, gn = self.step(windows[:, t], h)
+            h, z, r, c, gn = self._gates(x[t], h)
             if t >= warm:
                 kept.append((before, h, z, r, c, gn))
-        states = np.concatenate([k[1] for k in kept])
-        _, dh_all = self.output(states, windows[:, warm + 1 :].T.reshape(-1), grad)
+        before, states, z, r, c, gn = (np.stack(k) for k in zip(*kept, strict=True))
+        target = windows[:, warm + 1 :].T.reshape(-1)
+        states = states.reshape(-1, n)
+        if live is None:
+            dh_all = self.output(states, target, grad)[1]
+            count = len(target)
+        else:
+            counts = np.flatnonzero((np.arange(steps - warm)[:, None] < live).reshape(-1))
+            dh_all, count = np.zeros_like(states), len(counts)
+            dh_all[counts] = self.output(states[counts], target[counts], grad)[1]
         dh_all = dh_all.reshape(len(kept), b, n)
-        dh = np.zeros((b, n), np.float32)
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), gn * r * (1 - r)
+        dx, dg = (np.empty((len(kept), b, 3 * n), dh_all.dtype) for _ in range(2))
+        dh, u = np.zeros((b, n), dh_all.dtype), np.ascontiguousarray(w["u"].T)
         for t in range(len(kept) - 1, -1, -1):
-            before, _, z, r, c, gn = kept[t]
             dh = dh + dh_all[t]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * gn * r * (1 - r)
-            dg = np.concatenate((dz, dr, dc * r), axis=1)
-            dx = np.concatenate((dz, dr, dc), axis=1)
-            grad["u"] += before.T @ dg
-            grad["b"] += dx.sum(0)
-            np.add.at(grad["wx"], windows[:, warm + t], dx)
-            dh = dh * z + dg @ w["u"].T
+            dc = np.multiply(dh, to_c[t], out=dx[t, :, 2 * n :])
+            np.multiply(dh, to_z[t], out=dg[t, :, :n])
+            np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
+            np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
+            dh = dh * z[t] + dg[t] @ u
+        dx[:, :, : 2 * n] = dg[:, :, : 2 * n]
+        dx = dx.reshape(-1, 3 * n)
+        grad["u"] += before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+        grad["b"] += dx.sum(0)
+        symbol = windows[:, warm:-1].T.reshape(-1)
+        order = np.argsort(symbol, kind="stable")
+        cut = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) != 0)))
+        grad["wx"][symbol[order[cut]]] += np.add.reduceat(dx[order], cut)
         for v in grad.values():
-            v /= b * len(kept)
+            v /= count
         return grad
 
     def score(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -196,7 +222,8 @@ class GatedModel:
                 targets.append(symbols[at])
                 owner.append(np.arange(live))
             if states:
-                p, _ = self.output(np.concatenate(states), np.concatenate(targets))
+                h_all, target = np.concatenate(states), np.concatenate(targets)
+                p = np.concatenate([self.output(h_all[i : i + ROWS], target[i : i + ROWS])[0] for i in range(0, len(target), ROWS)])
                 out += np.bincount(np.concatenate(owner), p, len(size))
         back = np.empty_like(out)
         back[order] = out
@@ -245,43 +272,70 @@ def _unpack(data: bytes, like: Weights) -> Weights:
     return out
 
 
-def _learner(vocabulary, weights, round_: int):
-    """A task that trains on windows of its texts and gives its weights with the number of its updates."""
+def windows(symbol: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All windows of some texts in a mixed order, as (rows, live): each symbol is learned in just one row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = GatedModel({k: v.copy() for k, v in weights.value.items()})
-        voc, t, pending = vocabulary.value, 0, []
-        m, v = ({k: np.zeros_like(x) for k, x in model.w.items()} for _ in range(2))
+    A row is WINDOW + 1 symbols before the window (ends before a text's first) and the window, of which ``live`` symbols
+    are the text's and the others padding.
+    """
+    count = -(-np.diff(first) // WINDOW)
+    until = np.cumsum(count)
+    total = int(until[-1]) if len(until) else 0
+    order = np.random.default_rng(total).permutation(total)
+    for lo in range(0, total, SLICE):
+        one = order[lo : lo + SLICE]
+        text = np.searchsorted(until, one, "right")
+        a, b = first[text], first[text + 1]
+        begin = a + (one - (until - count)[text]) * WINDOW
+        at = begin[:, None] + np.arange(-WINDOW - 1, WINDOW)
+        inside = (at >= a[:, None]) & (at < b[:, None])
+        yield np.where(inside, symbol[np.where(inside, at, 0)], VOCABULARY - 1), np.minimum(b - begin, WINDOW)
+
+
+def _learner(vocabulary, weights):
+    """A task that trains on all windows of its texts and gives its weights with the number of its updates."""
 
-        def update(rows: list[np.ndarray]) -> None:
-            nonlocal t
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat, w, at = np.frombuffer(_pack(weights.value), "<f4").copy(), {}, 0
+        for k in sorted(weights.value):  # views of one array
+            w[k] = flat[at : at + weights.value[k].size].reshape(weights.value[k].shape)
+            at += weights.value[k].size
+        model, voc, t = GatedModel(w), vocabulary.value, 0
+        m, v = np.zeros_like(flat), np.zeros_like(flat)
+
+        def update(rows: np.ndarray, live: np.ndarray) -> None:
+            nonlocal t, m, v, flat
             t += 1
-            for k, g in model.train(np.stack(rows), WINDOW).items():
-                np.clip(g, -1, 1, out=g)
-                m[k] = np.float32(0.9) * m[k] + np.float32(0.1) * g
-                v[k] = np.float32(0.99) * v[k] + np.float32(0.01) * g * g
-                model.w[k] -= np.float32(RATE) * (m[k] / np.float32(1 - 0.9**t)) / (np.sqrt(v[k] / np.float32(1 - 0.99**t)) + np.float32(1e-6))
-
+            grad = model.train(rows, WINDOW, live)
+            g = np.concatenate([grad[k].reshape(-1) for k in sorted(grad)])
+            np.clip(g, -1, 1, out=g)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            v *= np.float32(0.99)
+            g *= g
+            g *= np.float32(0.01)
+            v += g
+            np.multiply(v, np.float32(1 / (1 - 0.99**t)), out=g)
+            np.sqrt(g, out=g)
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= np.float32(RATE / (1 - 0.9**t))
+            flat -= g
+
+        rest = np.zeros((0, 2 * WINDOW + 1), np.int64), np.zeros(0, np.int64)
         for batch in batches:
             for _, _, part in chunks(batch.column("text").to_pylist()):
                 h, first = tokens(part)
-                symbol = voc.look(h)[2]
-                for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-                    own = np.concatenate((np.full(WINDOW + 1, VOCABULARY - 1), symbol[a:b]))  # a text follows an end
-                    count = -(-(b - a) // WINDOW)
-                    place = (int(h[a:b].sum()) + 7 * round_) % SHARE
-                    for i in range(place, count, SHARE):
-                        row = own[i * WINDOW : i * WINDOW + 2 * WINDOW + 1]
-                        if len(row) < 2 * WINDOW + 1:
-                            row = own[-(2 * WINDOW + 1) :] if len(own) >= 2 * WINDOW + 1 else np.concatenate((np.full(2 * WINDOW + 1 - len(own), VOCABULARY - 1), own))
-                        pending.append(row)
-                        if len(pending) == BATCH:
-                            update(pending)
-                            pending = []
-        if len(pending) >= 8 or pending and not t:
-            update(pending)
+                for rows, live in windows(voc.look(h)[2], first):
+                    rows, live = np.concatenate((rest[0], rows)), np.concatenate((rest[1], live))
+                    whole = len(live) // BATCH * BATCH
+                    for i in range(0, whole, BATCH):
+                        update(rows[i : i + BATCH], live[i : i + BATCH])
+                    rest = rows[whole:], live[whole:]
+        if len(rest[1]):
+            update(*rest)
         if t:
-            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([_pack(model.w)], pa.binary())], ["n", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["n", "weights"])
 
     return run
 
@@ -301,9 +355,9 @@ def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Gat
     spark = texts.sparkSession
     model = GatedModel.start(vocabulary.symbol_counts)
     voc = spark.sparkContext.broadcast(vocabulary)
-    for r in range(rounds):
+    for _ in range(rounds):
         sent = spark.sparkContext.broadcast(model.w)
-        found = materialize(texts.mapInArrow(_learner(voc, sent, r), "n long, weights binary"), "weights")
+        found = materialize(texts.mapInArrow(_learner(voc, sent), "n long, weights binary"), "weights")
         while (blobs := found.count()) > FAN_IN:
             found = materialize(found.repartition(-(-blobs // FAN_IN)).mapInArrow(_mean, "n long, weights binary"), "weights")
         rows = found.collect()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from archivum.llm import decontaminate, fingerprints, jaccard_join, language_model, packing, quality, substring_dedup, token_counts, toxicity, url_filter
@@ -304,3 +305,26 @@ def test_word_hashes_do_not_depend_on_other_texts():
     before = hashing.words([b"ab ba abc"])[0]
     after = hashing.words([b"y" * 300, b"ab ba abc"])[0]
     assert before.tolist() == after[1:].tolist() and len(set(before.tolist())) == 3
+
+
+def test_language_model_learns_each_symbol_once_a_round(monkeypatch):
+    class Held:
+        def __init__(self, value):
+            self.value = value
+
+    seen = Counter()
+
+    def train(self, rows, warm, live):
+        for row, n in zip(rows[:, warm + 1 :], live, strict=True):
+            seen.update(row[:n].tolist())
+        return {k: np.zeros_like(v) for k, v in self.w.items()}
+
+    texts = [None, "", "one two", _text(1, 31), _text(2, 32), _text(3, 33), *(_text(i, 70 * i) for i in range(4, 40))]
+    h, _ = language_model.tokens([(t or "").encode() for t in texts])
+    words, n = np.unique(h, return_counts=True)
+    voc = language_model.Vocabulary(words, n, int(n.sum()), len(words))
+    monkeypatch.setattr(language_model.GatedModel, "train", train)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    list(language_model._learner(Held(voc), Held(language_model.GatedModel.start(voc.symbol_counts).w))(iter([batch, batch.slice(0, 3)])))
+    h = np.concatenate((h, language_model.tokens([b"", b"", b"one two"])[0]))
+    assert seen == Counter(voc.look(h)[2].tolist())
