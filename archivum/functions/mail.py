@@ -62,6 +62,27 @@ PATTERNS = {
 }
 
 
+_EMAIL = PATTERNS["email"]
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d{2}|[1-9]?\d)"
+_PHONE = r"(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}"
+_CARD = r"\b(?:\d{4}[-\s]?){3}\d{4}\b"
+_IBAN = r"\b[A-Z]{2}\d{2}\s?[\dA-Z]{4}\s?[\dA-Z]{4}\s?[\dA-Z]{4}(?:\s?[\dA-Z]{4}){0,4}\s?[\dA-Z]{0,4}\b"
+#: The nine kinds of personal data; cards also need a check digit, and addresses must not be private.
+PERSONAL = {
+    "email": _EMAIL,
+    "phone": _PHONE,
+    "ssn": r"\b(?!000|666|9\d{2})\d{3}[-\s](?!00)\d{2}[-\s](?!0000)\d{4}\b",
+    "card": _CARD,
+    "ipv4": rf"\b(?:{_OCTET}\.){{3}}{_OCTET}\b",
+    "passport": r"(?i)(?:passport)\s*#?\s*:?\s*[A-Z]\d{8}\b",
+    "birth": r"(?i)(?:d\.?o\.?b\.?|date\s*of\s*birth|born|birthday)\s*:?\s*\d{1,2}[/\-\.]\d{1,2}[/\-\.]\d{2,4}",
+    "licence": r"(?i)(?:driver'?s?\s*(?:license|lic|licence)|DL)\s*#?\s*:?\s*[A-Z]?\d{6,14}\b",
+    "iban": _IBAN,
+}
+#: The six replacements of redaction, in their order; without look-around, so that other engines can check them.
+REPLACEMENTS = (("EMAIL", _EMAIL), ("PHONE", _PHONE), ("SSN", r"\b\d{3}[-\s]?\d{2}[-\s]?\d{4}\b"), ("CARD", _CARD), ("PASSPORT", r"\b[A-Z]\d{8}\b"), ("IBAN", _IBAN))
+
+
 def findings(text: Column, kind: str) -> Column:
     """All matches of a kind of personal data or indicator, as array<string>; empty for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), F.array().cast("array<string>"))
@@ -82,6 +103,32 @@ def redact(text: Column) -> Column:
     return text
 
 
+def private_address(c: Column) -> Column:
+    """Whether an address is private, of this host, or zero."""
+    return c.rlike(r"^(?:127\.|10\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|0\.0\.0\.0$)")
+
+
+def personal_data(text: Column) -> Column:
+    """All different findings of the nine kinds, as array<struct<kind, value>>; empty for null."""
+    out = []
+    for kind, pattern in PERSONAL.items():
+        found = F.array_distinct(F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.array().cast("array<string>")))
+        if kind == "card":
+            found = F.filter(found, luhn)
+        elif kind == "ipv4":
+            found = F.filter(found, lambda x: ~private_address(x))
+        name = F.lit(kind).alias("kind")
+        out.append(F.transform(found, lambda x: F.struct(name, x.alias("value"))))  # noqa: B023
+    return F.concat(*out)
+
+
+def redact_personal(text: Column) -> Column:
+    """The six kinds of REPLACEMENTS replaced by their names, in their order."""
+    for kind, pattern in REPLACEMENTS:
+        text = F.regexp_replace(text, pattern, f"[{kind} REDACTED]")
+    return text
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from archivum.functions import mail
 from archivum.operators import archive as ar
+from archivum.operators.review import indicators
 from archivum.plans.base import query as _query
 from archivum.plans.base import table as _t
 
@@ -203,6 +204,34 @@ def _(s, d):
     return _t(s, d, "documents").select(kinds.alias("f")).where("f.n > 0").groupBy("f.kind").agg(F.count("*").alias("documents"), F.sum("f.n").alias("found"))
 
 
+@_query("x19_personal_data")
+def _(s, d):
+    return _t(s, d, "documents").select("doc_id", F.explode(mail.personal_data(F.col("text"))).alias("f")).select("doc_id", "f.kind", "f.value")
+
+
+@_query("a29_personal_data_kinds")
+def _(s, d):
+    found = _t(s, d, "documents").select(F.explode(mail.personal_data(F.col("text"))["kind"]).alias("kind"), F.monotonically_increasing_id().alias("row"))
+    return found.groupBy("kind", "row").agg(F.count("*").alias("n")).groupBy("kind").agg(F.count("*").alias("documents"), F.sum("n").alias("found"))
+
+
+def _redact_sql() -> str:
+    text = "text"
+    for kind, pattern in mail.REPLACEMENTS:
+        text = f"regexp_replace({text}, '{pattern}', '[{kind} REDACTED]', 'g')"
+    return f"SELECT doc_id, md5({text}) AS redacted FROM documents"
+
+
+@_query("x20_redact_personal", _redact_sql())
+def _(s, d):
+    return _t(s, d, "documents").select("doc_id", F.md5(mail.redact_personal(F.col("text")).cast("binary")).alias("redacted"))
+
+
+@_query("t15_all_indicators", "SELECT kind, value, count(*) AS documents FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, unnest(list_distinct([lower(x) FOR x IN regexp_extract_all(text, '{p}')])) AS value FROM documents" for k, p in mail.PATTERNS.items()) + ") GROUP BY 1, 2")
+def _(s, d):
+    return indicators(_t(s, d, "documents"), "doc_id", "text")
+
+
 @_query("o06_set_operations", "SELECT o_custkey, 'both' AS side FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT o_custkey, 'first' FROM (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _(s, d):
     a, b = (_t(s, d, "orders").where(F.col("o_orderstatus") == x).select("o_custkey") for x in "FP")
