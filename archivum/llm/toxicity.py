@@ -121,17 +121,11 @@ class Grammar:
             stop = np.concatenate(([0], np.cumsum(_END[buf])))
             clause = stop[starts]
             doc = np.searchsorted(at, np.arange(len(h)), "right") - 1
+            cut = np.append(np.flatnonzero(np.concatenate(([True], (clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])))), len(h))
             scores: dict[int, list[float]] = {}
-            edge = -1
-            for i in hot.tolist():
-                if i < edge:
-                    continue
-                a, edge = i, i + 1
-                while a > at[doc[i]] and clause[a - 1] == clause[i] and i - a < 256:
-                    a -= 1
-                while edge < at[doc[i] + 1] and clause[edge] == clause[i] and edge - i < 4096:
-                    edge += 1
-                s = self.clause(symbol[a:edge].tolist(), weight[a:edge].tolist())
+            for k in np.unique(np.searchsorted(cut, hot, "right") - 1).tolist():
+                i, edge = int(cut[k]), int(cut[k + 1])
+                s = self.clause(symbol[i:edge].tolist(), weight[i:edge].tolist())
                 if s > 0:
                     scores.setdefault(int(doc[i]), []).append(s)
             for k, v in scores.items():

@@ -328,3 +328,11 @@ def test_language_model_learns_each_symbol_once_a_round(monkeypatch):
     list(language_model._learner(Held(voc), Held(language_model.GatedModel.start(voc.symbol_counts).w))(iter([batch, batch.slice(0, 3)])))
     h = np.concatenate((h, language_model.tokens([b"", b"", b"one two"])[0]))
     assert seen == Counter(voc.look(h)[2].tolist())
+
+
+def test_a_long_clause_is_read_from_its_first_word_to_its_last():
+    g = toxicity.Grammar({})
+    far = " word" * 3000
+    assert g.features([f"you will see{far} kill"])[0, 0] > 0 == g.features([f"they see{far} kill"])[0, 0]
+    once, twice = (g.features([t])[0] for t in (f"idiot{far}", f"idiot{far * 2} idiot"))
+    assert once[2] == twice[2] and twice[0] > once[0]
