@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 BINS = 128
 BITS = 8
-#: Attempts of the densification before it takes the nearest filled bin to the right.
+#: Attempts of the densification that are tables of their own; later ones follow the order of all bins' first attempts.
 ATTEMPTS = 16
 WIDTH = 5
 
@@ -26,6 +26,16 @@ def _donor(attempt: int, bin_: int) -> int:
     return (x >> 40) % BINS
 
 
+def _donors(bin_: int) -> list[int]:
+    """All bins in the order in which the endless sequence of attempts first meets them."""
+    seen: dict[int, None] = {}
+    attempt = 0
+    while len(seen) < BINS:
+        seen.setdefault(_donor(attempt, bin_))
+        attempt += 1
+    return list(seen)
+
+
 def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     """Add ``out``: array<int> of BINS kept values, empty for a text without words.
 
@@ -47,9 +57,11 @@ def with_bins(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(b, F.when(F.size(f"{f}m") > 0, F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda i: F.try_element_at(f"{f}m", i))))
     tables = [F.lit([_donor(t, i) for i in range(BINS)]) for t in range(ATTEMPTS)]
 
+    every = F.split(F.lit(",".join(str(d) for i in range(BINS) for d in _donors(i))), ",").cast("array<int>")
+
     def filled(v: Column, i: Column) -> Column:
-        near = F.filter(F.concat(F.slice(b, i + 1, F.lit(BINS)), F.col(b)), lambda x: x.isNotNull())
-        return F.coalesce(v, *(F.get(b, F.get(t, i)) for t in tables), F.get(near, F.lit(0)))
+        later = F.filter(F.transform(F.slice(every, i * BINS + 1, F.lit(BINS)), lambda d: F.get(b, d)), lambda x: x.isNotNull())
+        return F.coalesce(v, *(F.get(b, F.get(t, i)) for t in tables), F.get(later, F.lit(0)))
 
     df = df.withColumn(out, F.coalesce(F.when(F.size(b) > 0, F.transform(b, filled)), F.array().cast("array<int>")))
     return df.drop(w, h, s, f, f"{f}m", b)

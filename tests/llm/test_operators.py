@@ -336,3 +336,23 @@ def test_a_long_clause_is_read_from_its_first_word_to_its_last():
     assert g.features([f"you will see{far} kill"])[0, 0] > 0 == g.features([f"they see{far} kill"])[0, 0]
     once, twice = (g.features([t])[0] for t in (f"idiot{far}", f"idiot{far * 2} idiot"))
     assert once[2] == twice[2] and twice[0] > once[0]
+
+
+def test_densification_takes_the_first_filled_bin_of_the_attempts(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in ((0, 1), (1, 5), (2, 8), (3, 20))]
+    own = spark.createDataFrame([(t,) for t in texts], "text string")
+    hashes = fingerprints.F.transform(fingerprints.F.split("text", " "), lambda x: fingerprints.F.xxhash64(x))
+    n = fingerprints.F.size(hashes)
+    runs = fingerprints.F.transform(fingerprints.F.sequence(fingerprints.F.lit(1), n - 4), lambda i: fingerprints.F.xxhash64(fingerprints.F.slice(hashes, i, fingerprints.F.lit(5))))
+    shingles = fingerprints.F.when(n >= 5, runs).otherwise(fingerprints.F.array(fingerprints.F.xxhash64(hashes)))
+    for r in fingerprints.with_bins(own, fingerprints.F.col("text"), "bins").select("bins", shingles.alias("s")).collect():
+        kept = {}
+        for h in sorted(r.s):
+            kept.setdefault((h % 2**64) >> 57, h & 255)
+        want = []
+        for i in range(fingerprints.BINS):
+            at, attempt = i, 0
+            while at not in kept:
+                at, attempt = fingerprints._donor(attempt, i), attempt + 1
+            want.append(kept[at])
+        assert list(r.bins) == want
