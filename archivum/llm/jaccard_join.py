@@ -244,7 +244,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     ids = nodes.join(shared.select("node").distinct(), "node", "left_semi").where("doc_id is not null").select("doc_id").distinct()
-    details = semi_join(docs, ids, "doc_id").mapInArrow(_details, "node long, n long, sketch binary, items binary")
+    known = semi_join(docs, ids, "doc_id").unionByName(docs.where("doc_id is null"))  # a row without an id may hold a set of its own
+    details = known.mapInArrow(_details, "node long, n long, sketch binary, items binary")
     details = materialize(details.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "details")
 
     stars = shared.select(F.col("star").alias("a"), F.col("node").alias("b")).where("a != b").distinct()

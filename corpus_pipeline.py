@@ -19,11 +19,14 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id (a repeated row of it goes, too)."""
+    """Of each group of linked documents, the one with the smallest id (a repeated row of it goes, too).
+
+    Rows repeat where id and text do; different texts of one id stay, and of rows without an id one of each text.
+    """
     found = jaccard_join.jaccard_components(docs)
     extra = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "extra")
     kept = anti_join(docs, extra, "doc_id").select(*docs.columns)
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    return kept.dropDuplicates(["doc_id", "text"])
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,24 @@ def test_densification_takes_the_first_filled_bin_of_the_attempts(spark):
                 at, attempt = fingerprints._donor(attempt, i), attempt + 1
             want.append(kept[at])
         assert list(r.bins) == want
+
+
+def test_a_row_without_an_id_links_its_neighbours(spark):
+    base = [f"w{i}" for i in range(204)]
+    at = lambda *k: " ".join(f"c{i}" if i in k else w for i, w in enumerate(base))
+    left, middle, right = at(20, 60, 100), at(), at(40, 80, 120)
+    sets = [_set(t) for t in (left, middle, right)]
+    alike = lambda a, b: len(a & b) / len(a | b)
+    assert alike(sets[0], sets[1]) >= 0.8 <= alike(sets[1], sets[2]) and alike(sets[0], sets[2]) < 0.8
+    rows = [(1, left, "en", "s", 0, 7, 7, 7, 0.5), (None, middle, "en", "s", 0, 7, 7, 7, 0.5), (3, right, "en", "s", 0, 7, 7, 7, 0.5)]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 1), (1, 1), (3, 1)]
+
+
+def test_pipeline_drops_repeats_by_id_and_text(spark):
+    import corpus_pipeline
+
+    texts = [(1, _text(50, 40)), (1, _text(51, 40)), (1, _text(50, 40)), (None, _text(52, 40)), (None, _text(52, 40)), (None, _text(53, 40)), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 7, 7, 7, 0.5) for i, t in texts], SCHEMA)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    assert Counter(map(tuple, got)) == Counter(set(texts))
