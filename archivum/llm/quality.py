@@ -22,8 +22,6 @@ from archivum.llm.labelled import training_sample
 PASSAGE = 48
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 6000
-#: Passages of one training document that are used, spread evenly over it.
-TRAIN_PASSAGES = 64
 HIDDEN = 16
 GATE = 8
 EPOCHS = 30
@@ -140,7 +138,6 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             x, first = passages(part)
             for k in range(len(part)):
                 own = x[first[k] : first[k + 1]]
-                own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), TRAIN_PASSAGES)).astype(int))]
                 rows.append((y[lo + k], own.astype("<f4").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.binary())], ["y", "x"])
 

@@ -338,6 +338,13 @@ def test_a_long_clause_is_read_from_its_first_word_to_its_last():
     assert once[2] == twice[2] and twice[0] > once[0]
 
 
+def test_training_takes_every_passage():
+    text = _text(1, 48 * 200)
+    batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1.0])], ["text", "y"])
+    (row,) = next(quality._feature_rows(iter([batch]))).to_pylist()
+    assert np.frombuffer(row["x"], "<f4").reshape(-1, quality.FEATURES).shape[0] == len(quality.passages([text.encode()])[0]) >= 200
+
+
 def test_densification_takes_the_first_filled_bin_of_the_attempts(spark):
     texts = [" ".join(f"w{i}x{j}" for j in range(n)) for i, n in ((0, 1), (1, 5), (2, 8), (3, 20))]
     own = spark.createDataFrame([(t,) for t in texts], "text string")
