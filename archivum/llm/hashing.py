@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -42,18 +43,50 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS
 
 
-def chunks(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Runs [lo, hi) of texts of about ``limit`` bytes, so that working arrays stay small; a longer text stands alone."""
+def chunks(texts: list[str | None] | pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Runs [lo, hi) of texts of about ``limit`` bytes, so that working arrays stay small; a longer text stands alone.
+
+    An Arrow column is read value by value, without a copy of the whole batch.
+    """
+    if isinstance(texts, (pa.Array, pa.ChunkedArray)):
+        every = (x.as_py() or b"" for x in texts.cast(pa.binary()))
+    else:
+        every = ((t or "").encode("utf-8", "surrogatepass") for t in texts)
     lo, size, part = 0, 0, []
-    for i, t in enumerate(texts):
-        b = (t or "").encode("utf-8", "surrogatepass")
+    for i, b in enumerate(every):
         if part and size + len(b) > limit:
             yield lo, i, part
             lo, size, part = i, 0, []
         part.append(b)
         size += len(b)
     if part:
-        yield lo, len(texts), part
+        yield lo, lo + len(part), part
+
+
+def slices(text: bytes, limit: int = 1 << 20, space: np.ndarray = _SPACE) -> Iterator[bytes]:
+    """A text in slices of about ``limit`` bytes that end between words (a longer word stays whole)."""
+    lo = 0
+    while lo < len(text):
+        hi = lo + limit
+        while hi < len(text):  # on to the next byte between words
+            ahead = np.flatnonzero(space[np.frombuffer(text[hi : hi + 4096], np.uint8)])
+            if len(ahead):
+                hi += int(ahead[0])
+                break
+            hi += 4096
+        yield text[lo:hi]
+        lo = hi
+
+
+def word_hashes(part: list[bytes], limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of lower-cased texts and each text's first word's place (with the end).
+
+    A text of more than ``limit`` bytes is hashed slice by slice: what is held for it is eight bytes a word.
+    """
+    if len(part) == 1 and len(part[0]) > limit:
+        h = np.concatenate([words([x])[0] for x in slices(part[0], limit)])
+        return h, np.array([0, len(h)])
+    return words(part)[:2]
 
 
 def words(part: list[bytes], space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,5 +136,4 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int = 5) -> Iterator[np.
 def shingle_sets(texts: list[str | None], width: int = 5) -> Iterator[np.ndarray]:
     """The shingle set of each text, as sorted 64-bit hashes."""
     for _, _, part in chunks(texts):
-        h, at, *_ = words(part)
-        yield from shingles(h, at, width)
+        yield from shingles(*word_hashes(part), width)

@@ -6,11 +6,10 @@ sketch at least ``k - (|A| + |B|) // 9`` are equal.  Sizes fall in bands, each b
 keys for its own band and for the bands that hold larger partners.  Ordered by key, with empty parts last, two linked
 documents share one of their first ``(|A| + |B|) // 9 + 1`` parts, so only those are joined and no link is lost.
 
-Equal sets are one node from the start.  Of the documents at a key, each is first verified against the smallest node.
-Only keys whose nodes then still lie in different components are searched in blocks inside tasks: narrow parity
-sketches (a folded form of the wide ones) bound the symmetric difference, and what they leave is verified exactly.  The
-first searches give only a forest of each block, fewer pairs than it has nodes; what it links needs no further pairs.
-A last search gives all pairs that are still within reach and in different components, so no link is lost.
+Equal sets are one node from the start.  Each node at a key is first verified against the smallest one there.  What is
+left are keys of three nodes or more that lie in several components: inside tasks, in blocks, narrow parity sketches (a
+folded form of the wide one) say which nodes have a node of another component within reach.  Only those get their
+shingles; they are verified exactly where they meet, and of each block no more links come out than join its components.
 """
 
 from __future__ import annotations
@@ -22,23 +21,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivum.llm.common import materialize, semi_join
+from archivum.llm.common import discard, materialize, semi_join
 from archivum.llm.components import connected_components
-from archivum.llm.hashing import U, chunks, mix, shingles, words
+from archivum.llm.hashing import U, chunks, mix, shingles, word_hashes
 
 #: Upper sizes of the bands grow by this factor.
 BAND = 1.6
-#: Keys with so many nodes are tried with further centres before their nodes are compared in blocks.
-CROWD = 8
-CENTRES = 3
-#: A turn of centres that links less than this part of its pairs is the last: the blocks find the rest.
-YIELD = 0.01
-#: Searches for forests before the search for all pairs.
-FORESTS = 1
 #: Bits of a narrow sketch for each shingle, a power of two: with 4, pairs below a similarity of about 0.79 stay out.
 WIDTH = 4
-#: Nodes of one key that a task compares with each other; larger groups are dealt out as pairs of blocks.
-BLOCK = 2048
+#: Shingles of a block: the nodes of one key that a task holds are dealt out as pairs of blocks.
+BLOCK = 1 << 20
+#: Documents of the sample that tells very common keys; a key that so many of them have is dealt out by (key, salt).
+SAMPLE, COMMON, SALTS = 4000, 16, 256
+#: 64-bit words that a comparison of sketches works on at once.
+TILE = 1 << 20
 
 
 def _bands(limit: int = 1 << 40) -> list[int]:
@@ -94,40 +90,42 @@ def _fold(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = batch.column("text").to_pylist()
-    for lo, _, part in chunks(texts):
-        h, at, *_ = words(part)
-        yield from enumerate(shingles(h, at), lo)
+def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
+    """Runs [lo, hi) of rows with their shingle sets."""
+    for lo, hi, part in chunks(batch.column("text")):
+        yield lo, hi, list(shingles(*word_hashes(part)))
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(len(s), _node(s) if len(s) else None) for _, s in _sets(batch)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["doc_id", "n_shingles", "node"])
+        for lo, hi, sets in _sets(batch):
+            size, node, sketch = ([f(s) if len(s) else e for s in sets] for f, e in ((len, 0), (_node, None), (_sketch, None)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "n_shingles", "node", "sketch"])
 
 
 def _key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()  # equal sets of a task give their keys once; forgetting some only repeats rows
     for batch in batches:
-        keys, nodes = [], []
-        for _, s in _sets(batch):
-            if len(s) and (node := _node(s)) not in seen:
-                seen.add(node)
-                keys.append(k := _keys(s))
-                nodes.append(np.full(len(k), node))
-        if len(seen) > 1_000_000:
-            seen.clear()
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
-
-
-def _details(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of documents: node, size, sketch and shingle set."""
+        for _, _, sets in _sets(batch):
+            keys, nodes = [], []
+            for s in sets:
+                if len(s) and (node := _node(s)) not in seen:
+                    seen.add(node)
+                    keys.append(k := _keys(s))
+                    nodes.append(np.full(len(k), node))
+            if len(seen) > 500_000:
+                seen.clear()
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["key", "node"])
+
+
+def _node_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of documents: node and shingle set."""
     for batch in batches:
-        rows = [(_node(s), len(s), _sketch(s), s.tobytes()) for _, s in _sets(batch) if len(s)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["node", "n", "sketch", "items"])
+        for _, _, sets in _sets(batch):
+            own = [s for s in sets if len(s)]
+            if own:
+                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["node", "items"])
 
 
 def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -135,78 +133,109 @@ def _near(n: np.ndarray, m: np.ndarray, distance: np.ndarray) -> np.ndarray:
     return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * distance <= n + m)
 
 
-def _block_forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _block_pairs(batches, forest=True)
-
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 4/5."""
+    if 5 * min(len(x), len(y)) < 4 * max(len(x), len(y)):
+        return False
+    both = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * both >= 80 * (len(x) + len(y) - both)
+
+
+def _within_reach(n: np.ndarray, sketch: list[bytes], m: np.ndarray, other: list[bytes]) -> np.ndarray:
+    """A matrix: whether the sketches leave a similarity of 4/5 possible."""
+    out = np.zeros((len(n), len(m)), bool)
+
+    def tables(every: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        widths = np.array([len(s) for s in every])
+        places = {int(w): np.flatnonzero(widths == w) for w in np.unique(widths)}
+        return {w: (at, np.frombuffer(b"".join(every[i] for i in at), U).reshape(len(at), w // 8)) for w, at in places.items()}
+
+    right = tables(other)
+    for v, (rows, a) in tables(sketch).items():
+        for w, (cols, b) in right.items():
+            words = min(v, w) // 8
+            if max(v, w) > 4 * min(v, w):  # one set is more than a quarter larger
+                continue
+            x, y = _fold(a, words), _fold(b, words)
+            step = max(1, TILE // (len(cols) * words))
+            for lo in range(0, len(rows), step):
+                own = rows[lo : lo + step]
+                gap = np.bitwise_count(x[lo : lo + step, None, :] ^ y[None, :, :]).sum(axis=2, dtype=np.int64)
+                out[np.ix_(own, cols)] = _near(n[own, None], m[None, cols], gap)
+    return out
 
-def _block_pairs(batches: Iterator[pa.RecordBatch], forest: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, i, j) with node, n, label, sketch and block -> pairs of different components within reach.
 
-    With ``forest``, a pair that joins two components counts as a link for the rest of its group, and of a node's pairs
-    with one component only the closest is given.  A group is held while it is compared: at most two blocks of nodes.
-    """
+def _groups(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple], list[tuple]]]:
+    """Rows sorted by (key, i, j) -> each group's (key, i, j) and the different rows of its blocks i and j."""
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    def split(rows: list[tuple]) -> tuple[list[tuple], list[tuple]]:
         rows = list(dict.fromkeys(rows))
-        own = [r for r in rows if r[4] == rows[0][5]]
-        other = rows if rows[0][5] == rows[0][6] else [r for r in rows if r[4] == rows[0][6]]
-        if not own or not other:
-            return
-        n, nodes = (np.array([r[i] for r in other]) for i in (1, 0))
-        number = {lab: i for i, lab in enumerate(dict.fromkeys(r[2] for r in rows))}
-        label = np.array([number[r[2]] for r in other])
-        root = np.arange(len(number))
-        by_width: dict[int, list[int]] = {}
-        for i, r in enumerate(other):
-            by_width.setdefault(len(r[3]), []).append(i)
-        packed = {w: (np.array(i), np.frombuffer(b"".join(other[x][3] for x in i), np.uint8).reshape(len(i), w)) for w, i in by_width.items()}
-        for node, m, lab, sketch, *_ in own:
-            mine = np.frombuffer(sketch, np.uint8)
-            closest: dict[int, tuple[int, int]] = {}
-            for w, (i, table) in packed.items():
-                narrow = min(w, len(mine))
-                if max(w, len(mine)) > 4 * narrow:
-                    continue
-                gap = np.bitwise_count(_fold(table, narrow) ^ _fold(mine, narrow)).sum(axis=1)
-                there = root[label[i]]
-                ok = (there != root[number[lab]]) & _near(n[i], m, gap)
-                for x, g, r in zip(nodes[i[ok]].tolist(), gap[ok].tolist(), there[ok].tolist(), strict=True):
-                    if not forest:
-                        yield min(node, x), max(node, x)
-                    elif r not in closest or (g, x) < closest[r]:
-                        closest[r] = g, x
-            for r, (_, x) in closest.items():
-                root[root == r] = root[number[lab]]
-                yield min(node, x), max(node, x)
-
-    def out(found: set) -> pa.RecordBatch:
-        both = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in both], pa.int64()), pa.array([p[1] for p in both], pa.int64())], ["a", "b"])
-
-    group, held, found = None, [], set()
+        _, i, j = group
+        own = [r for r in rows if r[0] == i]
+        return own, own if i == j else [r for r in rows if r[0] == j]
+
+    group, held = None, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "n", "label", "sketch", "block")]
-        for key, i, j, node, n, label, sketch, block in zip(*cols, strict=True):
+        for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "block", *columns)), strict=True):
             if (key, i, j) != group:
-                found.update(pairs(held) if held else ())
+                if held:
+                    yield group, *split(held)
                 group, held = (key, i, j), []
-                if len(found) > 100_000:
-                    yield out(found)
-                    found = set()
-            held.append((node, n, label, sketch, block, i, j))
-    found.update(pairs(held) if held else ())
-    yield out(found)
+            held.append(tuple(row))
+    if held:
+        yield group, *split(held)
+
+
+def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups of (node, n, label, sketch): the rows that have a row of another component within reach."""
+    out: list[tuple] = []
+
+    def rows() -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["key", "i", "j", "block", "node", "label"])
+
+    for (key, i, j), own, other in _groups(batches, ("node", "n", "label", "sketch")):
+        if not own or not other:
+            continue
+        (n, label), (m, there) = ((np.array([r[k] for r in x]) for k in (2, 3)) for x in (own, other))
+        near = _within_reach(n, [r[4] for r in own], m, [r[4] for r in other]) & (label[:, None] != there[None, :])
+        hit = {(i, own[k][1], own[k][3]) for k in np.flatnonzero(near.any(axis=1))} | {(j, other[k][1], other[k][3]) for k in np.flatnonzero(near.any(axis=0))}
+        out.extend((key, i, j, *x) for x in hit)
+        if len(out) > 10_000:
+            yield rows()
+            out = []
+    yield rows()
+
+
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of groups of (node, label, items): verified links, as many as it takes to join what can be joined in the group."""
+    for _, own, other in _groups(batches, ("node", "label", "items")):
+        if not own or not other:
+            continue
+        mine, theirs = ([np.frombuffer(r[3], U) for r in x] for x in (own, other))
+        number = {label: k for k, label in enumerate(dict.fromkeys(r[2] for r in (*own, *other)))}
+        root = np.arange(len(number))
+        label, there = (np.array([number[r[2]] for r in x]) for x in (own, other))
+        near = _within_reach(np.array([len(x) for x in mine]), [_sketch(x) for x in mine], np.array([len(x) for x in theirs]), [_sketch(x) for x in theirs])
+        found = []
+        for k, x in enumerate(mine):
+            todo = np.flatnonzero(near[k])
+            todo = todo[root[there[todo]] != root[label[k]]]
+            while len(todo):
+                at, todo = int(todo[0]), todo[1:]
+                if _similar(x, theirs[at]):
+                    found.append((own[k][1], other[at][1]))
+                    root[root == root[there[at]]] = root[label[k]]
+                    todo = todo[root[there[todo]] != root[label[k]]]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], ["a", "b"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-            both = len(x) + len(y) - len(np.union1d(x, y))
-            keep.append(100 * both >= 80 * (len(x) + len(y) - both))
-        rows = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(rows)), batch.column("b").take(pa.array(rows))], ["a", "b"])
+        keep = [_similar(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)) for x, y in zip(batch.column("x"), batch.column("y"), strict=True)]
+        rows = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
 
 
 def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,19 +243,32 @@ def _reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for n, m, x, y in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "x", "y")), strict=True):
-            x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+            x, y = np.frombuffer(x, U), np.frombuffer(y, U)
             w = min(len(x), len(y))
-            keep.append(max(len(x), len(y)) <= 4 * w and bool(_near(np.int64(n), np.int64(m), np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum())))
-        rows = np.flatnonzero(keep)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(rows)), batch.column("b").take(pa.array(rows))], ["a", "b"])
+            keep.append(max(len(x), len(y)) <= 4 * w and bool(_near(np.int64(n), np.int64(m), np.bitwise_count(_fold(x, w) ^ _fold(y, w)).sum(dtype=np.int64))))
+        rows = pa.array(np.flatnonzero(keep))
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows)], ["a", "b"])
+
+
+def _items(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, items) of the ``wanted`` nodes, read again from one document of each (and from all without an id)."""
+    ids = members.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null").select("doc_id").distinct()
+    known = semi_join(docs, ids, "doc_id").unionByName(docs.where("doc_id is null"))  # a row without an id may hold a set of its own
+    return known.mapInArrow(_node_items, "node long, items binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def _links(pairs: DataFrame, details: DataFrame) -> DataFrame:
-    """The pairs (a, b) that have a similarity of 4/5."""
-    left, right = (details.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(x)) for k, n, x in (("a", "n", "x"), ("b", "m", "y")))
-    close = pairs.join(left, "a").join(right, "b").mapInArrow(_reach, "a long, b long")
-    left, right = (details.select(F.col("node").alias(k), F.col("items").alias(x)) for k, x in (("a", "x"), ("b", "y")))
-    return close.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long")
+def _shared_keys(docs: DataFrame, rows: int) -> DataFrame:
+    """(key, salt, node, star, size) of keys that several nodes have; ``star``: the smallest node there.
+
+    Keys that are very common in a sample of the documents are dealt out by (key, salt), so no task gets all their rows;
+    the sample decides on no more than that.
+    """
+    sample = docs.sample(min(1.0, SAMPLE / max(1, rows)), 7).mapInArrow(_key_rows, "key long, node long")
+    common = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("key"), "common-keys")
+    keys = docs.mapInArrow(_key_rows, "key long, node long").join(F.broadcast(common.withColumn("common", F.lit(True))), "key", "left")
+    keys = keys.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(0).cast("int")).drop("common")
+    at_key = Window.partitionBy("key", "salt")
+    return keys.withColumns({"star": F.min("node").over(at_key), "last": F.max("node").over(at_key), "size": F.count("*").over(at_key)}).where("star != last or salt > 0").drop("last")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -234,71 +276,50 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     Null, empty and blank texts have no shingles and are linked with nothing: component_id is their own doc_id.  Rows
     with equal sets are linked.  A row without a doc_id keeps a null doc_id; its component is named by the other rows'
-    smallest id, null if there is none.  Further columns are ignored; an empty table gives an empty result.
+    smallest id, null if there is none.  A very long text is hashed slice by slice; its set is held by one task at a
+    time.  Further columns, whatever their names, are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members = materialize(docs.mapInArrow(_members, "doc_id long, n_shingles long, node long"), "members")
-    at_key = Window.partitionBy("key")
-    shared = docs.mapInArrow(_key_rows, "key long, node long").withColumns({"star": F.min("node").over(at_key), "last": F.max("node").over(at_key)}).where("star != last")
-    shared = materialize(shared.select("key", "node", "star"), "shared-keys")
-
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = nodes.join(shared.select("node").distinct(), "node", "left_semi").where("doc_id is not null").select("doc_id").distinct()
-    known = semi_join(docs, ids, "doc_id").unionByName(docs.where("doc_id is null"))  # a row without an id may hold a set of its own
-    details = known.mapInArrow(_details, "node long, n long, sketch binary, items binary")
-    details = materialize(details.join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "details")
-
-    stars = shared.select(F.col("star").alias("a"), F.col("node").alias("b")).where("a != b").distinct()
-    links = materialize(_links(stars, details), "links")
+    members = materialize(docs.mapInArrow(_members, "doc_id long, n_shingles long, node long, sketch binary"), "members")
+    shared = materialize(_shared_keys(docs, members.count()), "shared-keys")
+
+    tops = shared.where("salt > 0").groupBy("key").agg(F.min("star").alias("a"))
+    stars = shared.select(F.col("star").alias("a"), F.col("node").alias("b")).unionByName(shared.where("salt > 0").select("key", F.col("star").alias("b")).distinct().join(tops, "key").select("a", "b"))
+    stars = materialize(stars.where("a != b").distinct(), "stars")
+    several = shared.where("size > 2 or salt > 0").select("key", "node").distinct()
+    several = materialize(several, "several")
+    used = several.select("node").union(stars.select("a")).union(stars.select("b")).distinct()
+    facts = members.join(used, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    facts = materialize(facts, "nodes")
+    discard(shared)
+
+    left, right = (facts.select(F.col("node").alias(k), F.col("n").alias(n), F.col("sketch").alias(x)) for k, n, x in (("a", "n", "x"), ("b", "m", "y")))
+    close = materialize(stars.join(left, "a").join(right, "b").mapInArrow(_reach, "a long, b long"), "close")
+    items = materialize(_items(docs, members, close.select(F.col("a").alias("node")).union(close.select("b")).distinct()), "items")
+    left, right = (items.select(F.col("node").alias(k), F.col("items").alias(x)) for k, x in (("a", "x"), ("b", "y")))
+    links = materialize(close.join(left, "a").join(right, "b").mapInArrow(_verify, "a long, b long"), "links")
+    discard(stars, close, items)
     labels = connected_components(links)
 
-    def open_rows(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(key, node, label) of all shared keys, and (key, size) of those whose nodes lie in several components."""
-        apart = shared.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        several = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.countDistinct("node").alias("size")).where("lo != hi")
-        return apart, several.select("key", "size")
-
-    for turn in range(CENTRES):  # the same order of nodes at every key, so that few different pairs arise
-        apart, open_keys = open_rows(labels)
-        crowd = apart.join(open_keys.where(F.col("size") >= CROWD).select("key"), "key")
-        chosen = crowd.groupBy("key").agg(F.min_by(F.struct(F.col("node").alias("a"), F.col("label").alias("other")), F.xxhash64(F.lit(turn), "node")).alias("c")).select("key", "c.*")
-        pairs = materialize(crowd.join(chosen, "key").where("label != other").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct(), "centres")
-        tried = pairs.count()
-        if not tried:
-            break
-        more = materialize(_links(pairs, details), "links")
-        linked = more.count()
-        if linked:
-            links = links.unionByName(more)
-            labels = connected_components(links)
-        if linked < YIELD * tried:
-            break
-
-    def search(labels: DataFrame, inside) -> DataFrame:
-        """What ``inside`` finds in the blocks of all open keys, each pair once."""
-        apart, open_keys = open_rows(labels)
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        dealt = apart.join(open_keys, "key").join(details.select("node", "n", "sketch"), "node").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "size")
-        dealt = dealt.select("key", "i", "j", "node", "n", "label", "sketch", "block").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        return dealt.mapInArrow(inside, "a long, b long").distinct()
-
-    for _ in range(FORESTS):
-        pairs = materialize(search(labels, _block_forests), "forests")
-        tried = pairs.count()
-        more = materialize(_links(pairs, details), "links")
-        linked = more.count()
-        if linked:
-            links = links.unionByName(more)
-            labels = connected_components(links)
-        if linked <= YIELD * tried:
-            break
-
-    if tried:  # a search that finds no forest leaves no pair
-        more = materialize(_links(search(labels, _block_pairs), details), "links")
-        if more.limit(1).count():
-            labels = connected_components(links.unionByName(more))
-
-    named = members.join(labels.withColumnRenamed("label", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = named.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(smallest, "root", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # nodes of keys that still lie in several components, in pairs of blocks
+    apart = several.join(facts.select("node", "n"), "node").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
+    apart = materialize(apart, "apart")
+    keys = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("lo != hi").select("key", "blocks")
+    dealt = apart.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.join(facts.select("node", "sketch"), "node").select("key", "i", "j", "block", "node", "n", "label", "sketch")
+    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = materialize(dealt.mapInArrow(_reachable, "key long, i int, j int, block int, node long, label long"), "reachable")
+    discard(several, apart, facts)
+    items = materialize(_items(docs, members, found.select("node").distinct()), "items")
+    held = found.join(items, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = materialize(held.mapInArrow(_block_links, "a long, b long").distinct(), "links")
+    discard(found, items)
+    if more.limit(1).count():
+        labels = connected_components(links.unionByName(more))
+
+    named = members.select("node", "doc_id").where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left")
+    named = materialize(named.select("node", "doc_id", F.coalesce("label", "node").alias("root")), "named")
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    of_node = named.join(smallest, "root").select("node", "component_id")
+    return members.select("doc_id", "n_shingles", "node").join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
