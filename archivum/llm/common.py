@@ -48,8 +48,8 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def semi_join(big: DataFrame, ids: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of ``big`` whose ``key`` is in ``ids`` (one column, distinct); ``ids`` is broadcast only if it has few rows."""
+def semi_join(big: DataFrame, ids: DataFrame, key: str | list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of ``big`` whose ``key`` is in ``ids`` (distinct); ``ids`` is broadcast only if it has few rows."""
     few = ids.limit(rows + 1).count() <= rows
     return big.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
@@ -59,7 +59,7 @@ def training_row(doc_id: str = "doc_id", held_out: int = 0):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 != held_out, F.lit(True))
 
 
-def anti_join(big: DataFrame, ids: DataFrame, key: str, rows: int = BROADCAST_ROWS) -> DataFrame:
+def anti_join(big: DataFrame, ids: DataFrame, key: str | list[str], rows: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``big`` whose ``key`` isn't in ``ids``; as ``semi_join``."""
     few = ids.limit(rows + 1).count() <= rows
     return big.join(F.broadcast(ids) if few else ids, key, "left_anti")

@@ -197,7 +197,7 @@ def _reachable(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (key, i, j), own, other in _groups(batches, ("node", "n", "label", "sketch")):
         if not own or not other:
             continue
-        (n, label), (m, there) = ((np.array([r[k] for r in x]) for k in (2, 3)) for x in (own, other))
+        n, m, label, there = (np.array([r[k] for r in x]) for k, x in ((2, own), (2, other), (3, own), (3, other)))
         near = _within_reach(n, [r[4] for r in own], m, [r[4] for r in other]) & (label[:, None] != there[None, :])
         hit = {(i, own[k][1], own[k][3]) for k in np.flatnonzero(near.any(axis=1))} | {(j, other[k][1], other[k][3]) for k in np.flatnonzero(near.any(axis=0))}
         out.extend((key, i, j, *x) for x in hit)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivum.llm.common import anti_join, materialize, semi_join
@@ -31,10 +31,19 @@ SIDE = LENGTH - GRAM
 BATCH = 40_000
 #: Different surroundings of one anchor that are held; further ones go on as windows.
 HELD = 100_000
+#: Bytes of a long text that are looked at together.
+SLICE = 1 << 20
+#: Tasks that the rows of a key go to which are known to be shared before they meet.
+SALTS = 1023
 
 
 def anchors(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, position in it, hash) of the anchors of some texts."""
+    """(text, position in it, hash) of the anchors of some texts; a long text is read in slices that share LENGTH - 1 bytes."""
+    if len(part) == 1 and len(part[0]) > SLICE + LENGTH:
+        found = [(at + lo, h) for lo in range(0, len(part[0]) - LENGTH + 1, SLICE) for _, at, h in [anchors([part[0][lo : lo + SLICE + LENGTH - 1]])]]
+        at, h = (np.concatenate(x) for x in zip(*found, strict=True))
+        fresh = np.concatenate(([True], at[1:] != at[:-1]))
+        return np.zeros(int(fresh.sum()), np.int64), at[fresh], h[fresh]
     sizes = np.array([len(p) for p in part])
     first = np.concatenate(([0], np.cumsum(sizes)))
     buf = np.frombuffer(b"".join(part), np.uint8)
@@ -62,29 +71,35 @@ def anchors(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at - first[text], value[at]
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(b) for b in rows], pa.int64()), pa.array([hashlib.sha256(b).digest() for b in rows], pa.binary())], ["doc_id", "n_bytes", "sha"])
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, salt, doc_id).  Of a key that several texts of a chunk have, two rows go where the key goes, the others elsewhere."""
     for batch in batches:
         ids = batch.column("doc_id").to_numpy()
-        for lo, _, part in chunks(batch.column("text").to_pylist()):
+        for lo, _, part in chunks(batch.column("text")):
             text, _, key = anchors(part)
             if len(key):
-                order = np.argsort(key, kind="stable")
+                order = np.lexsort((text, key))
                 text, key = text[order], key[order]
                 fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
-                yield pa.RecordBatch.from_arrays([pa.array(key[fresh].view(np.int64)), pa.array(ids[lo + text[fresh]])], ["key", "doc_id"])
+                text, key = text[fresh], key[fresh]
+                own = ids[lo + text]
+                begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                size = np.diff(np.append(begin, len(key)))
+                nth = np.arange(len(key)) - np.repeat(begin, size)
+                salt = np.where(nth < 2, 0, 1 + (mix(own.view(U) + key) % U(SALTS)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt, pa.int32()), pa.array(own)], ["key", "salt", "doc_id"])
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key, those whose key stands in another row; the last row waits for the next batch."""
+    """Of rows sorted by (key, salt), those with a salt and those whose key stands in another row without; the last one waits."""
     key, doc, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the waiting row, and whether its key was seen before it
     for batch in batches:
-        k, d = np.concatenate((key, batch.column("key").to_numpy())), np.concatenate((doc, batch.column("doc_id").to_numpy()))
+        k, d, salt = (batch.column(c).to_numpy() for c in ("key", "doc_id", "salt"))
+        sure = np.flatnonzero(salt)
+        if len(sure):
+            yield pa.RecordBatch.from_arrays([pa.array(d[sure]), pa.array(k[sure])], ["doc_id", "key"])
+            k, d = k[salt == 0], d[salt == 0]
+        k, d = np.concatenate((key, k)), np.concatenate((doc, d))
         if len(k) < 2:
             key, doc = k, d
             continue
@@ -101,46 +116,62 @@ def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the shuffle."""
     z = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([z.compress((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())], ["doc_id", "body"])
+        body = [z.compress(t.as_py() or b"") for t in batch.column("text").cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(body, pa.binary())], ["doc_id", "row", "body"])
 
 
 def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, around, doc_id, at): up to SIDE bytes before the anchor, the anchor, up to SIDE behind; first byte: how many before."""
+    """(key, around, doc_id, row, at): up to SIDE bytes before the anchor, the anchor, up to SIDE behind; first byte: how many before.
+
+    Equal surroundings of some texts are combined here: those of the smallest id go on, the others are spans to remove
+    (no surroundings; their key deals them out evenly).
+    """
     z = zstandard.ZstdDecompressor()
 
-    def found(docs: list[int], texts: list[bytes], keys: list[np.ndarray]) -> pa.RecordBatch:
+    def found(docs: list[int], rows: list[int], texts: list[bytes], keys: list[np.ndarray]) -> pa.RecordBatch:
         text, at, key = anchors(texts)
         # a key counts only in the text that it was asked for
         asked = mix(np.concatenate(keys).view(U)) + mix(np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(U) + U(1))
-        rows = np.flatnonzero(np.isin(mix(key) + mix(text.astype(U) + U(1)), asked))
-        spots = at[rows].tolist()
-        around = [bytes((min(a, SIDE),)) + texts[t][max(0, a - SIDE) : a + GRAM + SIDE] for t, a in zip(text[rows].tolist(), spots, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key[rows].view(np.int64)), pa.array(around, pa.binary()), pa.array(np.array(docs)[text[rows]]), pa.array(spots, pa.int32())], ["key", "around", "doc_id", "at"])
+        held = np.flatnonzero(np.isin(mix(key) + mix(text.astype(U) + U(1)), asked))
+        text, spots, key = text[held], at[held], key[held].view(np.int64)
+        around = [bytes((min(a, SIDE),)) + texts[t][max(0, a - SIDE) : a + GRAM + SIDE] for t, a in zip(text.tolist(), spots.tolist(), strict=True)]
+        doc, row = np.array(docs)[text], np.array(rows)[text]
+        least: dict[tuple[int, bytes], int] = {}
+        for k in zip(key.tolist(), around, doc.tolist(), strict=True):
+            if least.setdefault(k[:2], k[2]) > k[2]:
+                least[k[:2]] = k[2]
+        late = np.array([least[k, a] < d for k, a, d in zip(key.tolist(), around, doc.tolist(), strict=True)], bool)
+        sizes = np.array([len(a) - 1 for a in around], np.int32)
+        lo = spots - np.array([a[0] for a in around], np.int64)
+        key = np.where(late, (mix(row.view(U)) + lo.view(U)).view(np.int64), key)
+        around = [None if gone else a for a, gone in zip(around, late, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(around, pa.binary()), pa.array(doc), pa.array(row), pa.array(np.where(late, lo, spots), pa.int32()), pa.array(lo + sizes, pa.int32())], ["key", "around", "doc_id", "row", "at", "hi"])
 
     for batch in batches:
-        docs, texts, keys, size = [], [], [], 0
-        for doc, body, own in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), batch.column("keys"), strict=True):
-            text = z.decompress(body)
-            if texts and size + len(text) > 1 << 20:
-                yield found(docs, texts, keys)
-                docs, texts, keys, size = [], [], [], 0
+        docs, rows, texts, keys, size = [], [], [], [], 0
+        for doc, row, body, own in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("body"), batch.column("keys"), strict=True):
+            text = z.decompress(body.as_py())
+            if texts and size + len(text) > SLICE:
+                yield found(docs, rows, texts, keys)
+                docs, rows, texts, keys, size = [], [], [], [], 0
             docs.append(doc)
+            rows.append(row)
             texts.append(text)
             keys.append(own.values.to_numpy())
             size += len(text)
         if texts:
-            yield found(docs, texts, keys)
+            yield found(docs, rows, texts, keys)
 
 
-_OUT = "doc_id long, lo int, hi int, window binary"
+_OUT = "doc_id long, row long, lo int, hi int, window binary"
 
 
-def _rows(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: list[bytes] | None = None) -> pa.RecordBatch:
+def _rows(doc: np.ndarray, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: list[bytes] | None = None) -> pa.RecordBatch:
     last = pa.nulls(len(doc), pa.binary()) if window is None else pa.array(window, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), last], ["doc_id", "lo", "hi", "window"])
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(row, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), last], ["doc_id", "row", "lo", "hi", "window"])
 
 
-def _judge(group: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[bytes]) -> pa.RecordBatch | None:
+def _judge(group: np.ndarray, doc: np.ndarray, row: np.ndarray, at: np.ndarray, around: list[bytes]) -> pa.RecordBatch | None:
     """Groups of several kinds of surroundings: sort the suffixes at each possible window and cut what a smaller id has."""
     bodies = [a[1:] for a in around]
     size = np.array([len(b) for b in bodies])
@@ -169,18 +200,19 @@ def _judge(group: np.ndarray, doc: np.ndarray, at: np.ndarray, around: list[byte
     k, s = kind[hit], at[kind[hit]] - shift[hit]
     cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (s[1:] - s[:-1] > LENGTH))))
     last = np.append(cut[1:], len(k)) - 1
-    return _rows(doc[k[cut]], s[cut], s[last] + LENGTH)
+    return _rows(doc[k[cut]], row[k[cut]], s[cut], s[last] + LENGTH)
 
 
 def _as_windows(table: pa.Table) -> pa.RecordBatch:
     """Every window of some surroundings with its bytes, to be judged by a shuffle."""
-    doc, lo, window = [], [], []
-    for a, d, at in zip(*(table.column(c).to_pylist() for c in ("around", "doc_id", "at")), strict=True):
+    doc, row, lo, window = [], [], [], []
+    for a, d, r, at in zip(*(table.column(c).to_pylist() for c in ("around", "doc_id", "row", "at")), strict=True):
         for i in range(len(a) - LENGTH):
             doc.append(d)
+            row.append(r)
             lo.append(at - a[0] + i)
             window.append(a[1 + i : 1 + i + LENGTH])
-    return _rows(np.array(doc, np.int64), np.array(lo, np.int64), np.array(lo, np.int64) + LENGTH, window)
+    return _rows(np.array(doc, np.int64), np.array(row, np.int64), np.array(lo, np.int64), np.array(lo, np.int64) + LENGTH, window)
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +224,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def collapse(table: pa.Table) -> tuple[pa.Table, np.ndarray, pa.RecordBatch]:
         """Rows of the smallest document of each kind of surroundings, with the kinds' numbers; and what others lose."""
-        key, doc, at = (table.column(c).to_numpy() for c in ("key", "doc_id", "at"))
+        key, doc, row, at = (table.column(c).to_numpy() for c in ("key", "doc_id", "row", "at"))
         around = table.column("around").combine_chunks()
         size = pc.binary_length(around).to_numpy()
         same = np.concatenate(([False], (key[1:] == key[:-1]) & pc.equal(around[1:], around[:-1]).to_numpy(zero_copy_only=False)))
@@ -202,7 +234,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.frombuffer(around.buffers()[2], np.uint8)[np.frombuffer(around.buffers()[1], np.int32)[around.offset : around.offset + len(around)]] if len(around) else np.zeros(0, np.uint8)
         lo = at[late] - first[late].astype(np.int64)
         rows = np.flatnonzero(own)
-        return table.take(pa.array(rows)), kind[rows], _rows(doc[late], lo, lo + size[late] - 1)
+        return table.take(pa.array(rows)), kind[rows], _rows(doc[late], row[late], lo, lo + size[late] - 1)
 
     def finish(table: pa.Table, wide: int | None) -> Iterator[pa.RecordBatch]:
         table, kind, lost = collapse(table)
@@ -220,12 +252,17 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.flatnonzero(several)
         for lo, hi in _parts(group[rows]):
             own = table.take(pa.array(rows[lo:hi]))
-            if (out := _judge(group[rows[lo:hi]], own.column("doc_id").to_numpy(), own.column("at").to_numpy().astype(np.int64), own.column("around").to_pylist())) is not None:
+            if (out := _judge(group[rows[lo:hi]], own.column("doc_id").to_numpy(), own.column("row").to_numpy(), own.column("at").to_numpy().astype(np.int64), own.column("around").to_pylist())) is not None:
                 yield out
 
     held: pa.Table | None = None
     wide = None
     for batch in batches:
+        known = batch.column("around").is_null()
+        if known.true_count:
+            gone = batch.filter(known)
+            yield _rows(*(gone.column(c).to_numpy() for c in ("doc_id", "row", "at", "hi")))
+            batch = batch.filter(pc.invert(known))
         table = pa.Table.from_batches([batch])
         table = table if held is None else pa.concat_tables([held, table])
         if not len(table):
@@ -271,66 +308,69 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _identified(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    """Rows with an id; ``row`` tells different texts of one id apart."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text")).where("doc_id is not null")
 
 
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(facts, copies, spans) of ``docs`` (doc_id, text, ...): what each text is, which ids repeat a whole text, what to cut.
+    """(facts, copies, spans) of ``docs`` (doc_id, text, ...): what each text is, which rows repeat a whole text, what to cut.
 
-    facts: doc_id, n_bytes, sha; copies: doc_id of texts of LENGTH bytes or more that a smaller id has in full; spans:
-    doc_id and merged spans (lo, hi in UTF-8 bytes) of the others.  Rows without an id are left out.
+    facts: doc_id, row, n_bytes, sha; copies: doc_id, row of texts of LENGTH bytes or more that a smaller id has in full;
+    spans: doc_id, row and spans (lo, hi in UTF-8 bytes) of the others.  Rows without an id are left out.
     """
     own = _identified(docs)
-    facts = materialize(own.mapInArrow(_whole, "doc_id long, n_bytes long, sha binary"), "facts")
-    least = facts.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    copies = facts.where(F.col("n_bytes") >= LENGTH).join(least, "sha").where("doc_id > least").select("doc_id").distinct()
+    body = F.col("text").cast("binary")
+    facts = materialize(own.select("doc_id", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(body, 256)).alias("sha")), "facts")
+    least = facts.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = facts.where(F.col("n_bytes") >= LENGTH).join(least, "sha").where("doc_id > least").select("doc_id", "row").distinct()
     copies = materialize(copies, "copies")
 
-    single = anti_join(own, copies, "doc_id")
-    rows = single.mapInArrow(_anchor_rows, "key long, doc_id long").repartition("key").sortWithinPartitions("key")
+    single = anti_join(own, copies, ["doc_id", "row"])
+    rows = single.mapInArrow(_anchor_rows, "key long, salt int, doc_id long").repartition("key", "salt").sortWithinPartitions("key", "salt")
     keys = rows.mapInArrow(_several, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    bodies = single.mapInArrow(_compress, "doc_id long, body binary")
-    around = bodies.join(keys, "doc_id").mapInArrow(_surroundings, "key long, around binary, doc_id long, at int")
+    bodies = single.mapInArrow(_compress, "doc_id long, row long, body binary")
+    around = bodies.join(keys, "doc_id").mapInArrow(_surroundings, "key long, around binary, doc_id long, row long, at int, hi int")
     found = around.repartition("key").sortWithinPartitions("key", "around", "doc_id", "at").mapInArrow(_spans, _OUT)
     found = materialize(found, "spans")
-    least = F.min("doc_id").over(Window.partitionBy("window"))
-    late = found.where("window is not null").withColumn("least", least).where("doc_id > least")
-    spans = found.where("window is null").select("doc_id", "lo", "hi").unionByName(late.select("doc_id", "lo", "hi"))
-    return facts, copies, spans.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    windows = found.where("window is not null")
+    late = windows.join(windows.groupBy("window").agg(F.min("doc_id").alias("least")), "window").where("doc_id > least")
+    spans = found.where("window is null").select("doc_id", "row", "lo", "hi").unionByName(late.select("doc_id", "row", "lo", "hi"))
+    return facts, copies, spans.groupBy("doc_id", "row").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-            body, kept, at = (text or "").encode("utf-8", "surrogatepass"), [], 0
+        for doc, row, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
+            body, kept, at = text.as_py() or b"", [], 0
             runs = merge([(s["lo"], s["hi"]) for s in spans])
             for lo, hi in runs:
                 kept.append(body[at:lo])
                 at = hi
             kept.append(body[at:])
-            rows.append((doc, sum(b - a for a, b in runs), len(runs), hashlib.sha256(b"".join(kept)).hexdigest(), b"".join(kept)))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+            left = b"".join(kept)
+            rows.append((doc, row, sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "row", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _cut_rows(docs: DataFrame, spans: DataFrame) -> DataFrame:
     spans = materialize(spans, "merged")
-    with_text = semi_join(_identified(docs), spans.select("doc_id"), "doc_id").join(spans, "doc_id")
-    return with_text.mapInArrow(_cut, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    with_text = semi_join(_identified(docs), spans.select("doc_id", "row"), ["doc_id", "row"]).join(spans, ["doc_id", "row"])
+    return with_text.mapInArrow(_cut, "doc_id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row"])
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
-    Null texts count as empty.  Of rows with one doc_id none removes from another; a row without a doc_id keeps all its
-    bytes and removes nothing.  Texts shorter than 50 bytes keep all.  An empty table gives no rows.
+    Null texts count as empty.  Of rows with one doc_id, with equal or different texts, none removes from another; a
+    row without a doc_id keeps all its bytes and removes nothing.  Texts shorter than 50 bytes keep all.  A very long
+    text is searched slice by slice and held as bytes.  Further columns are ignored; an empty table gives no rows.
     """
     facts, copies, spans = repeated_spans(docs)
     cut = _cut_rows(docs, spans).drop("kept")
-    out = facts.join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
-    cut = cut.dropDuplicates()
-    joined = out.join(cut, "doc_id", "left")
+    joined = facts.join(copies.withColumn("copy", F.lit(True)), ["doc_id", "row"], "left").join(cut, ["doc_id", "row"], "left")
     gone = F.col("copy").isNotNull()
     empty = hashlib.sha256(b"").hexdigest()
     done = joined.select(
@@ -348,18 +388,25 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated bytes cut from ``text`` (and ``n_chars`` anew where there is such a column).
 
-    Cut characters of several bytes are dropped as a whole.  Every row stays; whole copies keep an empty text.
+    Cut characters of several bytes are dropped as a whole.  Every row stays, with all its columns whatever their names;
+    whole copies keep an empty text.  An empty table stays empty.
     """
     _, copies, spans = repeated_spans(docs)
-    cut = _cut_rows(docs, spans).select("doc_id", F.col("kept").alias("kept")).dropDuplicates(["doc_id"])
-    cut = cut.unionByName(copies.withColumn("kept", F.lit(b"")))
+    cut = _cut_rows(docs, spans).select("doc_id", "row", "kept").unionByName(copies.withColumn("kept", F.lit(b"")))
+    ours, names = {}, docs.columns
+    for column in ("doc_id", "row", "kept"):
+        ours[column] = "cut_" + column
+        while ours[column] in names:
+            ours[column] += "_"
+    cut = cut.select(*(F.col(a).alias(b) for a, b in ours.items()))
     schema = docs.schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column("kept").to_pylist(), strict=True)]
+            text = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column(ours["kept"]).to_pylist(), strict=True)]
             cols = [pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    out = docs.join(cut, "doc_id", "left").select(*docs.columns, "kept").mapInArrow(decode, schema)
-    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    same = (docs["doc_id"].cast("long") == cut[ours["doc_id"]]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == cut[ours["row"]])
+    out = docs.join(cut, same, "left").select(*(docs[n] for n in names), ours["kept"]).mapInArrow(decode, schema)
+    return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in names else out

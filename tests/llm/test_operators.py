@@ -384,3 +384,69 @@ def test_pipeline_drops_repeats_by_id_and_text(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0, 7, 7, 7, 0.5) for i, t in texts], SCHEMA)
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "").select("doc_id", "text").collect()
     assert Counter(map(tuple, got)) == Counter(set(texts))
+
+
+def _removed(rows):
+    """Brute force: per row what bytes a smaller id has."""
+    least = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            least[b[i : i + 50]] = min(least.get(b[i : i + 50], 1 << 60), d)
+    out = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 49):
+            if least[b[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        spans = int(np.count_nonzero(np.diff(np.concatenate(([0], gone.astype(int)))) == 1))
+        out.append((d, len(b), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    return Counter(out)
+
+
+def test_substring_dedup_tells_texts_of_one_id_apart(spark):
+    a, b = _text(60, 12), _text(61, 12)
+    for rows in ([(5, a), (7, a), (7, b)], [(5, a + b), (7, a + b), (7, b + a), (7, b + a)], [(1, b), (7, a), (7, a + b), (9, b + a)]):
+        own = spark.createDataFrame([(d, t, "k", "r") for d, t in rows], "doc_id long, text string, kept string, row string")
+        got = Counter(map(tuple, substring_dedup.removed_bytes(own).collect()))
+        assert got == _removed(rows)
+        cut = substring_dedup.without_repeats(own)
+        assert cut.columns == own.columns and cut.count() == len(rows) and {(r.kept, r.row) for r in cut.collect()} == {("k", "r")}
+
+
+def test_shared_passages_of_many_texts_are_cut_in_slices_too(spark, monkeypatch):
+    passage = _text(70, 25)
+    rows = [(i, f"{_text(i, 15 + i % 5)} {passage} {_text(i + 500, 10)}") for i in range(40)] + [(99, _text(71, 400) + passage + _text(3, 15))]
+    want = _removed(rows)
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(map(tuple, substring_dedup.removed_bytes(own).collect())) == want
+    big = [(t or "").encode() for _, t in rows]
+    whole = [substring_dedup.anchors([b]) for b in big]
+    monkeypatch.setattr(substring_dedup, "SLICE", 256)
+    for b, (_, at, h) in zip(big, whole, strict=True):
+        _, there, same = substring_dedup.anchors([b])
+        assert set(zip(at.tolist(), h.tolist())) == set(zip(there.tolist(), same.tolist()))
+
+
+def test_common_keys_dealt_by_salt_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "COMMON", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 300)
+    base = _text(5, 60).split()
+    rows = []
+    for i in range(40):
+        w = list(base)
+        for p in np.random.default_rng(i).choice(60, 1 + i % 2, replace=False):
+            w[p] = f"edit{i}"
+        rows.append((i, " ".join(w)))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == _components(rows)[0]
+
+
+def test_long_texts_are_hashed_in_slices():
+    from archivum.llm import hashing
+
+    text = (_text(8, 4000) + " " + "x" * 9000 + " end").encode()
+    for limit in (100, 5000, 1 << 20):
+        assert hashing.word_hashes([text], limit)[0].tolist() == hashing.words([text])[0].tolist()
+    assert hashing.word_hashes([b" " * 300], 100)[0].tolist() == []
