@@ -124,7 +124,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """(key, around, doc_id, row, at): up to SIDE bytes before the anchor, the anchor, up to SIDE behind; first byte: how many before.
 
     Equal surroundings of some texts are combined here: those of the smallest id go on, the others are spans to remove
-    (no surroundings; their key deals them out evenly).
+    (merged, without surroundings; their key deals them out evenly).
     """
     z = zstandard.ZstdDecompressor()
 
@@ -143,9 +143,14 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         late = np.array([least[k, a] < d for k, a, d in zip(key.tolist(), around, doc.tolist(), strict=True)], bool)
         sizes = np.array([len(a) - 1 for a in around], np.int32)
         lo = spots - np.array([a[0] for a in around], np.int64)
-        key = np.where(late, (mix(row.view(U)) + lo.view(U)).view(np.int64), key)
-        around = [None if gone else a for a, gone in zip(around, late, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(around, pa.binary()), pa.array(doc), pa.array(row), pa.array(np.where(late, lo, spots), pa.int32()), pa.array(lo + sizes, pa.int32())], ["key", "around", "doc_id", "row", "at", "hi"])
+        hi, gone, stay = lo + sizes, np.flatnonzero(late), np.flatnonzero(~late)
+        cut = np.flatnonzero(np.concatenate(([True], (text[gone][1:] != text[gone][:-1]) | (lo[gone][1:] > hi[gone][:-1])))) if len(gone) else gone  # overlapping spans of a text are one
+        begin, end = gone[cut], gone[np.append(cut[1:], len(gone)) - 1] if len(gone) else gone
+        every = np.concatenate((stay, begin))
+        key = np.concatenate((key[stay], (mix(row[begin].view(U)) + lo[begin].view(U)).view(np.int64)))
+        body = pa.array([*(around[k] for k in stay.tolist()), *([None] * len(begin))], pa.binary())
+        at, hi = np.concatenate((spots[stay], lo[begin])), np.concatenate((hi[stay], hi[end]))
+        return pa.RecordBatch.from_arrays([pa.array(key), body, pa.array(doc[every]), pa.array(row[every]), pa.array(at, pa.int32()), pa.array(hi, pa.int32())], ["key", "around", "doc_id", "row", "at", "hi"])
 
     for batch in batches:
         docs, rows, texts, keys, size = [], [], [], [], 0
