@@ -1,12 +1,14 @@
 """Language-model scores: exact unigram counts over all training texts, and a gated recurrent model with classes.
 
 Unigram: words are counted in tasks, counts meet in one shuffle.  The most frequent words (a fixed number) are broadcast
-with their counts; of rarer words each document sends one row a word to a join with the counts.
+with their counts; of rarer words each document sends one row a word to a join with the counts.  Texts are read once
+more for their symbols, two bytes a word, which both the training and the scoring of the model take.
 
 Model: a gated recurrent unit reads the text word by word, its state carried from window to window through the whole
-document; the output is factored into classes of words.  Words outside its vocabulary are one symbol, spelled out by the
-unigram model, so the probabilities of all texts sum to one.  It is trained in tasks by truncated backpropagation on
-every window of every training document, and averaged between rounds; each symbol is learned once in a round.
+document, in training too; the output is factored into classes of words.  Words outside its vocabulary are one symbol,
+spelled out by the unigram model, so the probabilities of all texts sum to one.  It is trained in tasks by truncated
+backpropagation: each task's training documents run through lanes side by side, and every symbol is learned once.  The
+tasks' weights are averaged as a tree.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm.common import materialize, training_row
-from archivum.llm.hashing import U, chunks, words
+from archivum.llm.common import discard, materialize, training_row
+from archivum.llm.hashing import chunks, word_hashes
 
 #: Words whose counts are broadcast.
 HEAD = 100_000
@@ -28,14 +30,13 @@ CLASSES, EACH = 32, 32
 #: Symbols of the model: the most frequent words, the end of a text, and one for all other words.
 VOCABULARY = CLASSES * EACH
 HIDDEN = 24
-#: Steps of a window of truncated backpropagation; as many steps before it warm up the state.
-WINDOW = 32
-#: Passes over all windows of all training documents.
-ROUNDS = 2
-BATCH = 64
-RATE = 0.01
-#: Windows that are cut, and rows of output that are computed, at a time.
-SLICE, ROWS = 4096, 16_384
+#: Steps of a window of truncated backpropagation.
+WINDOW = 16
+#: Texts that run side by side in training, and symbols that are dealt out to them at a time.
+LANES, STREAM = 256, 1 << 18
+RATE = 0.02
+#: Texts that run side by side in scoring, and rows of output that are computed at a time.
+SIDE, ROWS = 512, 8192
 #: Blobs of weights that are averaged in one place.
 FAN_IN = 64
 #: The end of a text; no word has this hash but by chance.
@@ -46,7 +47,7 @@ Weights = dict[str, np.ndarray]
 
 def tokens(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of some texts, each text followed by END, and each text's first place (with the end)."""
-    h, at, *_ = words(part)
+    h, at = word_hashes(part)
     n = np.diff(at)
     first = np.concatenate(([0], np.cumsum(n + 1)))
     out = np.full(first[-1], END)
@@ -66,7 +67,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return k[cut], np.add.reduceat(c, cut)
 
     for batch in batches:
-        for _, _, part in chunks(batch.column("text").to_pylist()):
+        for _, _, part in chunks(batch.column("text")):
             k, c = np.unique(tokens(part)[0], return_counts=True)
             keys.append(k)
             counts.append(c)
@@ -82,10 +83,6 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], ["word", "n"])
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(1) / (np.float32(1) + np.exp(-x))
-
-
 class GatedModel:
     """Weights: wx (input symbol to gates), u (state to gates), b; wc, bc (classes); ww, bw (words of each class)."""
 
@@ -103,23 +100,30 @@ class GatedModel:
             "wc": np.zeros((HIDDEN, CLASSES), f), "bc": np.log(p.sum(1) / p.sum()).astype(f), "ww": np.zeros((CLASSES, HIDDEN, EACH), f), "bw": np.log(p / p.sum(1, keepdims=True)).astype(f),
         })
 
-    def step(self, symbol: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        return self._gates(self.w["wx"][symbol] + self.w["b"], h)
-
-    def _gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    def gates(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The next state from an input's part ``x`` and the state ``h``; also z, r, c and the state's part of c."""
         n = HIDDEN
         g = h @ self.w["u"]
-        gates = _sigmoid(x[:, : 2 * n] + g[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
-        return c + z * (h - c), z, r, c, g[:, 2 * n :]
+        zr = x[:, : 2 * n] + g[:, : 2 * n]
+        zr *= 0.5
+        np.tanh(zr, out=zr)  # the logistic function
+        zr *= 0.5
+        zr += 0.5
+        z, r, gc = zr[:, :n], zr[:, n:], g[:, 2 * n :]
+        c = r * gc
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, gc
 
     def output(self, h: np.ndarray, target: np.ndarray, grad: Weights | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of targets; with ``grad``, gradients are added and those of ``h`` returned."""
         w = self.w
+        order = np.argsort((target // EACH).astype(np.uint8), kind="stable")
+        h, target = h[order], target[order]
         c, word = np.divmod(target, EACH)
-        order = np.argsort(c, kind="stable")
-        h, c, word = h[order], c[order], word[order]
         cut = np.searchsorted(c, np.arange(CLASSES + 1))
         runs = [(k, slice(cut[k], cut[k + 1])) for k in range(CLASSES) if cut[k] < cut[k + 1]]
         rows = np.arange(len(target))
@@ -128,14 +132,16 @@ class GatedModel:
             s -= s.max(1, keepdims=True)
             own = s[rows, at]
             np.exp(s, out=s)
-            total = s.sum(1)
+            total = s @ np.ones(s.shape[1], s.dtype)
             if grad is None:
                 return own - np.log(total), None
             s /= total[:, None]
             s[rows, at] -= 1
             return own - np.log(total), s
 
-        by_class, d = log_softmax(h @ w["wc"] + w["bc"], c)
+        s = h @ w["wc"]
+        s += w["bc"]
+        by_class, d = log_softmax(s, c)
         dh = None
         if grad is not None:
             grad["wc"] += h.T @ d
@@ -143,91 +149,106 @@ class GatedModel:
             dh = d @ w["wc"].T
         s = np.empty((len(target), EACH), by_class.dtype)
         for k, own in runs:
-            s[own] = h[own] @ w["ww"][k] + w["bw"][k]
+            np.matmul(h[own], w["ww"][k], out=s[own])
+            s[own] += w["bw"][k]
         by_word, d = log_softmax(s, word)
-        back = np.empty_like(order)
-        back[order] = rows
+        out = np.empty_like(by_class)
+        out[order] = by_class + by_word
         if grad is None:
-            return (by_class + by_word)[back], None
+            return out, None
         for k, own in runs:
             grad["ww"][k] += h[own].T @ d[own]
             grad["bw"][k] += d[own].sum(0)
             dh[own] += d[own] @ w["ww"][k].T
-        return (by_class + by_word)[back], dh[back]
+        back = np.empty_like(dh)
+        back[order] = dh
+        return out, back
 
-    def train(self, windows: np.ndarray, warm: int, live: np.ndarray | None = None) -> Weights:
-        """Gradients of the mean loss over rows of symbols: the first ``warm`` inputs carry the state, the rest are learned.
+    def train(self, inputs: np.ndarray, targets: np.ndarray, fresh: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[Weights, np.ndarray]:
+        """Gradients of the mean loss over a window, and the lanes' last states.
 
-        With ``live``, only so many of a row's learned symbols count; what follows them is padding.
+        Rows are steps, columns lanes.  Where ``fresh``, a text begins and the state is zero; where not ``live``, there
+        is nothing to learn.  ``h``: the lanes' states before the window.
         """
         w, n = self.w, HIDDEN
-        b, steps = windows.shape[0], windows.shape[1] - 1
+        steps, lanes = inputs.shape
         grad = {k: np.zeros_like(v) for k, v in w.items()}
-        x = (w["wx"] + w["b"])[windows[:, :-1].T]
-        h, kept = np.zeros((b, n), x.dtype), []
+        x = (w["wx"] + w["b"])[inputs]
+        before, states, z, r, c, gn = (np.empty((steps, lanes, n), x.dtype) for _ in range(6))
+        starts = fresh.any(axis=1)
         for t in range(steps):
-            before = h
-            h, z, r, c, gn = self._gates(x[t], h)
-            if t >= warm:
-                kept.append((before, h, z, r, c, gn))
-        before, states, z, r, c, gn = (np.stack(k) for k in zip(*kept, strict=True))
-        target = windows[:, warm + 1 :].T.reshape(-1)
-        states = states.reshape(-1, n)
-        if live is None:
-            dh_all = self.output(states, target, grad)[1]
-            count = len(target)
+            if starts[t]:
+                h = np.where(fresh[t, :, None], x.dtype.type(0), h)
+            before[t] = h
+            h, z[t], r[t], c[t], gn[t] = self.gates(x[t], h)
+            states[t] = h
+        flat = states.reshape(-1, n)
+        if live.all():
+            count = targets.size
+            d_states = self.output(flat, targets.reshape(-1), grad)[1]
         else:
-            counts = np.flatnonzero((np.arange(steps - warm)[:, None] < live).reshape(-1))
-            dh_all, count = np.zeros_like(states), len(counts)
-            dh_all[counts] = self.output(states[counts], target[counts], grad)[1]
-        dh_all = dh_all.reshape(len(kept), b, n)
+            some = np.flatnonzero(live.reshape(-1))
+            d_states, count = np.zeros_like(flat), max(1, len(some))
+            if len(some):
+                d_states[some] = self.output(flat[some], targets.reshape(-1)[some], grad)[1]
+        d_states = d_states.reshape(steps, lanes, n)
         to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), gn * r * (1 - r)
-        dx, dg = (np.empty((len(kept), b, 3 * n), dh_all.dtype) for _ in range(2))
-        dh, u = np.zeros((b, n), dh_all.dtype), np.ascontiguousarray(w["u"].T)
-        for t in range(len(kept) - 1, -1, -1):
-            dh = dh + dh_all[t]
+        dx, dg = (np.empty((steps, lanes, 3 * n), x.dtype) for _ in range(2))
+        dh, u = np.zeros((lanes, n), x.dtype), np.ascontiguousarray(w["u"].T)
+        for t in range(steps - 1, -1, -1):
+            dh += d_states[t]
             dc = np.multiply(dh, to_c[t], out=dx[t, :, 2 * n :])
             np.multiply(dh, to_z[t], out=dg[t, :, :n])
             np.multiply(dc, to_r[t], out=dg[t, :, n : 2 * n])
             np.multiply(dc, r[t], out=dg[t, :, 2 * n :])
-            dh = dh * z[t] + dg[t] @ u
+            dh *= z[t]
+            dh += dg[t] @ u
+            if starts[t]:
+                dh[fresh[t]] = 0
         dx[:, :, : 2 * n] = dg[:, :, : 2 * n]
         dx = dx.reshape(-1, 3 * n)
         grad["u"] += before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
         grad["b"] += dx.sum(0)
-        symbol = windows[:, warm:-1].T.reshape(-1)
+        symbol = inputs.reshape(-1).astype(np.uint16)
         order = np.argsort(symbol, kind="stable")
-        cut = np.flatnonzero(np.concatenate(([True], np.diff(symbol[order]) != 0)))
-        grad["wx"][symbol[order[cut]]] += np.add.reduceat(dx[order], cut)
+        sorted_ = symbol[order]
+        cut = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        grad["wx"][sorted_[cut]] += np.add.reduceat(dx[order], cut)
         for v in grad.values():
             v /= count
-        return grad
+        return grad, h
 
     def score(self, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each text: windows of steps over all texts, the state carried along."""
+        """Natural log-probability of each text, the state carried through it; texts of like lengths run side by side."""
         size = np.diff(first)
         order = np.argsort(-size, kind="stable")
-        begin, length = first[:-1][order], size[order]
         out = np.zeros(len(size))
-        h = np.zeros((len(size), HIDDEN), np.float32)
-        for lo in range(0, int(length[0]) if len(length) else 0, WINDOW):
-            states, targets, owner = [], [], []
-            for t in range(lo, lo + WINDOW):
-                live = int(np.searchsorted(-length, -t, "left"))  # texts of more than t symbols
-                if not live:
-                    break
+        table = self.w["wx"] + self.w["b"]
+        for lo in range(0, len(order), SIDE):
+            own = order[lo : lo + SIDE]
+            begin, length = first[:-1][own], size[own]
+            h = np.zeros((len(own), HIDDEN), np.float32)
+            states, targets, owner, held = [], [], [], 0
+
+            def add() -> None:
+                h_all, target = np.concatenate(states), np.concatenate(targets)
+                p = np.concatenate([self.output(h_all[i : i + ROWS], target[i : i + ROWS])[0] for i in range(0, len(target), ROWS)])
+                out[own] += np.bincount(np.concatenate(owner), p, len(own))  # noqa: B023
+
+            ends = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # texts of more than t symbols
+            for t, live in enumerate(ends.tolist()):
                 at = begin[:live] + t
-                h[:live], *_ = self.step(symbols[at - 1] if t else np.full(live, VOCABULARY - 1), h[:live])
-                states.append(h[:live].copy())
+                h, *_ = self.gates(table[symbols[at - 1]] if t else np.broadcast_to(table[VOCABULARY - 1], (live, table.shape[1])), h[:live])
+                states.append(h)
                 targets.append(symbols[at])
                 owner.append(np.arange(live))
-            if states:
-                h_all, target = np.concatenate(states), np.concatenate(targets)
-                p = np.concatenate([self.output(h_all[i : i + ROWS], target[i : i + ROWS])[0] for i in range(0, len(target), ROWS)])
-                out += np.bincount(np.concatenate(owner), p, len(size))
-        back = np.empty_like(out)
-        back[order] = out
-        return back
+                held += live
+                if held >= 4 * ROWS:
+                    add()
+                    states, targets, owner, held = [], [], [], 0
+            if held:
+                add()
+        return out
 
 
 class Vocabulary:
@@ -242,6 +263,7 @@ class Vocabulary:
         symbol[words_ == END] = VOCABULARY - 1
         order = np.argsort(words_)
         self.words, self.counts, self.symbol = words_[order], counts[order], symbol[order].astype(np.int32)
+        self.logs = np.log10(self.counts + 0.5) - self.norm
         in_model = np.zeros(VOCABULARY)
         np.add.at(in_model, self.symbol, self.counts)
         known = sum(int(c) for c, s in zip(self.counts, self.symbol, strict=True) if s != VOCABULARY - 2)
@@ -252,12 +274,12 @@ class Vocabulary:
         self.other = np.log10((total - known) + 0.5 * (distinct + 1 - kinds)) - self.norm
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(is a head word, count, symbol) of words."""
+        """(is a head word, log10 of its unigram probability or 0, symbol) of words."""
         if not len(self.words):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.where(h == END, VOCABULARY - 1, VOCABULARY - 2)
+            return np.zeros(len(h), bool), np.zeros(len(h)), np.where(h == END, VOCABULARY - 1, VOCABULARY - 2)
         at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
         found = self.words[at] == h
-        return found, np.where(found, self.counts[at], 0), np.where(found, self.symbol[at], np.where(h == END, VOCABULARY - 1, VOCABULARY - 2))
+        return found, np.where(found, self.logs[at], 0.0), np.where(found, self.symbol[at], np.where(h == END, VOCABULARY - 1, VOCABULARY - 2))
 
 
 def _pack(w: Weights) -> bytes:
@@ -272,41 +294,41 @@ def _unpack(data: bytes, like: Weights) -> Weights:
     return out
 
 
-def windows(symbol: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All windows of some texts in a mixed order, as (rows, live): each symbol is learned in just one row.
+def lanes(symbol: np.ndarray, first: np.ndarray, width: int = LANES) -> Iterator[tuple[np.ndarray, ...]]:
+    """Windows (inputs, targets, fresh, live, begin) of some texts end to end, cut into lanes of equal length.
 
-    A row is WINDOW + 1 symbols before the window (ends before a text's first) and the window, of which ``live`` symbols
-    are the text's and the others padding.
+    Each symbol is a live target once.  A lane that begins inside a text starts with a window that only carries the
+    state, from the symbols before it; ``begin`` is true for the first window of the lanes.
     """
-    count = -(-np.diff(first) // WINDOW)
-    until = np.cumsum(count)
-    total = int(until[-1]) if len(until) else 0
-    order = np.random.default_rng(total).permutation(total)
-    for lo in range(0, total, SLICE):
-        one = order[lo : lo + SLICE]
-        text = np.searchsorted(until, one, "right")
-        a, b = first[text], first[text + 1]
-        begin = a + (one - (until - count)[text]) * WINDOW
-        at = begin[:, None] + np.arange(-WINDOW - 1, WINDOW)
-        inside = (at >= a[:, None]) & (at < b[:, None])
-        yield np.where(inside, symbol[np.where(inside, at, 0)], VOCABULARY - 1), np.minimum(b - begin, WINDOW)
-
-
-def _learner(vocabulary, weights):
-    """A task that trains on all windows of its texts and gives its weights with the number of its updates."""
+    total = len(symbol)
+    width = max(1, min(width, total // WINDOW))
+    length = -(-total // width)
+    is_first = np.zeros(total, bool)
+    is_first[first[:-1]] = True
+    base = np.arange(width) * length
+    for lo in range(-WINDOW, length, WINDOW):
+        step = np.arange(lo, lo + WINDOW)
+        at = base[None, :] + step[:, None]
+        inside = (at >= 0) & (at < total) & (step < length)[:, None]
+        at = np.where(inside, at, 0)
+        inputs = np.where(inside & (at > 0), symbol[at - 1], VOCABULARY - 1)
+        yield inputs, np.where(inside, symbol[at], VOCABULARY - 1), is_first[at] & inside, inside & (step >= 0)[:, None], lo < 0
+
+
+def _learner(weights):
+    """A task that trains on all symbols of its texts and gives its weights with the number of its updates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, w, at = np.frombuffer(_pack(weights.value), "<f4").copy(), {}, 0
         for k in sorted(weights.value):  # views of one array
             w[k] = flat[at : at + weights.value[k].size].reshape(weights.value[k].shape)
             at += weights.value[k].size
-        model, voc, t = GatedModel(w), vocabulary.value, 0
+        model, t = GatedModel(w), 0
         m, v = np.zeros_like(flat), np.zeros_like(flat)
 
-        def update(rows: np.ndarray, live: np.ndarray) -> None:
+        def update(grad: Weights) -> None:
             nonlocal t, m, v, flat
             t += 1
-            grad = model.train(rows, WINDOW, live)
             g = np.concatenate([grad[k].reshape(-1) for k in sorted(grad)])
             np.clip(g, -1, 1, out=g)
             m *= np.float32(0.9)
@@ -322,18 +344,28 @@ def _learner(vocabulary, weights):
             g *= np.float32(RATE / (1 - 0.9**t))
             flat -= g
 
-        rest = np.zeros((0, 2 * WINDOW + 1), np.int64), np.zeros(0, np.int64)
+        def learn(texts: list[np.ndarray]) -> None:
+            first = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+            h = None
+            for inputs, targets, fresh, live, begin in lanes(np.concatenate(texts).astype(np.int64), first):
+                if begin:  # nothing to learn yet
+                    h, table = np.zeros((inputs.shape[1], HIDDEN), np.float32), w["wx"] + w["b"]
+                    for k in range(len(inputs)):
+                        h = model.gates(table[inputs[k]], np.where(fresh[k, :, None], np.float32(0), h))[0]
+                    continue
+                grad, h = model.train(inputs, targets, fresh, live, h)
+                update(grad)
+
+        held, size = [], 0
         for batch in batches:
-            for _, _, part in chunks(batch.column("text").to_pylist()):
-                h, first = tokens(part)
-                for rows, live in windows(voc.look(h)[2], first):
-                    rows, live = np.concatenate((rest[0], rows)), np.concatenate((rest[1], live))
-                    whole = len(live) // BATCH * BATCH
-                    for i in range(0, whole, BATCH):
-                        update(rows[i : i + BATCH], live[i : i + BATCH])
-                    rest = rows[whole:], live[whole:]
-        if len(rest[1]):
-            update(*rest)
+            for x in batch.column("symbols"):
+                held.append(np.frombuffer(x.as_py(), "<i2"))
+                size += len(held[-1])
+                if size >= STREAM:
+                    learn(held)
+                    held, size = [], 0
+        if size:
+            learn(held)
         if t:
             yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([flat.astype("<f4").tobytes()], pa.binary())], ["n", "weights"])
 
@@ -350,62 +382,65 @@ def _mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([(total / n).astype("<f4").tobytes()], pa.binary())], ["n", "weights"])
 
 
-def train(texts: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> GatedModel:
-    """A model from all training ``texts``: each task learns on its own, weights are averaged as a tree after each round."""
-    spark = texts.sparkSession
+def train(symbols: DataFrame, vocabulary: Vocabulary) -> GatedModel:
+    """A model from all training texts' ``symbols``: each task learns on its own, weights are averaged as a tree.
+
+    No more than FAN_IN sets of weights (about 400 KB each) reach the driver.
+    """
+    spark = symbols.sparkSession
     model = GatedModel.start(vocabulary.symbol_counts)
-    voc = spark.sparkContext.broadcast(vocabulary)
-    for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(model.w)
-        found = materialize(texts.mapInArrow(_learner(voc, sent), "n long, weights binary"), "weights")
-        while (blobs := found.count()) > FAN_IN:
-            found = materialize(found.repartition(-(-blobs // FAN_IN)).mapInArrow(_mean, "n long, weights binary"), "weights")
-        rows = found.collect()
-        n = sum(x["n"] for x in rows)
-        if n:
-            flat = sum((np.frombuffer(x["weights"], "<f4") * (x["n"] / n) for x in sorted(rows, key=lambda x: (x["n"], x["weights"]))), np.zeros(1, "<f4"))
-            model = GatedModel(_unpack(flat.astype("<f4").tobytes(), model.w))
+    sent = spark.sparkContext.broadcast(model.w)
+    found = materialize(symbols.mapInArrow(_learner(sent), "n long, weights binary"), "weights")
+    while (blobs := found.count()) > FAN_IN:
+        found = materialize(found.repartition(-(-blobs // FAN_IN)).mapInArrow(_mean, "n long, weights binary"), "weights")
+    rows = found.collect()
+    n = sum(x["n"] for x in rows)
+    if n:
+        flat = sum((np.frombuffer(x["weights"], "<f4") * (x["n"] / n) for x in sorted(rows, key=lambda x: (x["n"], x["weights"]))), np.zeros(1, "<f4"))
+        model = GatedModel(_unpack(flat.astype("<f4").tobytes(), model.w))
     return model
 
 
-def _scorer(vocabulary, weights):
-    """Rows of texts: sums over head words and the model's part, and the rarer words that are still to be looked up."""
+_READ = "row long, doc_id long, n_tokens long, known long, base double, other double, words array<long>, times array<long>, symbols binary"
+
+
+def _reader(vocabulary):
+    """Rows of texts: sums over head words, the rarer words that are still to be looked up, and the model's symbols."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, model = vocabulary.value, GatedModel(weights.value)
-        number, ln = TaskContext.get().partitionId() << 40, np.log(10)
+        voc, number = vocabulary.value, TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            n, known, base, other, rnn, words_, times, sizes = [], [], [], [], [], [], [], []
-            symbols, firsts, offset = [], [np.zeros(1, np.int64)], 0
-            for _, _, part in chunks(texts):
+            for lo, hi, part in chunks(batch.column("text")):
                 h, first = tokens(part)
-                found, count, symbol = voc.look(h)
-                doc = np.repeat(np.arange(len(part)), np.diff(first))
-                log = np.where(found, np.log10(count + 0.5) - voc.norm, 0.0)
+                n = np.diff(first)
+                found, log, symbol = voc.look(h)
+                doc = np.repeat(np.arange(len(part)), n)
                 outside = symbol == VOCABULARY - 2
-                n.append(np.diff(first))
-                known.append(np.bincount(doc, found, len(part)).astype(np.int64))
-                base.append(np.bincount(doc, log, len(part)))
-                other.append(np.bincount(doc, np.where(outside, np.where(found, log, 0.0) - voc.other, 0.0), len(part)))
+                known, base, other = np.bincount(doc, found, len(part)).astype(np.int64), np.bincount(doc, log, len(part)), np.bincount(doc, np.where(outside, log - voc.other, 0.0), len(part))
                 rare = np.flatnonzero(~found)
                 order = rare[np.lexsort((h[rare], doc[rare]))]
                 k, d = h[order], doc[order]
                 cut = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])))) if len(k) else np.zeros(0, np.int64)
-                words_.append(k[cut])
-                times.append(np.diff(np.append(cut, len(k))))
-                sizes.append(np.bincount(d[cut], minlength=len(part)))
-                symbols.append(symbol.astype(np.int32))
-                firsts.append(first[1:] + offset)
-                offset += first[-1]
-            if not texts:
-                continue
-            rnn = model.score(np.concatenate(symbols), np.concatenate(firsts)) / ln
-            places = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(places, pa.array(np.concatenate(x).astype(np.int64))) for x in (words_, times)]
-            rows = [np.concatenate(x) for x in (n, known, base)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(texts))), ids, pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[2]), pa.array(rnn + np.concatenate(other)), *lists], ["row", "doc_id", "n_tokens", "known", "base", "model", "words", "times"])
-            number += len(texts)
+                places = pa.array(np.concatenate(([0], np.cumsum(np.bincount(d[cut], minlength=len(part))))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(places, pa.array(x.astype(np.int64))) for x in (k[cut], np.diff(np.append(cut, len(k))))]
+                raw = symbol.astype("<i2").tobytes()
+                bodies = pa.array([raw[2 * a : 2 * b] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                ids = batch.column("doc_id").slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, number + len(part))), ids, pa.array(n), pa.array(known), pa.array(base), pa.array(other), *lists, bodies], ["row", "doc_id", "n_tokens", "known", "base", "other", "words", "times", "symbols"])
+                number += len(part)
+
+    return run
+
+
+def _scorer(weights):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = GatedModel(weights.value)
+        for batch in batches:
+            texts = [np.frombuffer(x.as_py(), "<i2") for x in batch.column("symbols")]
+            if texts:
+                first = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+                score = model.score(np.concatenate(texts).astype(np.int64), first) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "n_tokens", "known", "base")), pa.array(score + batch.column("other").to_numpy())], ["row", "doc_id", "n_tokens", "known", "base", "model"])
 
     return run
 
@@ -414,7 +449,8 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     A null or empty text is its end alone.  Rows that repeat count each, in training too; a null doc_id is a training
-    row.  Without training texts all counts are 0 and the model is uniform over its symbols.
+    row.  Without training texts all counts are 0 and the model is uniform over its symbols.  A very long text is hashed
+    slice by slice; its symbols are held by one task.  Further columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -423,15 +459,18 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = counts.orderBy(F.desc("n"), "word").limit(HEAD).collect()
     vocabulary = Vocabulary(np.array([r["word"] for r in head], np.int64), np.array([r["n"] for r in head], np.int64), total, distinct)
-    model = train(texts, vocabulary)
-    sent, weights = spark.sparkContext.broadcast(vocabulary), spark.sparkContext.broadcast(model.w)
-    rows = own.mapInArrow(_scorer(sent, weights), "row long, doc_id long, n_tokens long, known long, base double, model double, words array<long>, times array<long>")
-    rows = materialize(rows, "rows")
-    rare = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    read = materialize(own.mapInArrow(_reader(spark.sparkContext.broadcast(vocabulary)), _READ), "read")
+    model = train(read.where(training_row(held_out=1)).select("symbols"), vocabulary)
+    weights = spark.sparkContext.broadcast(model.w)
+    scored = read.select("row", "doc_id", "n_tokens", "known", "base", "other", "symbols").mapInArrow(_scorer(weights), "row long, doc_id long, n_tokens long, known long, base double, model double")
+    scored = materialize(scored, "scored")
+    rare = read.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     norm = float(vocabulary.norm)
     log = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - norm
     tail = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(log * F.col("times")).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    done = rows.drop("words", "times").join(tail, "row", "left")
+    tail = materialize(tail, "tail")
+    discard(read, counts)
+    done = scored.join(tail, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return done.select(
         "doc_id",

@@ -222,20 +222,26 @@ def test_language_model(docs, empty):
 
 
 def test_language_model_gradients():
-    model = language_model.GatedModel.start(np.random.default_rng(1).random(language_model.VOCABULARY) * 50)
+    lm = language_model
+    model = lm.GatedModel.start(np.random.default_rng(1).random(lm.VOCABULARY) * 50)
     model.w = {k: v.astype(float) + (0.05 * np.random.default_rng(2).normal(size=v.shape) if k in ("wc", "ww") else 0) for k, v in model.w.items()}
-    rows = np.random.default_rng(3).integers(0, 900, (3, 9))
+    inputs, targets = np.random.default_rng(3).integers(0, 900, (2, 8, 3))
+    fresh = np.zeros((8, 3), bool)
+    fresh[3, 1] = fresh[0, 2] = True
+    live = np.ones((8, 3), bool)
+    live[5:, 0] = False
+    start = np.random.default_rng(4).normal(0, 0.3, (3, lm.HIDDEN))
 
     def loss():
-        h, out = np.zeros((3, language_model.HIDDEN)), []
+        h, out = start, []
         for t in range(8):
-            h = model.step(rows[:, t], h)[0]
-            out.append(model.output(h, rows[:, t + 1])[0])
-        return -np.mean(out)
+            h = model.gates((model.w["wx"] + model.w["b"])[inputs[t]], np.where(fresh[t, :, None], 0, h))[0]
+            out.append(model.output(h, targets[t])[0][live[t]])
+        return -np.mean(np.concatenate(out))
 
-    grad = model.train(rows, 0)
-    for name in ("u", "b", "wc", "bc"):
-        at = (1,) * model.w[name].ndim
+    grad, _ = model.train(inputs, targets, fresh, live, start)
+    word = int(targets[1, 1])
+    for name, at in (("u", (1, 1)), ("b", (1,)), ("wc", (1, 1)), ("bc", (1,)), ("wx", (int(inputs[2, 1]), 5)), ("wx", (int(inputs[1, 2]), 60)), ("ww", (word // lm.EACH, 3, word % lm.EACH)), ("bw", (word // lm.EACH, word % lm.EACH))):
         model.w[name][at] += 1e-4
         up = loss()
         model.w[name][at] -= 2e-4
@@ -307,27 +313,31 @@ def test_word_hashes_do_not_depend_on_other_texts():
     assert before.tolist() == after[1:].tolist() and len(set(before.tolist())) == 3
 
 
-def test_language_model_learns_each_symbol_once_a_round(monkeypatch):
-    class Held:
-        def __init__(self, value):
-            self.value = value
-
-    seen = Counter()
-
-    def train(self, rows, warm, live):
-        for row, n in zip(rows[:, warm + 1 :], live, strict=True):
-            seen.update(row[:n].tolist())
-        return {k: np.zeros_like(v) for k, v in self.w.items()}
-
-    texts = [None, "", "one two", _text(1, 31), _text(2, 32), _text(3, 33), *(_text(i, 70 * i) for i in range(4, 40))]
-    h, _ = language_model.tokens([(t or "").encode() for t in texts])
-    words, n = np.unique(h, return_counts=True)
-    voc = language_model.Vocabulary(words, n, int(n.sum()), len(words))
-    monkeypatch.setattr(language_model.GatedModel, "train", train)
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    list(language_model._learner(Held(voc), Held(language_model.GatedModel.start(voc.symbol_counts).w))(iter([batch, batch.slice(0, 3)])))
-    h = np.concatenate((h, language_model.tokens([b"", b"", b"one two"])[0]))
-    assert seen == Counter(voc.look(h)[2].tolist())
+def test_language_model_learns_each_symbol_once():
+    lm = language_model
+    r = np.random.default_rng(0)
+    for sizes in ([1], [1, 1, 1], [3, 900, 17, 1, 64], [5000], r.integers(1, 60, 200).tolist()):
+        symbol, first = r.integers(0, lm.VOCABULARY, sum(sizes)), np.concatenate(([0], np.cumsum(sizes)))
+        seen, begun = [], 0
+        for inputs, targets, fresh, live, begin in lm.lanes(symbol, first, 8):
+            assert not (begin and live.any())
+            seen.extend(targets[live].tolist())
+            begun += int((fresh & live).sum())
+        assert sorted(seen) == sorted(symbol.tolist()) and begun == len(sizes)
+
+
+def test_language_model_beats_the_base_on_held_out_texts(spark):
+    # each word is followed by one of two words, so what came before tells nearly everything
+    rows = []
+    for i in range(4000):
+        r, k, out = np.random.default_rng(i), i % 40, []
+        for bit in r.integers(0, 2, 120).tolist():
+            out.append(f"w{k}")
+            k = (3 * k + 7 * bit + 1) % 40
+        rows.append((i, " ".join(out)))
+    got = [r for r in language_model.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect() if r.held_out]
+    base, score = (sum(getattr(r, c) for r in got) / sum(r.n_tokens for r in got) for c in ("base_score", "score"))
+    assert len(got) > 100 and score > base + 0.3
 
 
 def test_a_long_clause_is_read_from_its_first_word_to_its_last():
