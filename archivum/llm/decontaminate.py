@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archivum.llm.common import materialize
-from archivum.llm.hashing import U, chunks, shingle_sets, shingles, words
+from archivum.llm.hashing import U, chunks, shingles, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -45,8 +45,8 @@ def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """item_id, width (words of its shingles), size partition, size, sketch hashes and all hashes of items with words."""
     for batch in batches:
         ids, rows = batch.column("item_id").to_pylist(), []
-        for lo, _, part in chunks(batch.column("text").to_pylist()):
-            h, at, *_ = words(part)
+        for lo, _, part in chunks(batch.column("text")):
+            h, at = word_hashes(part)
             sizes = np.diff(at)
             for k, s in enumerate(shingles(h, at, WIDTH)):
                 if len(s):
@@ -71,21 +71,24 @@ def _whole_short(h: np.ndarray, at: np.ndarray, width: int) -> Iterator[np.ndarr
 
 
 class _Search:
-    """The sketches of all items as sorted hashes, by width."""
+    """The sketches of all items as sorted hashes, for each partition by width and size.
+
+    A partition's bound is its largest kept hash: the larger its items, the fewer of a text's shingles it looks at.
+    """
 
     def __init__(self, rows: list[tuple]):
-        self.widths = {}
-        for width in sorted({r[1] for r in rows}):
-            own = [r for r in rows if r[1] == width]
+        self.parts, self.widths = [], sorted({r[1] for r in rows})
+        for width, size in sorted({(r[1], r[2]) for r in rows}):
+            own = [r for r in rows if (r[1], r[2]) == (width, size)]
             keys = np.concatenate([np.array(r[4], np.int64).view(U) for r in own])
             item = np.concatenate([np.full(len(r[4]), i) for i, r in enumerate(own)])
             order = np.argsort(keys, kind="stable")
-            self.widths[width] = (keys[order], item[order], np.array([least_held(len(r[4])) for r in own]), [r[0] for r in own], keys.max())
+            self.parts.append((width, keys[order], item[order], np.array([least_held(len(r[4])) for r in own]), [r[0] for r in own], keys.max()))
 
     def text(self, sets: dict[int, np.ndarray]) -> Iterator[tuple[int, int]]:
         """(item_id, held sketch hashes) of candidates."""
-        for width, s in sets.items():
-            keys, item, least, ids, top = self.widths[width]
+        for width, keys, item, least, ids, top in self.parts:
+            s = sets[width]
             s = s[: np.searchsorted(s, top, "right")]
             lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
             hit = np.flatnonzero(hi > lo)
@@ -99,13 +102,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """doc_id, item_id, n_item_shingles, n_shared, containment: texts that hold an item's shingles to ``threshold`` at least.
 
     Shingles are runs of five words (the whole item if it is shorter, searched as such a run).  Items and texts without
-    words give no rows, nor do rows without an id; repeated items and documents each count once by id.  An empty table
-    on either side gives no rows.
+    words give no rows, nor do rows without an id; repeated items and documents each count once by id.  A very long text is
+    hashed slice by slice.  Further columns of either table are ignored; an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     items = materialize(item_sketches(benchmark).dropDuplicates(["item_id"]), "items")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    size = items.agg(F.sum(F.size("sketch")), F.sum("n"), F.collect_set("width")).first()
+    size = items.agg(F.sum(F.size("sketch")), F.sum("n")).first()
     if not size[0]:
         return spark.createDataFrame([], "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double")
     if size[0] + size[1] <= BROADCAST_HASHES:
@@ -117,8 +120,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
             whole = {r[0]: np.frombuffer(r[5], U) for r in sent.value}
             for batch in batches:
                 ids, found = batch.column("doc_id").to_pylist(), []
-                for lo, _, part in chunks(batch.column("text").to_pylist()):
-                    h, at, *_ = words(part)
+                for lo, _, part in chunks(batch.column("text")):
+                    h, at = word_hashes(part)
                     kinds = {w: (shingles if w == WIDTH else _whole_short)(h, at, w) for w in index.widths}
                     for k in range(len(part)):
                         sets = {w: next(it) for w, it in kinds.items()}
@@ -133,35 +136,37 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         out = texts.mapInArrow(search, "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double")
         return out.dropDuplicates(["doc_id", "item_id"])
-    return _by_join(texts, items, [int(w) for w in size[2]], threshold)
+    return _by_join(texts, items, threshold)
 
 
-def _by_join(texts: DataFrame, items: DataFrame, widths: list[int], threshold: float) -> DataFrame:
-    """The same for many items: document shingles below the largest sketch hash meet the sketches in a join by hash."""
-    top = items.select("width", F.explode("sketch").alias("key")).groupBy("width").agg(F.max(F.col("key").bitwiseXOR(F.lit(-(2**63)))).alias("top"))
-    tops = {r["width"]: int(np.int64(r["top"]).view(U) ^ U(1 << 63)) for r in top.collect()}
+def _by_join(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The same for many items: of each partition, document shingles up to its bound meet its sketches in a join by hash."""
+    top = items.select("width", "size_class", F.explode("sketch").alias("key")).groupBy("width", "size_class").agg(F.max(F.col("key").bitwiseXOR(F.lit(-(2**63)))).alias("top"))
+    tops = {(r["width"], r["size_class"]): int(np.int64(r["top"]).view(U) ^ U(1 << 63)) for r in top.collect()}  # at most 5 widths and 64 sizes
+    widths = sorted({w for w, _ in tops})
 
     def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            for lo, _, part in chunks(batch.column("text").to_pylist()):
-                h, at, *_ = words(part)
+            for lo, _, part in chunks(batch.column("text")):
+                h, at = word_hashes(part)
                 for width in widths:
                     for k, s in enumerate((shingles if width == WIDTH else _whole_short)(h, at, width)):
-                        s = s[: np.searchsorted(s, U(tops[width]), "right")]
-                        if len(s):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), ids[lo + k])), pa.array(s.view(np.int64))], ["doc_id", "key"])
+                        for part, bound in tops.items():
+                            own = s[: np.searchsorted(s, U(bound), "right")] if part[0] == width else s[:0]
+                            if len(own):
+                                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), ids[lo + k])), pa.array(np.full(len(own), 64 * width + part[1], np.int32)), pa.array(own.view(np.int64))], ["doc_id", "part", "key"])
 
     least = F.create_map(*[F.lit(x) for n in range(1, SKETCH + 1) for x in (n, least_held(n))])
-    keys = items.select("item_id", F.size("sketch").alias("kept"), F.explode("sketch").alias("key"))
-    held = texts.mapInArrow(low, "doc_id long, key long").join(keys, "key").groupBy("doc_id", "item_id", "kept").agg(F.countDistinct("key").alias("held"))
+    keys = items.select("item_id", (64 * F.col("width") + F.col("size_class")).cast("int").alias("part"), F.size("sketch").alias("kept"), F.explode("sketch").alias("key"))
+    held = texts.mapInArrow(low, "doc_id long, part int, key long").join(keys, ["part", "key"]).groupBy("doc_id", "item_id", "kept").agg(F.countDistinct("key").alias("held"))
     pairs = held.where(F.col("held") >= F.try_element_at(least, F.col("kept"))).select("doc_id", "item_id")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for doc, text, item, n, width, own in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "n", "width", "items")), strict=True):
-                h, at, *_ = words([text.encode("utf-8", "surrogatepass")])
+                h, at = word_hashes([text.encode("utf-8", "surrogatepass")])
                 s = next(shingles(h, at, WIDTH) if width == WIDTH else _whole_short(h, at, width))
                 shared = int(np.isin(np.frombuffer(own, U), s).sum())
                 if shared >= threshold * n:
@@ -171,9 +176,3 @@ def _by_join(texts: DataFrame, items: DataFrame, widths: list[int], threshold: f
     both = pairs.join(texts, "doc_id").join(items.select("item_id", "n", "width", "items"), "item_id")
     return both.mapInArrow(verify, "doc_id long, item_id long, n_item_shingles long, n_shared long, containment double").dropDuplicates(["doc_id", "item_id"])
 
-
-def brute_force(docs: list[tuple[int, str]], items: list[tuple[int, str]]) -> set[tuple[int, int]]:
-    """The same by comparing every text with every item, for tests."""
-    sets = [(d, s) for (d, _), s in zip(docs, shingle_sets([t for _, t in docs]), strict=True)]
-    wanted = [(i, s) for (i, _), s in zip(items, shingle_sets([t for _, t in items]), strict=True) if len(s)]
-    return {(d, i) for d, s in sets for i, q in wanted if np.isin(q, s).sum() >= THRESHOLD * len(q)}

@@ -2,7 +2,7 @@
 
 Texts become pieces of at most ``CAPACITY`` tokens in one pass.  The histogram of lengths (at most ``CAPACITY``
 numbers) is all that the driver sees: multiplicative weights price the lengths, a knapsack dynamic program finds the
-configuration of the best price, the mix of configurations is rounded down, and what is left is packed best-fit.  The
+configurations of the best price, their shares are rounded down, and what is left is packed best-fit.  The
 plan says which ranks of each length go to which sequences, so every piece finds its place by its rank among the pieces
 of its length: a sum over (length, salt) counts and a ranking within (length, salt), however many pieces share a length.
 """
@@ -23,10 +23,12 @@ from archivum.llm.common import materialize
 from archivum.llm.text_units import LONGEST, units
 
 CAPACITY = 2048
-#: Units whose ids a worker keeps.
-CACHE = 1_000_000
-#: Rounds of multiplicative weights.
-ROUNDS = 120
+#: Units whose ids a task keeps.
+CACHE = 200_000
+#: Rounds of multiplicative weights, and how steeply a length's price falls as it is covered.
+ROUNDS, STEEP = 96, 0.3
+#: Prices grow with this power of the length: of configurations with equal coverage, those of more pieces are taken.
+SPLIT = 0.98
 #: Pieces of one length are ranked in so many groups for each million of pieces, at least SALT.
 SALT = 32
 
@@ -82,50 +84,57 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 0,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, last = _ids(tokenizer), np.array([end], "<u4").tobytes()
+        ids.cache = {}
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                own = ids.of(text) + last
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                own = ids.of(text.as_py()) + last
                 n = len(own) // 4
                 first = n % capacity or capacity
                 bounds = [0, *range(first, n + 1, capacity)]
                 rows.extend((doc, i, a, b - a, zlib.crc32(memoryview(own)[4 * a : 4 * b])) for i, (a, b) in enumerate(zip(bounds, bounds[1:])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        ids.cache = {}  # workers live on
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> list[int]:
-    """The multiset of lengths (1-based places of ``price``) of the highest total price that fits: unbounded knapsack."""
-    size = np.flatnonzero(price > 0) + 1
-    worth = price[size - 1]
-    best, choice = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
-    if not len(size):
-        return []
-    upto = np.searchsorted(size, np.arange(capacity + 1), "right")
-    for c in range(int(size[0]), capacity + 1):
-        k = upto[c]
-        v = best[c - size[:k]] + worth[:k]
-        i = int(v.argmax())
-        best[c], choice[c] = (v[i], size[i]) if v[i] > best[c - 1] else (best[c - 1], 0)
-    out, c = [], capacity
-    while c > 0:
-        if choice[c]:
-            out.append(int(choice[c]))
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return out
-
-
-def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, times) that pack every piece: ``counts[k]`` pieces of length k + 1, counts summing to any size.
-
-    Covering LP: minimise the number of configurations so that each length is covered.  Each round takes the
-    configuration of the highest price and makes the lengths that it covers cheaper; the mean of the rounds is scaled
-    to the histogram and rounded down, at most as often as pieces are left.  The rest (a few pieces of each
-    configuration) goes best-fit, longest first; runs of equal lengths go in one step.
+class Knapsack:
+    """The unbounded knapsack over lengths at given prices: for each room the multiset of the highest price that fills it."""
+
+    def __init__(self, price: np.ndarray, capacity: int):
+        size = np.flatnonzero(price > 0)[::-1] + 1  # of equal prices, the longest piece
+        worth = price[size - 1]
+        self.best, self.choice = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
+        self.best[0] = 0.0
+        begin = len(size) - np.searchsorted(size[::-1], np.arange(capacity + 1), "right")
+        for c in range(int(size[-1]) if len(size) else capacity + 1, capacity + 1):
+            k = begin[c]
+            v = self.best[c - size[k:]] + worth[k:]
+            i = int(v.argmax())
+            self.best[c], self.choice[c] = v[i], size[k + i]
+
+    def configuration(self, room: int) -> list[int] | None:
+        """The lengths that fill ``room`` at the highest price; None if none do."""
+        if not np.isfinite(self.best[room]):
+            return None
+        out = []
+        while room > 0:
+            out.append(int(self.choice[room]))
+            room -= out[-1]
+        return out
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(plan, placed): configurations with their times that pack every piece, and how many pieces the program placed.
+
+    ``counts[k]``: pieces of length k + 1.  Covering program: as few configurations as possible so that each length is
+    covered.  A round prices each length by its tokens times the exponential of how far it is left uncovered
+    (multiplicative weights), and one knapsack table gives, for each length, the configuration of the highest price
+    through it.  A configuration is taken if it fills the capacity, for an even share of the rounds that are left;
+    where a length has run out, only its price falls.  Such shares are whole numbers (the rounding down), so what the
+    program places wastes nothing.  The rest goes best-fit, longest first; runs of equal lengths go in one step.
     """
     left = counts.astype(np.int64).copy()
     plan: Counter = Counter()
@@ -133,35 +142,35 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) ->
         plan[(capacity,)] += int(left[capacity - 1])
         left[capacity - 1] = 0
     need = left.astype(float)
-    total = float((need * np.arange(1, capacity + 1)).sum())
-    if total:
-        weight = np.where(need > 0, np.arange(1, capacity + 1) / capacity, 0.0)
-        load = np.zeros(capacity)
-        used: list[tuple[tuple[int, ...], float]] = []
-        bins = total / capacity
-        for _ in range(rounds):
-            got = best_configuration(weight, capacity)
-            if not got:
-                break
-            amount = Counter(got)
-            # as many as the scarcest of its lengths allows for, or a share of what the whole needs
-            step = max(1.0, min(min(need[s - 1] / m for s, m in amount.items()), bins / 4))
-            used.append((tuple(sorted(got, reverse=True)), step))
-            for s, m in amount.items():
-                load[s - 1] += m * step
-            with np.errstate(divide="ignore", invalid="ignore"):
-                over = np.where(need > 0, load / np.maximum(need, 1e-9), 0.0)
-            weight = np.where(need > 0, np.arange(1, capacity + 1) / capacity * np.exp(-3.0 * np.minimum(over, 10.0)), 0.0)
-        for config, step in used:
+    tokens = (np.arange(1, capacity + 1) / capacity) ** SPLIT
+    load = np.zeros(capacity)
+    for turn in range(rounds):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            price = np.where(left > 0, tokens * np.exp(-STEEP * np.where(need > 0, load / need, 0.0)), 0.0)
+        table = Knapsack(price, capacity)
+        taken = 0
+        for length in np.flatnonzero(left)[::-1].tolist():
+            if not left[length]:
+                continue
+            rest = table.configuration(capacity - length - 1)
+            if rest is None:
+                continue
+            config = tuple(sorted((length + 1, *rest), reverse=True))
             amount = Counter(config)
-            times = min(int(step), *(int(left[s - 1] // m) for s, m in amount.items()))
-            if times > 0:
+            times = min(int(left[k - 1] // m) for k, m in amount.items())
+            times = min(times, -(-int(left[length]) // (rounds - turn)))
+            for k, m in amount.items():
+                load[k - 1] += m * max(1, times)
+                left[k - 1] -= m * times
+            if times:
                 plan[config] += times
-                for s, m in amount.items():
-                    left[s - 1] -= m * times
+                taken += times
+        if not left.any():
+            break
+    placed = int((counts - left).sum())
     for config, times in _best_fit(left, capacity).items():
         plan[config] += times
-    return sorted(plan.items(), key=lambda x: (-sum(x[0]), x[0]))
+    return sorted(plan.items(), key=lambda x: (-sum(x[0]), x[0])), placed
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
@@ -204,9 +213,9 @@ def _places(plan: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
-    A null or empty text is one piece: the end id alone.  Rows that repeat are packed each; an empty table gives no
-    rows.  The driver gets one number for each length; the plan that is broadcast has a row for each place in a
-    configuration, which ``capacity`` bounds, not the corpus.
+    A null or empty text is one piece: the end id alone.  Rows that repeat or have no id are packed each; further
+    columns are ignored; an empty table gives no rows.  A very long text's ids are held by one task, four bytes each.  The driver gets one number for each length; the plan that is broadcast has a row for each place in a
+    configuration, at most ROUNDS configurations a length: ``capacity`` bounds it, not the corpus.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, end, capacity), "pieces")
@@ -214,8 +223,9 @@ def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end:
     found = cut.groupBy("length").count().collect()
     for row in found:
         counts[row["length"] - 1] = row["count"]
-    rows = _places(solve(counts, capacity))
-    plan = spark.createDataFrame(rows or [(1, 0, 0, 0, 0)], "length long, low long, times long, sequence long, offset long")
+    rows = _places(solve(counts, capacity)[0])
+    columns = zip(*(rows or [(1, 0, 0, 0, 0)]), strict=True)
+    plan = spark.createDataFrame(pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("length", "low", "times", "sequence", "offset"), columns, strict=True)}))
     plan = plan.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("low", "times", "sequence", "offset"))).alias("runs"))
     salts = SALT * (1 + int(counts.sum()) // 1_000_000)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))

@@ -1,7 +1,7 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages.  Each passage is described by the make-up of its bytes and words, encoded by a small
-network, and weighted by gated attention; the weighted encoding gives the score.  Weights are learned by Adam in numpy
+A document is a bag of passages.  Each passage is described by its words, hashed to buckets, and by the make-up of its
+bytes, encoded by a small network, and weighted by gated attention; the weighted encoding gives the score.  Weights are learned by Adam in numpy
 from a bounded sample of labelled documents; all passages of every document are scored.
 """
 
@@ -24,7 +24,9 @@ PASSAGE = 48
 SAMPLE = 6000
 HIDDEN = 16
 GATE = 8
-EPOCHS = 30
+EPOCHS = 20
+#: Buckets that a passage's words are hashed to.
+BUCKETS = 256
 THRESHOLD = 0.3
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"|", b"#$%&*+<=>@\\^_~{}[]/", b".", b",", b"\n", b"?;:\"'()-"]
@@ -32,7 +34,8 @@ _KIND = np.zeros(256, np.uint8)
 for _i, _c in enumerate(_CLASSES):
     for _x in _c:
         _KIND[_x] = _i + 1
-FEATURES = len(_CLASSES) + 6
+MAKE_UP = len(_CLASSES) + 6
+FEATURES = MAKE_UP + BUCKETS
 
 
 def passages(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -44,7 +47,7 @@ def passages(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(at)
     count = np.maximum(1, -(-n // PASSAGE))
     first = np.concatenate(([0], np.cumsum(count)))
-    out = np.zeros((first[-1], FEATURES))
+    out = np.zeros((first[-1], FEATURES), np.float32)
     if not len(h):
         return out, first
     doc = np.repeat(np.arange(len(n)), n)
@@ -69,6 +72,7 @@ def passages(part: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[rows, k + 3] = np.log1p(size) / 4
     out[rows, k + 4] = np.add.reduceat((raw >= 0x80).astype(np.int32), span) / chars
     out[rows, k + 5] = np.log1p(n[doc[begin]]) / 8
+    out[:, MAKE_UP:] = np.bincount(own * BUCKETS + (h % U(BUCKETS)).astype(np.int64), minlength=int(first[-1]) * BUCKETS).reshape(-1, BUCKETS)
     return out, first
 
 
@@ -113,6 +117,7 @@ class Attention:
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
         w = self.w
         w["mean"], w["scale"] = x.mean(0), x.std(0) + 1e-3
+        w["scale"][MAKE_UP:] *= 8  # many weak features: small steps
         r, t = np.random.default_rng(11), 0
         m, v = ({k: np.zeros_like(w[k]) for k in w if k not in ("mean", "scale")} for _ in range(2))
         for epoch in range(epochs):
@@ -134,40 +139,40 @@ class Attention:
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         y, rows = batch.column("y").to_pylist(), []
-        for lo, _, part in chunks(batch.column("text").to_pylist()):
+        for lo, _, part in chunks(batch.column("text")):
             x, first = passages(part)
             for k in range(len(part)):
                 own = x[first[k] : first[k + 1]]
-                rows.append((y[lo + k], own.astype("<f4").tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.binary())], ["y", "x"])
+                rows.append((y[lo + k], np.ascontiguousarray(own[:, :MAKE_UP], "<f4").tobytes(), own[:, MAKE_UP:].astype(np.uint8).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.float64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["y", "x", "words"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> Attention | float:
     """A classifier from at most ``sample`` labelled training documents; the share of label 1 where only one label occurs."""
-    rows = training_sample(docs, labels, label, sample).mapInArrow(_feature_rows, "y double, x binary").collect()
-    rows = sorted((r["y"], bytes(r["x"])) for r in rows)
-    if len({y >= 0.5 for y, _ in rows}) < 2:
-        return sum(y for y, _ in rows) / len(rows) if rows else 0.5
-    x = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(float) for _, b in rows]
+    rows = training_sample(docs, labels, label, sample).mapInArrow(_feature_rows, "y double, x binary, words binary").collect()
+    rows = sorted((r["y"], bytes(r["x"]), bytes(r["words"])) for r in rows)
+    if len({y >= 0.5 for y, *_ in rows}) < 2:
+        return sum(y for y, *_ in rows) / len(rows) if rows else 0.5
+    x = [np.concatenate((np.frombuffer(b, "<f4").reshape(-1, MAKE_UP), np.frombuffer(w, np.uint8).reshape(-1, BUCKETS)), axis=1, dtype=np.float32) for _, b, w in rows]
     first = np.concatenate(([0], np.cumsum([len(b) for b in x])))
-    return Attention.start().fit(np.concatenate(x), first, np.array([y for y, _ in rows]))
+    return Attention.start().fit(np.concatenate(x), first, np.array([y for y, *_ in rows]))
 
 
-def score(docs: DataFrame, model: Attention | float) -> DataFrame:
-    """``docs`` with column ``score`` added (0 to 1); every passage of every text counts."""
+def score(docs: DataFrame, model: Attention | float, column: str = "score") -> DataFrame:
+    """``docs`` with ``column`` added (0 to 1; in place of one of that name); every passage of every text counts."""
     weights = docs.sparkSession.sparkContext.broadcast(model.w if isinstance(model, Attention) else model)
-    schema = docs.drop("score").schema.add("score", "double")
+    schema = docs.drop(column).schema.add(column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Attention(weights.value) if isinstance(weights.value, dict) else None
         for batch in batches:
             out = []
-            for _, _, part in chunks(batch.column("text").to_pylist()):
+            for _, _, part in chunks(batch.column("text")):
                 out.append(net.forward(*passages(part))["p"] if net else np.full(len(part), weights.value))
             p = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], [*batch.schema.names, column])
 
-    return docs.drop("score").mapInArrow(run, schema)
+    return docs.drop(column).mapInArrow(run, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -175,6 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Null, empty and blank texts are one empty passage and get its score.  Repeated rows get the same score; a null
     doc_id is no held-out row.  Without labels of both kinds, the score is the share of label 1 (0.5 without labels).
+    Further columns are ignored; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = score(own, fit(docs, labels))

@@ -25,9 +25,12 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, m AS component_id FROM d J
 
 DECONTAMINATION_SQL = f"""
 WITH dw AS (SELECT doc_id, {_WORDS} AS ws FROM documents), bw AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
-ds AS (SELECT doc_id, unnest({_SETS}) AS sh FROM dw), bs AS (SELECT item_id, unnest({_SETS}) AS sh FROM bw),
+bs AS (SELECT item_id, least(len(ws), 5) AS width, unnest({_SETS}) AS sh FROM bw),
+runs AS (SELECT doc_id, width, unnest([array_to_string(ws[i:i + width - 1], ' ') FOR i IN range(1, len(ws) - width + 2)]) AS sh
+FROM dw CROSS JOIN (SELECT DISTINCT width FROM bs) WHERE len(ws) >= width),
+ds AS (SELECT DISTINCT doc_id, width, sh FROM runs),
 size AS (SELECT item_id, count(*) AS n FROM bs GROUP BY 1),
-both_ AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (sh) GROUP BY 1, 2)
+both_ AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (width, sh) GROUP BY 1, 2)
 SELECT doc_id, item_id, n AS n_item_shingles, k AS n_shared, k / CAST(n AS DOUBLE) AS containment FROM both_ JOIN size USING (item_id) WHERE k >= 0.8 * n
 """
 

@@ -2,9 +2,11 @@
 
 Words are mapped to symbols by a weighted lexicon (insults, threats, targets, negations, reporting verbs, auxiliaries);
 insults and their weights are learned from labelled training documents, by how much more often a word stands in
-different surroundings in toxic than in clean texts, added to short lists for four languages.  Five transducers are
-composed over each clause that holds an insult or a threat: target raises, negation lowers, reported speech lowers, a
-threat needs a target.  A document's score is a logistic function of its matched clauses' weights.
+different surroundings in toxic than in clean texts, added to short lists for four languages.  Five transducers (insult and
+threat, target, negation, reported speech, intention) are composed into one, and a clause that holds an insult or a
+threat has the weight of its best path.  A target raises from where it is read on, or up to it; a threat needs one;
+negation and reported speech lower all that follows in their clause.  A document's score is a logistic function of its
+matched clauses' weights.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm.common import training_row
+from archivum.llm.common import materialize, training_row
 from archivum.llm.hashing import U, chunks, mix, words
 from archivum.llm.labelled import training_sample
 
@@ -65,8 +67,60 @@ def word_hash(word: str) -> int:
     return int(words([word.encode("utf-8", "surrogatepass")], _SPLIT)[0].view(np.int64)[0])
 
 
+class Transducer:
+    """A weighted finite-state transducer over word symbols: ``arcs[state][symbol]`` lists (next state, factor).
+
+    A symbol that a state has no arcs for leaves it, with factor 1.  A path's weight is the sum over its words of the
+    word's weight times the arc's factor.
+    """
+
+    def __init__(self, arcs: dict, start, final: set):
+        self.arcs, self.start, self.final = arcs, start, final
+
+    def at(self, state, symbol: int) -> list[tuple]:
+        return self.arcs.get(state, {}).get(symbol, [(state, 1.0)])
+
+    def compose(self, other: Transducer) -> Transducer:
+        """Both at once: states are pairs, factors are multiplied, a pair is final if both states are."""
+        start, arcs = (self.start, other.start), {}
+        todo = [start]
+        while todo:
+            pair = todo.pop()
+            if pair not in arcs:
+                arcs[pair] = {s: [((p, q), f * g) for p, f in self.at(pair[0], s) for q, g in other.at(pair[1], s)] for s in range(1, WILL + 1)}
+                todo.extend(to for out in arcs[pair].values() for to, _ in out)
+        return Transducer(arcs, start, {p for p in arcs if p[0] in self.final and p[1] in other.final})
+
+    def best(self, symbols: list[int], weights: list[float]) -> float:
+        """The weight of the best path that ends in a final state, 0 if there is none."""
+        held = {self.start: 0.0}
+        for s, w in zip(symbols, weights, strict=True):
+            after: dict = {}
+            for state, total in held.items():
+                for to, f in self.at(state, s):
+                    v = total + w * f
+                    if v > after.get(to, -1.0):
+                        after[to] = v
+            held = after
+        return max((v for state, v in held.items() if state in self.final), default=0.0)
+
+
+def transducers() -> list[Transducer]:
+    """What each looks at: whether a threat counts at all, target, negation, reported speech, intention."""
+    hit = Transducer({0: {INSULT: [(0, 1.0)], THREAT: [(0, 1.0)]}}, 0, {0})
+    # "promised": a target is said to follow, which must come true before the clause ends
+    target = Transducer({
+        "none": {TARGET: [("seen", 1.0)], INSULT: [("none", 1.0), ("promised", 1.25)], THREAT: [("none", 0.0), ("promised", 1.0)]},
+        "seen": {TARGET: [("seen", 1.0)], INSULT: [("seen", 1.25)], THREAT: [("seen", 1.0)]},
+        "promised": {TARGET: [("seen", 1.0)], INSULT: [("promised", 1.25)], THREAT: [("promised", 1.0)]},
+    }, "none", {"none", "seen"})
+    negation, report = (Transducer({"off": {s: [("on", 1.0)]}, "on": {INSULT: [("on", f)], THREAT: [("on", f)]}}, "off", {"off", "on"}) for s, f in ((NOT, 0.25), (REPORT, 0.6)))
+    intention = Transducer({"off": {WILL: [("on", 1.0)], THREAT: [("off", 0.5)]}}, "off", {"off", "on"})
+    return [hit, target, negation, report, intention]
+
+
 class Grammar:
-    """Sorted word hashes with their symbol and weight, and the composed transducers."""
+    """Sorted word hashes with their symbol and weight, and the composed transducer."""
 
     def __init__(self, insults: dict[int, float]):
         entries = {word_hash(w): (s, SEED_WEIGHT if s in (INSULT, THREAT) else 0.0) for s, names in SEEDS.items() for w in names.split()}
@@ -75,30 +129,15 @@ class Grammar:
         self.keys = np.array(keys, np.int64).view(U)
         self.symbol = np.array([entries[k][0] for k in keys], np.int8)
         self.weight = np.array([entries[k][1] for k in keys])
+        first, *others = transducers()
+        for t in others:
+            first = first.compose(t)
+        self.whole = first
 
     def clause(self, symbols: list[int], weights: list[float]) -> float:
-        """The weight of a clause's best reading: one pass of the composed transducers over its symbols.
-
-        The state is (words since a negation, a target was read, speech is reported, an intention was read).
-        """
-        since, target, report, will = 99, False, False, False
-        insult = threat = 0.0
-        for s, w in zip(symbols, weights, strict=True):
-            since += 1
-            if s == NOT:
-                since = 0
-            elif s == TARGET:
-                target = True
-            elif s == REPORT:
-                report = True
-            elif s == WILL:
-                will = True
-            elif s == INSULT:
-                insult += w * (0.25 if since <= 3 else 1.0)
-            elif s == THREAT:
-                threat += w * (0.25 if since <= 3 else 1.0) * (1.0 if will else 0.5)
-        out = insult * (1.25 if target else 1.0) + (threat if target else 0.0)
-        return out * (0.6 if report else 1.0)
+        """The weight of a clause's best reading; words without a symbol change nothing."""
+        read = [(s, w) for s, w in zip(symbols, weights, strict=True) if s]
+        return self.whole.best([s for s, _ in read], [w for _, w in read])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         """Of each text: matched clauses' total (log), best clause, clauses (log), weight a word, and whether any matched."""
@@ -156,7 +195,7 @@ def learn_insults(sample: DataFrame) -> dict[int, float]:
     Copies of a text repeat a word's surroundings, so they add nothing.
     """
     seen = sample.mapInArrow(_contexts, "word long, around long, toxic boolean").distinct()
-    both = seen.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
+    both = materialize(seen.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")), "word-counts")
     total = both.agg(F.sum("bad"), F.sum("good")).first()
     if not total[0] or not total[1]:
         return {}
@@ -185,7 +224,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic") ->
 
     The lexicon is learned from half of the sample, the logistic function from the other half.  Null, empty and blank
     texts match no clause and get the score of such texts.  Repeated rows get the same score; a null doc_id is no
-    held-out row.  Without labels of both kinds, scores come from the seed words alone.
+    held-out row.  Without labels of both kinds, scores come from the seed words alone.  A very long clause is read from its
+    first word to its last.  Further columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     sample = training_sample(docs, labels, label, SAMPLE).withColumn("half", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2)))

@@ -119,7 +119,7 @@ def test_packing_plan_covers_every_piece():
     r = np.random.default_rng(4)
     counts = np.zeros(packing.CAPACITY, np.int64)
     np.add.at(counts, np.clip(r.lognormal(6, 1, 3000).astype(int), 1, packing.CAPACITY) - 1, 1)
-    plan = packing.solve(counts, rounds=40)
+    plan, _ = packing.solve(counts)
     held = Counter()
     for config, times in plan:
         assert sum(config) <= packing.CAPACITY
@@ -130,6 +130,15 @@ def test_packing_plan_covers_every_piece():
     assert sum(t for _, t in plan) <= 1.01 * least + 1
 
 
+def test_the_program_places_nearly_all_and_wastes_no_more_than_best_fit():
+    r = np.random.default_rng(4)
+    counts = np.zeros(packing.CAPACITY, np.int64)
+    np.add.at(counts, r.lognormal(6.2, 1.2, 300_000).astype(int) % (packing.CAPACITY - 1), 1)  # first pieces of texts
+    plan, placed = packing.solve(counts)
+    assert placed >= 0.85 * counts.sum()
+    assert sum(t for _, t in plan) <= 1.0002 * sum(packing._best_fit(counts, packing.CAPACITY).values())
+
+
 def test_token_counts(docs, empty):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -167,9 +176,18 @@ def test_fingerprints(docs, empty, spark):
 
 def test_decontamination(spark, docs, empty, monkeypatch):
     item = " ".join(_text(1, 300).split()[50:80])
-    bench = spark.createDataFrame([(1, item), (1, item), (2, _text(99, 30)), (3, None), (4, "one two"), (None, "x")], "item_id long, text string")
-    want = {(5, 1), (6, 1), (7, 1), (9, 1), (3, 4), (4, 4)}
+    bench = spark.createDataFrame([(1, item), (1, item), (2, _text(99, 30)), (3, None), (4, "one two"), (5, _text(1, 300).split()[7] + " " + _text(1, 300).split()[8]), (None, "x")], "item_id long, text string")
+    short = {(5, 5), (6, 5), (7, 5)}
+    want = short | {(5, 1), (6, 1), (7, 1), (9, 1), (3, 4), (4, 4)}
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
+    import duckdb
+
+    from archivum.llm.registry import DECONTAMINATION_SQL
+
+    con = duckdb.connect()
+    con.register("documents", docs.where("doc_id is not null").dropDuplicates(["doc_id"]).toPandas())
+    con.register("benchmark", bench.where("item_id is not null").dropDuplicates().toPandas())
+    assert {tuple(r[:2]) for r in con.execute(DECONTAMINATION_SQL).fetchall()} == want | short
     monkeypatch.setattr(decontaminate, "BROADCAST_HASHES", 0)
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, bench).collect()} == want
     assert decontaminate.contaminated(empty, bench).count() == 0
@@ -290,6 +308,23 @@ def test_reading_speech_and_negation():
     plain, negated, reported = (g.features([t])[0, 0] for t in ("you are an idiot", "you are not an idiot", "he said you are an idiot"))
     assert plain > reported > 0 and plain > negated > 0
     assert g.features(["I will kill you"])[0, 0] > g.features(["kill the lights"])[0, 0] == 0
+    far, before, after = (g.features([t])[0, 0] for t in ("not a single one of you is an idiot", "you are an idiot", "an idiot"))
+    assert far == negated < after < before
+
+
+def test_composed_transducer_takes_the_best_path():
+    from itertools import product
+
+    one, whole = toxicity.transducers(), toxicity.Grammar({}).whole
+    r = np.random.default_rng(9)
+    for _ in range(300):
+        symbols = r.integers(1, 7, r.integers(1, 6)).tolist()
+        weights = np.where(np.isin(symbols, (1, 2)), r.random(len(symbols)).round(2), 0).tolist()
+        best, paths = 0.0, [(tuple(t.start for t in one), 0.0)]
+        for s, w in zip(symbols, weights, strict=True):
+            paths = [(tuple(x[0] for x in step), total + w * math.prod(x[1] for x in step)) for states, total in paths for step in product(*(t.at(q, s) for t, q in zip(one, states, strict=True)))]
+        best = max((total for states, total in paths if all(q in t.final for t, q in zip(one, states, strict=True))), default=0.0)
+        assert abs(whole.best(symbols, weights) - best) < 1e-9
 
 
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
@@ -352,7 +387,8 @@ def test_training_takes_every_passage():
     text = _text(1, 48 * 200)
     batch = pa.RecordBatch.from_arrays([pa.array([text]), pa.array([1.0])], ["text", "y"])
     (row,) = next(quality._feature_rows(iter([batch]))).to_pylist()
-    assert np.frombuffer(row["x"], "<f4").reshape(-1, quality.FEATURES).shape[0] == len(quality.passages([text.encode()])[0]) >= 200
+    assert sum(row["words"]) == 48 * 200
+    assert np.frombuffer(row["x"], "<f4").reshape(-1, quality.MAKE_UP).shape[0] == len(quality.passages([text.encode()])[0]) >= 200
 
 
 def test_densification_takes_the_first_filled_bin_of_the_attempts(spark):
