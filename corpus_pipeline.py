@@ -1,6 +1,8 @@
 """A corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, packing.
 
-Each stage takes the documents that the one before kept; all but the last return their columns.
+Each stage takes the documents that the one before kept; all but the last return their columns.  In every stage null
+texts count as empty (and stay null), very long texts are read whole, further columns are kept as they are, and an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -13,9 +15,15 @@ from archivum.llm.common import anti_join, materialize, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts, with all their columns, whatever their names.
+
+    Null and empty texts are judged as empty passages; repeated rows get the same verdict.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+    column = "quality_score"
+    while column in docs.columns:
+        column += "_"
+    return quality.score(docs, model, column).where(F.col(column) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,18 +38,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the 50-byte strings that a smaller id has."""
+    """Documents without the 50-byte strings that a smaller id has; every row stays, of texts of one id none cuts another."""
     return substring_dedup.without_repeats(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; rows without an id stay, of an id with several texts all or none."""
     found = materialize(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
     return anti_join(docs, found, "doc_id").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
+    """The pieces of all documents with their places in sequences; rows that repeat or have no id are packed each."""
     return packing.best_fit_packing(docs)
 
 
