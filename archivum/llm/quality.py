@@ -26,7 +26,7 @@ HIDDEN = 16
 GATE = 8
 EPOCHS = 20
 #: Buckets that a passage's words are hashed to.
-BUCKETS = 256
+BUCKETS = 128
 THRESHOLD = 0.3
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!", b"|", b"#$%&*+<=>@\\^_~{}[]/", b".", b",", b"\n", b"?;:\"'()-"]
@@ -116,7 +116,8 @@ class Attention:
 
     def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.01, decay: float = 1e-4) -> Attention:
         w = self.w
-        w["mean"], w["scale"] = x.mean(0), x.std(0) + 1e-3
+        w["mean"] = x.mean(0, dtype=float)
+        w["scale"] = np.array([x[:, k].std(dtype=float) for k in range(x.shape[1])]) + 1e-3
         w["scale"][MAKE_UP:] *= 8  # many weak features: small steps
         r, t = np.random.default_rng(11), 0
         m, v = ({k: np.zeros_like(w[k]) for k in w if k not in ("mean", "scale")} for _ in range(2))
@@ -155,7 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         return sum(y for y, *_ in rows) / len(rows) if rows else 0.5
     x = [np.concatenate((np.frombuffer(b, "<f4").reshape(-1, MAKE_UP), np.frombuffer(w, np.uint8).reshape(-1, BUCKETS)), axis=1, dtype=np.float32) for _, b, w in rows]
     first = np.concatenate(([0], np.cumsum([len(b) for b in x])))
-    return Attention.start().fit(np.concatenate(x), first, np.array([y for y, *_ in rows]))
+    y = np.array([y for y, *_ in rows])
+    del rows
+    whole = np.empty((int(first[-1]), FEATURES), np.float32)
+    for k in range(len(x)):
+        whole[first[k] : first[k + 1]], x[k] = x[k], None  # no second copy of all
+    return Attention.start().fit(whole, first, y)
 
 
 def score(docs: DataFrame, model: Attention | float, column: str = "score") -> DataFrame:
