@@ -46,9 +46,16 @@ def index_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
+#: Size classes in bytes, each with its end.
+SIZES = [("< 1 KB", 1024), ("1-10 KB", 10240), ("10-100 KB", 102400), ("100 KB-1 MB", 1048576), ("> 1 MB", None)]
+
+
 def size_bucket(size: Column) -> Column:
     """The five size classes of a mailbox report."""
-    return F.when(size < 1024, "<1 KB").when(size < 10240, "1-10 KB").when(size < 102400, "10-100 KB").when(size < 1048576, "100 KB-1 MB").otherwise(">1 MB")
+    out = F
+    for name, end in SIZES:
+        out = out.when(size < end, name) if end else out.otherwise(name)
+    return out
 
 
 #: Patterns of personal data and indicators, without look-around, so that other engines can check them.

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivum.functions import mail
+
 
 def top_k(df: DataFrame, key: str, k: int, out: str = "n") -> DataFrame:
     """The k most frequent keys, ties by key; a partial top-k in each task."""
@@ -141,3 +147,45 @@ def keyset_page(df: DataFrame, ts: str, id_: str, size: int, after: tuple | None
         t, i = F.lit(after[0]).cast(df.schema[ts].dataType), F.lit(after[1])
         df = df.where((F.col(ts) < t) | ((F.col(ts) == t) & (F.col(id_) < i)))
     return df.orderBy(F.desc(ts), F.desc(id_)).limit(size)
+
+
+def nearest_of_queries(df: DataFrame, queries: DataFrame, row: str, vector: str, k: int, digits: int = 6, block: int = 1000) -> DataFrame:
+    """query, row, similarity, rank: of each query vector, the ``k`` rows of the highest cosine similarity (ties: smallest id).
+
+    Queries go out in blocks of a fixed size, which is what a task holds; of each batch of rows only the k best for a
+    query (with ties) leave the task, and ranks are taken over those.
+    """
+    spark, found = df.sparkSession, None
+    rows = df.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    ids = queries.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").orderBy("row")
+    held = [(r["row"], r["v"]) for r in ids.toLocalIterator()]
+    for lo in range(0, len(held), block):
+        part = held[lo : lo + block]
+        q = np.array([v for _, v in part])
+        sent = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            names, q = sent.value
+            for batch in batches:
+                column = batch.column("v")
+                if not len(column):
+                    continue
+                v = column.flatten().to_numpy().reshape(len(column), -1)
+                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, digits)
+                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                i, j = np.nonzero(s >= least[:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), batch.column("row").take(pa.array(j)), pa.array(s[i, j])], ["query", "row", "similarity"])
+
+        one = rows.mapInArrow(best, "query long, row long, similarity double")
+        found = one if found is None else found.unionByName(one)
+    if found is None:
+        found = spark.createDataFrame([], "query long, row long, similarity double")
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def size_classes(df: DataFrame, size: Column) -> DataFrame:
+    """bucket, n of all five size classes, those without rows too."""
+    names = df.sparkSession.createDataFrame([(n,) for n, _ in mail.SIZES], "bucket string")
+    counts = df.groupBy(mail.size_bucket(size).alias("bucket")).agg(F.count("*").alias("n"))
+    return F.broadcast(names).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))

@@ -13,12 +13,13 @@ from archivum.operators import durable
 from archivum.operators import review as rv
 from archivum.operators import search as se
 from archivum.sources import exports
-from archivum.plans import upkeep  # noqa: F401  (fills the table)
+from archivum.plans import inquiry, upkeep  # noqa: F401  (fill the table)
 from archivum.plans.base import QUERIES as _Q
 from archivum.plans.base import query as _query
 from archivum.plans.base import table as _t
 from archivum.streaming import capture
 
+
 @_query("a01_count_and_span", "SELECT count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last, count(DISTINCT o_custkey) AS senders FROM orders WHERE o_orderstatus = 'F'")
 def _(s, d):
     return _t(s, d, "orders").where("o_orderstatus = 'F'").agg(F.count("*").alias("n"), F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"), F.countDistinct("o_custkey").alias("senders"))
@@ -44,7 +45,7 @@ def _(s, d):
     return _t(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
 
 
-@_query("a13_size_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN b < 1024 THEN '<1 KB' WHEN b < 10240 THEN '1-10 KB' WHEN b < 102400 THEN '10-100 KB' WHEN b < 1048576 THEN '100 KB-1 MB' ELSE '>1 MB' END AS bucket FROM (SELECT octet_length(encode(text)) AS b FROM documents)) GROUP BY 1")
+@_query("a13_size_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN b < 1024 THEN '< 1 KB' WHEN b < 10240 THEN '1-10 KB' WHEN b < 102400 THEN '10-100 KB' WHEN b < 1048576 THEN '100 KB-1 MB' ELSE '> 1 MB' END AS bucket FROM (SELECT octet_length(encode(text)) AS b FROM documents)) GROUP BY 1")
 def _(s, d):
     return _t(s, d, "documents").groupBy(mail.size_bucket(F.octet_length("text")).alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -126,7 +127,7 @@ def _(s, d):
     return se.search(_messages(s, d), "subject:machin has:attachment after:1998-01-01 before:06/01/1999 -from:77", "subject").select("id", "sender", "ts")
 
 
-@_query("f28_boolean_text", r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])idiot') OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])scum')) AND NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])clown')")
+@_query("f28_boolean_text", r"SELECT doc_id FROM documents WHERE (regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])idiot($|[^\p{L}\p{N}])') OR regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])scum')) AND NOT regexp_matches(text, '(?i)(^|[^\p{L}\p{N}])clown($|[^\p{L}\p{N}])')")
 def _(s, d):
     return se.search(_t(s, d, "documents"), "idiot OR scum -clown", "text").select("doc_id")
 

@@ -6,12 +6,31 @@ from archivum.operators import search as se
 
 
 def test_grammar_keeps_every_line_valid():
-    q = se.parse('from:alice "not guilty" -spam report OR memo unknown:key before:2024-01-02')
-    assert q.fields == {"sender": ["alice"], "before": ["2024-01-02"]}
-    assert q.terms == [["not guilty"], ["report", "memo"], ["unknown:key"]]
-    assert q.without == ["spam"]
-    assert se.parse("or").terms == [["or"]]
-    assert se.parse('broken "quote').terms == [["broken"], ["quote"]]
+    q = se.parse('from:bob from:"alice b" "not guilty" -spam report OR memo unknown:key before:2024-01-02 before:soon -to:x NOT tag:t NOT word sort:largest is:odd')
+    assert q.fields == {"sender": "alice b", "before": "2024-01-02"}
+    assert q.excluded == [("recipient", "x"), ("tag", "t")]
+    assert q.text == '"not guilty" -spam report OR memo unknown:key before:soon NOT word is:odd'
+    assert q.order == "size"
+    assert se.parse('broken "quote').text == 'broken "quote'
+    assert se.parse("-no:attachments").text == "-no:attachments"
+
+
+def test_boolean_text(spark):
+    rows = ["alpha", "alpha beta", "beta gamma", "gamma", "alphabet soup", "spam ham", "guilty not", "alpha spam", "alpha-beta"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+
+    def found(line):
+        return [r.t for r in df.where(se.text_condition(F.col("t"), line)).collect()]
+
+    assert found("alpha AND beta OR gamma") == ["alpha beta", "beta gamma", "gamma", "alpha-beta"]
+    assert found("gamma OR alpha AND beta") == ["alpha beta", "beta gamma", "gamma", "alpha-beta"]
+    assert found("alph") == ["alpha", "alpha beta", "alphabet soup", "alpha spam", "alpha-beta"]
+    assert found("alpha spa") == ["alpha spam"] and found("alph spam") == []
+    assert found("-spam") == ["spam ham", "alpha spam"]
+    assert found("alpha -spam") == ["alpha", "alpha beta", "alphabet soup", "alpha-beta"]
+    assert found("alpha AND NOT spam") == found("alpha NOT spam") == ["alpha", "alpha beta", "alpha-beta"]
+    assert found("not guilty") == ["guilty not"] and found("NOT guilty") == ["guilty not"]
+    assert found("alpha-beta") == ["alpha beta", "alpha-beta"]
 
 
 def test_dates():
