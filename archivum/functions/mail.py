@@ -214,3 +214,10 @@ def message_hash(addresses: Column, ts: Column, subject: Column, body: Column) -
     flat = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[ \t\r\n]+", " "))
     stamp = F.coalesce(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
     return F.sha2(F.concat_ws("\x1e", people, stamp, flat(subject), flat(body)).cast("binary"), 256)
+
+
+def redact_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The text after (pattern, replacement) rules, each over what the one before left."""
+    for pattern, replacement in rules:
+        text = F.regexp_replace(text, pattern, replacement)
+    return text

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.functions import mail
+from archivum.operators.durable import materialize
 
 
 def top_k(df: DataFrame, key: str, k: int, out: str = "n") -> DataFrame:
@@ -122,7 +125,7 @@ def bm25(df: DataFrame, id_: str, text: str, query: list[str], k1: float = 1.2,
     words = df.select(id_, tokens(F.col(text)).alias("w"))
     held = lambda q: F.size(F.filter("w", lambda x: x == q))
     counts = [held(q).alias(f"tf_{i}") for i, q in enumerate(query)]
-    rows = words.select(id_, F.size("w").alias("dl"), *counts)
+    rows = materialize(words.select(id_, F.size("w").alias("dl"), *counts), "counts")  # read twice: texts are split once
     stats = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avg"), *[F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(query))])
     both = rows.crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
@@ -189,3 +192,53 @@ def size_classes(df: DataFrame, size: Column) -> DataFrame:
     names = df.sparkSession.createDataFrame([(n,) for n, _ in mail.SIZES], "bucket string")
     counts = df.groupBy(mail.size_bucket(size).alias("bucket")).agg(F.count("*").alias("n"))
     return F.broadcast(names).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def keyword_sweep(df: DataFrame, text: str, words: list[str]) -> DataFrame:
+    """word, documents, hits of each word that occurs (as a part of words too, A-Z without case).
+
+    A text is read once: its counts are an array, so no text is copied and each pattern is compiled once.
+    """
+    low = F.lower(text)
+    counts = F.array(*(F.struct(F.lit(w).alias("word"), F.regexp_count(low, F.lit(re.escape(w.lower()))).alias("n")) for w in words))
+    return df.select(F.inline(F.filter(counts, lambda x: x["n"] > 0))).groupBy("word").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("hits"))
+
+
+def tally(df: DataFrame, parts: dict[str, Column], top: dict[str, int] | None = None) -> DataFrame:
+    """kind, key, n: how often each key of each part occurs, in one pass and one shuffle; ``parts`` are arrays of strings.
+
+    ``top`` keeps the most frequent keys of a part, ties by key.  Null and empty arrays count nothing.
+    """
+
+    def named(name: str, c: Column) -> Column:
+        return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda k: F.struct(F.lit(name).alias("kind"), k.alias("key")))
+
+    every = F.flatten(F.array(*(named(name, c) for name, c in parts.items())))
+    counts = df.select(F.inline(every)).groupBy("kind", "key").agg(F.count("*").alias("n"))
+    if not top:
+        return counts
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
+    limit = F.create_map(*(F.lit(x) for kv in top.items() for x in kv))
+    return counts.withColumn("_place", place).where(F.col("_place") <= F.coalesce(F.try_element_at(limit, F.col("kind")), F.lit(2**31 - 1))).drop("_place")
+
+
+def anomalies(df: DataFrame, row: str, sender: str, ts: str, recipients: str, attachments: str, night: int = 5, most: int = 10, factor: float = 3.0) -> DataFrame:
+    """kind, who, n: senders with more than ``night`` messages from 0 to 5 o'clock, messages to more than ``most``
+    recipients, and messages with more attachments than three and ``factor`` times the mean of those that have any."""
+    late = df.where(F.hour(ts).between(0, 5)).groupBy(F.col(sender).cast("string").alias("who")).agg(F.count("*").alias("n")).where(F.col("n") > night)
+    many = df.where(F.col(recipients) > most).select(F.col(row).cast("string").alias("who"), F.col(recipients).cast("long").alias("n"))
+    mean = df.where(F.col(attachments) > 0).agg(F.avg(attachments).alias("mean"))
+    heavy = df.crossJoin(F.broadcast(mean)).where(F.col(attachments) > F.greatest(factor * F.col("mean"), F.lit(3.0))).select(F.col(row).cast("string").alias("who"), F.col(attachments).cast("long").alias("n"))
+    out = late.select(F.lit("unusual hours").alias("kind"), "who", "n")
+    for kind, found in (("many recipients", many), ("many attachments", heavy)):
+        out = out.unionByName(found.select(F.lit(kind).alias("kind"), "who", "n"))
+    return out
+
+
+def in_period(ts: Column, period: str, now: datetime, since: datetime | None = None, until: datetime | None = None) -> Column:
+    """Whether a time lies in ``today``, the last 7 days (``week``), the last 30 (``month``) or a ``custom`` period up to ``now``."""
+    midnight = now.replace(hour=0, minute=0, second=0, microsecond=0)
+    begin = {"today": midnight, "week": now - timedelta(days=7), "month": now - timedelta(days=30), "custom": since}[period]
+    end = min(until, now) if period == "custom" and until else now
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    return F.coalesce((ts >= stamp(begin) if begin else F.lit(True)) & (ts <= stamp(end)), F.lit(False))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from archivum.operators.durable import materialize
+
 from archivum.functions.mail import tokens
 from archivum.operators.review import number_rows
 
@@ -71,17 +73,29 @@ def topics(df: DataFrame, id_: str, text: str, stop: list[str], k: int = 5, shor
     return scored.withColumn("place", place).where(F.col("place") <= k).select(id_, "place", "word", "score")
 
 
-def integrity_tree(df: DataFrame, id_: str, content: str, digits: int = 4) -> DataFrame:
-    """(node, hash): a root for each bucket of leaves by their first ``digits`` hex digits, and ``root`` over the buckets.
+def integrity_tree(df: DataFrame, id_: str, content: str, digits: int = 4, levels: int = 1) -> DataFrame:
+    """(node, hash): nodes over the leaves by their first hex digits, ``levels`` of ``digits`` digits each, and ``root``.
 
-    A leaf is SHA-256 of the id and the content's SHA-256.  More digits keep buckets small in larger archives.
+    A leaf is SHA-256 of the id and the content's SHA-256; a node is that of its children in order.  No node has more
+    than 16 ** ``digits`` children above the lowest level; choose ``levels`` so that a lowest node's leaves fit a task.
     """
     inner = F.sha2(F.coalesce(content, F.lit("")).cast("binary"), 256)
     leaf = F.sha2(F.concat_ws(":", F.col(id_).cast("string"), inner).cast("binary"), 256)
     over = lambda c: F.sha2(F.array_join(c, "").cast("binary"), 256)
-    buckets = df.select(leaf.alias("leaf")).groupBy(F.substring("leaf", 1, digits).alias("node")).agg(over(F.sort_array(F.collect_list("leaf"))).alias("hash"))
-    root = buckets.agg(over(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda b: b["hash"])).alias("hash"))
-    return buckets.unionByName(root.select(F.lit("root").alias("node"), "hash"))
+    level = df.select(leaf.alias("leaf")).groupBy(F.substring("leaf", 1, digits * levels).alias("node")).agg(over(F.sort_array(F.collect_list("leaf"))).alias("hash"))
+    level = out = materialize(level, "tree")  # every level above reads it
+    for k in range(levels - 1, -1, -1):
+        name = F.substring("node", 1, digits * k) if k else F.lit("root")
+        level = level.groupBy(name.alias("up")).agg(over(F.transform(F.sort_array(F.collect_list(F.struct("node", "hash"))), lambda b: b["hash"])).alias("hash")).withColumnRenamed("up", "node")
+        out = out.unionByName(level)
+    return out
+
+
+def verify_tree(df: DataFrame, tree: DataFrame, id_: str, content: str, digits: int = 4, levels: int = 1) -> DataFrame:
+    """node, was, is_now of the nodes that differ from a stored ``tree``; none if nothing was changed, added or lost."""
+    now = integrity_tree(df, id_, content, digits, levels).withColumnRenamed("hash", "is_now")
+    both = tree.withColumnRenamed("hash", "was").join(now, "node", "full")
+    return both.where(~F.col("was").eqNullSafe(F.col("is_now")))
 
 
 def review_batches(df: DataFrame, order: list[str], size: int = 50) -> DataFrame:

@@ -10,7 +10,9 @@ import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from archivum.functions import mail
 from archivum.operators import analytics as an
+from archivum.operators import archive as ar
 from archivum.operators import duplicates as du
 from archivum.operators import search as se
 from archivum.operators import signals as sg
@@ -169,3 +171,58 @@ def _(s, d):
 @_query("w05_five_largest_bursts", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 GROUP BY 1), m AS (SELECT avg(n) AS mean, count(*) AS days FROM d) SELECT day, n, round(mean, 6) AS mean FROM d, m WHERE days >= 7 AND n > 3 * mean ORDER BY n DESC, day LIMIT 5")
 def _(s, d):
     return an.bursts(an.daily(_t(s, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000"), "o_orderdate"), 3.0).orderBy(F.desc("n"), "day").limit(5).withColumn("mean", F.round("mean", 6))
+
+
+_TALLY_SQL = f"""WITH {_LETTERS_SQL}, e AS (SELECT 'type' AS kind, message_type AS key FROM l UNION ALL SELECT 'tag', unnest(tags) FROM l UNION ALL SELECT 'evidence', unnest(evidence) FROM l UNION ALL SELECT 'domain', unnest(domains) FROM l
+UNION ALL SELECT 'sender', sender FROM l UNION ALL SELECT 'with attachments', 'yes' FROM l WHERE len(attachments) > 0 UNION ALL SELECT 'ending', lower(regexp_extract(unnest(attachments), '[^.]*$')) FROM l),
+c AS (SELECT kind, key, count(*) AS n FROM e GROUP BY 1, 2) SELECT kind, key, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, key) AS place FROM c) WHERE place <= CASE kind WHEN 'sender' THEN 10 WHEN 'domain' THEN 15 ELSE 1000000 END"""
+
+
+@_query("a12_tally", _TALLY_SQL)
+def _(s, d):
+    yes = F.when(F.size("attachments") > 0, F.array(F.lit("yes")))
+    endings = F.transform("attachments", lambda a: F.lower(F.substring_index(a, ".", -1)))
+    return an.tally(_letters(s, d), {"type": F.array("message_type"), "tag": F.col("tags"), "evidence": F.col("evidence"), "domain": F.col("domains"), "sender": F.array("sender"), "with attachments": yes, "ending": endings}, {"sender": 10, "domain": 15})
+
+
+@_query("a26_weekdays", "SELECT isodow(o_orderdate) AS weekday, count(*) AS n FROM orders GROUP BY 1")
+def _(s, d):
+    return _t(s, d, "orders").groupBy((F.weekday("o_orderdate") + 1).cast("long").alias("weekday")).agg(F.count("*").alias("n"))
+
+
+@_query("a27_custodian", f"WITH {_LETTERS_SQL} SELECT domain, count(*) AS n FROM (SELECT unnest(domains) AS domain FROM l WHERE sender ILIKE '%#0000000%') GROUP BY 1")
+def _(s, d):
+    return an.tally(_letters(s, d).where(se.field_condition("sender", "#0000000")), {"domain": F.col("domains")}).select(F.col("key").alias("domain"), "n")
+
+
+@_query("t07_anomaly_signals", """WITH m AS (SELECT event_id, user_id, ts, event_id % 13 AS r, CASE WHEN event_id % 50 = 0 THEN 40 ELSE event_id % 3 END AS a FROM events), v AS (SELECT avg(a) AS mean FROM m WHERE a > 0)
+SELECT 'unusual hours' AS kind, CAST(user_id AS VARCHAR) AS who, count(*) AS n FROM m WHERE hour(ts) BETWEEN 0 AND 5 GROUP BY 2 HAVING count(*) > 5
+UNION ALL SELECT 'many recipients', CAST(event_id AS VARCHAR), r FROM m WHERE r > 10 UNION ALL SELECT 'many attachments', CAST(event_id AS VARCHAR), a FROM m, v WHERE a > greatest(3 * mean, 3)""")
+def _(s, d):
+    m = _t(s, d, "events").withColumns({"r": F.col("event_id") % 13, "a": F.when(F.col("event_id") % 50 == 0, 40).otherwise(F.col("event_id") % 3)})
+    return an.anomalies(m, "event_id", "user_id", "ts", "r", "a")
+
+
+@_query("x21_rule_redaction", r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '[0-9]{4,}', '[number]', 'g'), '[A-Z]{2,}', '[capitals]', 'g')) AS text_md5 FROM documents")
+def _(s, d):
+    out = mail.redact_rules(F.coalesce("text", F.lit("")), [("[0-9]{4,}", "[number]"), ("[A-Z]{2,}", "[capitals]")])
+    return _t(s, d, "documents").select("doc_id", F.md5(out.cast("binary")).alias("text_md5"))
+
+
+@_query("x33_periods", "SELECT count(*) FILTER (o_orderdate >= TIMESTAMP '1997-03-05' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS today, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-02-26 18:00:00' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS week, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-02-03 18:00:00' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS month, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1997-02-01') AS custom FROM orders")
+def _(s, d):
+    now, ts = datetime.datetime(1997, 3, 5, 18), F.col("o_orderdate")
+    own = {p: an.in_period(ts, p, now) for p in ("today", "week", "month")} | {"custom": an.in_period(ts, "custom", now, datetime.datetime(1997, 1, 1), datetime.datetime(1997, 2, 1))}
+    return _t(s, d, "orders").agg(*(F.count_if(c).alias(p) for p, c in own.items()))
+
+
+@_query("t35_integrity_levels", "WITH l AS (SELECT sha256(doc_id || ':' || sha256(coalesce(text, ''))) AS leaf FROM documents), b AS (SELECT substr(leaf, 1, 2) AS node, sha256(string_agg(leaf, '' ORDER BY leaf)) AS hash FROM l GROUP BY 1), a AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(hash, '' ORDER BY b.node)) AS hash FROM b GROUP BY 1) SELECT * FROM b UNION ALL SELECT * FROM a UNION ALL SELECT 'root', sha256(string_agg(hash, '' ORDER BY node)) FROM a")
+def _(s, d):
+    return ar.integrity_tree(_t(s, d, "documents"), "doc_id", "text", 1, 2)
+
+
+@_query("t35_changed_nodes", "WITH x AS (SELECT doc_id, substr(sha256(doc_id || ':' || sha256(coalesce(text, ''))), 1, 2) AS was, substr(sha256(doc_id || ':' || sha256(coalesce(text, '') || '!')), 1, 2) AS is_now FROM documents WHERE doc_id % 100 = 7) SELECT node FROM (SELECT was AS node FROM x UNION SELECT is_now FROM x UNION SELECT 'root')")
+def _(s, d):
+    docs = _t(s, d, "documents")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 100 == 7, F.concat(F.coalesce("text", F.lit("")), F.lit("!"))).otherwise(F.col("text")))
+    return ar.verify_tree(changed, ar.integrity_tree(docs, "doc_id", "text", 2), "doc_id", "text", 2).select("node")

@@ -181,9 +181,7 @@ def _(s, d):
 
 @_query("t14_keyword_sweep", "SELECT w AS word, count(*) AS documents, CAST(sum(n) AS BIGINT) AS hits FROM (SELECT w, len(regexp_extract_all(lower(text), w)) AS n FROM documents, (VALUES ('idiot'), ('license'), ('the')) v(w)) WHERE n > 0 GROUP BY 1")
 def _(s, d):
-    words = F.explode(F.array(*[F.lit(w) for w in ("idiot", "license", "the")]))
-    rows = _t(s, d, "documents").select(F.lower("text").alias("text"), words.alias("word")).withColumn("n", F.regexp_count("text", F.col("word")))
-    return rows.where("n > 0").groupBy("word").agg(F.count("*").alias("documents"), F.sum("n").cast("long").alias("hits"))
+    return an.keyword_sweep(_t(s, d, "documents"), "text", ["idiot", "license", "the"])
 
 
 @_query("x07_index_text", r"SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '[ \t\r\n]+', ' ', 'g'))) AS text_md5 FROM pages")
