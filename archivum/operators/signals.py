@@ -35,12 +35,17 @@ def any_of(text: Column, words: list[str]) -> Column:
     return reduce(Column.__or__, (text.contains(w) for w in words))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are worked out once a row, however often they are used (a generator isn't inlined)."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def weigh(df: DataFrame, signals: list[Signal], score: str = "score", reasons: str = "reasons") -> DataFrame:
     """``df`` with the points of the signals that hold and their names."""
     every = F.array(*(F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("name"), F.lit(float(p)).alias("points"))) for n, p, c in signals))
-    held = df.withColumn("_held", F.filter(every, lambda x: x.isNotNull()))
+    held = once(df, _held=F.filter(every, lambda x: x.isNotNull()))
     total = F.aggregate("_held", F.lit(0.0), lambda a, x: a + x["points"])
-    return held.withColumns({score: total, reasons: F.transform("_held", lambda x: x["name"])}).drop("_held")
+    return once(held, **{score: total, reasons: F.transform("_held", lambda x: x["name"])}).drop("_held")
 
 
 def _text(c: Column) -> Column:
@@ -49,7 +54,8 @@ def _text(c: Column) -> Column:
 
 def priority(df: DataFrame, subject: Column, body: Column, in_thread: Column, sender_replies: Column, attachments: Column) -> DataFrame:
     """score, reasons and level (High from 5 points, Medium from 3) of each message."""
-    s, b = _text(subject), _text(body)
+    df = once(df, _s=_text(subject), _b=_text(body))
+    s, b = F.col("_s"), F.col("_b")
     questions = F.regexp_count(s, F.lit(r"\?")) + F.regexp_count(F.left(b, F.lit(500)), F.lit(r"\?"))
     signals = [
         ("urgency", 2, any_of(s, URGENT) | any_of(F.left(b, F.lit(300)), URGENT)),
@@ -59,15 +65,15 @@ def priority(df: DataFrame, subject: Column, body: Column, in_thread: Column, se
         ("frequent contact", 1, sender_replies >= 3),
         ("attachments", 1, attachments > 0),
     ]
-    return weigh(df, signals).withColumn("level", F.when(F.col("score") >= 5, "High").when(F.col("score") >= 3, "Medium").otherwise("Low"))
+    return weigh(df, signals).drop("_s", "_b").withColumn("level", F.when(F.col("score") >= 5, "High").when(F.col("score") >= 3, "Medium").otherwise("Low"))
 
 
 def privilege(df: DataFrame, subject: Column, body: Column, participants: Column, law_sender: Column, law_recipient: Column) -> DataFrame:
     """score (0 to 1), reasons and class of each message; names of organisations in the text are not looked at."""
-    s, b = _text(subject), _text(body)
-    both = F.concat_ws(" ", s, b)
+    df = once(df, _b=_text(body), _both=F.concat_ws(" ", _text(subject), _text(body)))
+    b, both = F.col("_b"), F.col("_both")
     signals = [("law firm sends", 3, law_sender), ("law firm receives", 2, law_recipient), *((t, p, both.contains(t)) for t, p in PRIVILEGE.items()), ("disclaimer", 1.5, any_of(b, DISCLAIMERS)), ("legal title", 1.5, any_of(_text(participants), TITLES))]
-    out = weigh(df, signals, "points")
+    out = weigh(df, signals, "points").drop("_b", "_both")
     level = F.when(F.col("points") >= 10, "privileged, high").when(F.col("points") >= 6, "privileged, medium").when(F.col("points") >= 3, "needs review").otherwise("not privileged")
     return out.withColumns({"class": level, "score": F.least(F.lit(1.0), F.col("points") / 15)}).drop("points")
 
@@ -85,11 +91,12 @@ def phishing(df: DataFrame, subject: Column, sender: Column, body: Column, authe
     Signals of the text, the sender's name and address, links, and authentication; risky top-level domains, encoded
     links, redirects and differing link texts are not looked at.  SPF and DKIM failures count once.
     """
-    s, f, b, h = (_text(c) for c in (subject, sender, body, authentication_results))
+    df = once(df, _s=_text(subject), _f=_text(sender), _b=_text(body), _start=F.left(_text(body), F.lit(1000)), _h=_text(authentication_results))
+    s, f, b, h = (F.col(c) for c in ("_s", "_f", "_b", "_h"))
     shown = F.trim(F.substring_index(f, "<", 1))
     domain = F.substring_index(F.trim(F.replace(F.substring_index(f, "<", -1), F.lit(">"), F.lit(""))), "@", -1)
     named = F.substring_index(shown, "@", -1)
-    start = F.left(b, F.lit(1000))
+    start = F.col("_start")
     answer = F.substring_index(F.substring_index(_text(reply_to), "@", -1), ">", 1)
     brand = reduce(Column.__or__, (shown.contains(x) & ~domain.contains(x) for x in BRANDS))
     signals = [
@@ -105,5 +112,5 @@ def phishing(df: DataFrame, subject: Column, sender: Column, body: Column, authe
         ("dmarc", 3, h.contains("dmarc=fail")),
         ("answers go elsewhere", 2, (answer != "") & (domain != "") & (answer != domain)),
     ]
-    out = weigh(df, signals)
+    out = weigh(df, signals).drop("_s", "_f", "_b", "_start", "_h")
     return out.withColumn("risk", F.when(F.col("score") >= 8, "high").when(F.col("score") >= 4, "medium"))
