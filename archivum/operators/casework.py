@@ -24,6 +24,32 @@ def attachment_group(attachments: Column, name: str | None = None, kind: str | N
     return F.coalesce(F.exists(attachments, holds), F.lit(False))
 
 
+#: An attachment family's parts of a media type and its file endings.
+FAMILIES = {
+    "pdf": (["pdf"], ["pdf"]),
+    "images": (["image/"], ["png", "jpg", "jpeg", "gif", "heic", "tiff", "tif", "bmp", "webp"]),
+    "office": (["officedocument", "msword", "ms-excel", "ms-powerpoint", "opendocument"], ["doc", "docx", "xls", "xlsx", "ppt", "pptx", "odt", "ods", "odp", "rtf"]),
+    "archives": (["zip", "compressed"], ["zip", "gz", "tgz", "7z", "rar", "tar"]),
+    "text": (["text/"], ["txt", "csv", "md", "log", "json", "xml", "html", "htm"]),
+}
+_OTHER_NAMES = {"image": "images", "office documents": "office", "documents": "office", "archive": "archives", "zip": "archives"}
+
+
+def attachment_family(name: Column, media_type: Column, kind: str) -> Column:
+    """Whether an attachment is of a family (by media type or ending), or else has the ending ``kind``, taken literally."""
+    kind = kind.lower()
+    file, media = F.coalesce(F.lower(name), F.lit("")), F.coalesce(F.lower(media_type), F.lit(""))
+    family = FAMILIES.get(_OTHER_NAMES.get(kind, kind))
+    if family is None:
+        return file.endswith("." + kind.strip(". "))
+    out = F.lit(False)
+    for part in family[0]:
+        out = out | (media.startswith(part) if part.endswith("/") else media.contains(part))
+    for ending in family[1]:
+        out = out | file.endswith("." + ending)
+    return out
+
+
 def snapshot(df: DataFrame, sequence: str, bound: int) -> DataFrame:
     """Rows that were there when ``bound`` was the highest sequence number: later rows can't slip into a long export."""
     return df.where(F.col(sequence) <= bound)

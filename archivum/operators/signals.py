@@ -114,3 +114,82 @@ def phishing(df: DataFrame, subject: Column, sender: Column, body: Column, authe
     ]
     out = weigh(df, signals).drop("_s", "_f", "_b", "_start", "_h")
     return out.withColumn("risk", F.when(F.col("score") >= 8, "high").when(F.col("score") >= 4, "medium"))
+
+
+#: Words of urgency by their points, risky file endings and top-level domains.
+NOW_WORDS = ["urgent", "asap", "immediately", "emergency", "critical", "deadline today"]
+SOON_WORDS = ["time-sensitive", "by end of day", "eod", "before tomorrow", "action required", "action needed", "please respond", "waiting for your", "overdue"]
+SOME_TIME_WORDS = ["follow up", "follow-up", "reminder", "fyi", "when you get a chance", "could you", "would you", "need your input"]
+DANGEROUS = ["exe", "bat", "cmd", "scr", "pif", "js", "vbs", "wsf", "ps1", "msi", "dll", "com"]
+RISKY_DOMAINS = ["xyz", "tk", "ml", "ga", "cf", "gq", "top", "buzz", "club", "icu", "work"]
+
+
+def urgency(df: DataFrame, subject: Column, body: Column, ts: Column, tone: Column, now: Column) -> DataFrame:
+    """score (at most 1), reasons and urgency of the messages whose points are above 0.05; ``tone`` below -0.3 adds points."""
+    df = once(df, _all=F.concat_ws(" ", _text(subject), _text(body)), _s=_text(subject))
+    text = F.col("_all")
+    days = F.floor((F.unix_timestamp(now) - F.unix_timestamp(ts)) / 86400)
+    signals = [
+        *((w, 0.3, text.contains(w)) for w in NOW_WORDS),
+        *((w, 0.2, text.contains(w)) for w in SOON_WORDS),
+        *((w, 0.1, text.contains(w)) for w in SOME_TIME_WORDS),
+        ("questions", 0.15, F.regexp_count(text, F.lit(r"\?")) >= 2),
+        ("exclamation marks", 0.1, F.regexp_count(F.col("_s"), F.lit("!")) >= 2),
+        ("today or yesterday", 0.1, days <= 1),
+        ("within three days", 0.05, (days > 1) & (days <= 3)),
+        ("tone", 0.1, tone < -0.3),
+    ]
+    points = F.round("score", 9)
+    out = weigh(df, signals).drop("_all", "_s").where(points > 0.05)
+    level = F.when(points >= 0.5, "critical").when(points >= 0.35, "high").when(points >= 0.2, "medium").otherwise("low")
+    return out.withColumn("urgency", level).withColumn("score", F.least(points, F.lit(1.0)))
+
+
+def correlate_threats(df: DataFrame, anomalies: DataFrame, row: str, body: Column, files: Column) -> DataFrame:
+    """score (0 to 1), level and vector of the messages that have any sign of a threat.
+
+    ``df`` has ``spf``, ``dkim``, ``dmarc``, and ``risk`` and ``reasons`` as ``phishing`` gives them (its score is replaced); ``anomalies``
+    (row, severity) may name a message often and is summed before it is joined.
+    """
+    odd = anomalies.groupBy(row).agg(F.sum("severity").alias("_odd"))
+    df = once(df.join(odd, row, "left"), _b=_text(body), _files=F.size(F.filter(files, lambda f: F.lower(F.regexp_extract(f, r"\.([^.]*)$", 1)).isin(DANGEROUS))))
+    b, flagged, risky = F.col("_b"), F.col("risk").isNotNull() & (F.size("reasons") > 0), F.col("_files") > 0
+    locked = b.contains("password") & any_of(b, ["attached", "enclosed", "zip"])
+    bad = lambda c, *v: F.coalesce(F.col(c).isin(*v), F.lit(False))
+    sender = bad("spf", "fail", "softfail") | bad("dkim", "fail") | bad("dmarc", "fail")
+    points = (
+        F.when(bad("spf", "fail"), 1.6).when(bad("spf", "softfail"), 1.0).otherwise(0.0) + F.when(bad("dkim", "fail"), 1.4).otherwise(0.0) + F.when(bad("dmarc", "fail"), 1.8).otherwise(0.0)
+        + F.when(flagged, F.when(F.col("risk") == "high", 0.9).when(F.col("risk") == "medium", 0.6).otherwise(0.3) * F.size("reasons")).otherwise(0.0)
+        + F.coalesce("_odd", F.lit(0.0)) + F.greatest(F.col("_files"), F.lit(0)) * 2.0 + F.when(locked, 1.0).otherwise(0.0)
+    )
+    content = flagged | locked
+    vector = (
+        F.when(any_of(b, ["wire transfer", "bank account", "routing number"]), "business email compromise").when(risky, "malware delivery")
+        .when(any_of(b, ["password", "credential", "sign in", "verify your account"]), "credential harvesting").when(sender & content, "spear phishing").when(sender, "spoofing").when(content, "phishing")
+    )
+    out = once(df.where(sender | content | risky | F.col("_odd").isNotNull()).drop("score", "vector"), score=F.least(points / 10, F.lit(1.0)), vector=vector).drop("_odd", "_b", "_files")
+    s = F.round("score", 9)
+    return out.withColumn("level", F.when(s >= 0.8, "critical").when(s >= 0.6, "high").when(s >= 0.35, "medium").when(s >= 0.1, "low").otherwise("clean"))
+
+
+def domain_reputation(df: DataFrame, domain: str, ts: str, checked: Column, passed: Column, flagged: Column, now: Column) -> DataFrame:
+    """Each sending domain: messages, authentication and phishing rates, first and last time, score and class.
+
+    ``checked``: the message says anything of its authentication; ``passed``: all of it passes; ``flagged``: phishing.
+    One aggregate, combined before its shuffle.
+    """
+    held = df.where(F.coalesce(F.col(domain) != "", F.lit(False))).groupBy(domain).agg(
+        F.count("*").alias("messages"), F.count_if(checked).alias("_checked"), F.count_if(checked & passed).alias("_passed"), F.count_if(flagged).alias("_flagged"), F.min(ts).alias("first_seen"), F.max(ts).alias("last_seen")
+    )
+    n, rate, phish = F.col("messages"), F.col("authentication_rate"), F.col("phishing_rate")
+    held = held.withColumns({"authentication_rate": F.when(F.col("_checked") > 0, F.col("_passed") / F.col("_checked")).otherwise(0.5), "phishing_rate": F.col("_flagged") / n})
+    age = F.unix_timestamp(now) - F.unix_timestamp("first_seen")
+    points = (
+        0.5 + (rate - 0.5) * 0.3 - F.when((rate < 0.3) & (F.col("_checked") > 2), 0.15).otherwise(0.0) - F.when(phish > 0.3, 0.25).when(phish > 0.1, 0.1).otherwise(0.0)
+        + F.when(n >= 20, 0.1).otherwise(0.0) - F.when(n < 3, 0.05).otherwise(0.0) + F.when(age < 7 * 86400, -0.15).when(age > 180 * 86400, 0.1).otherwise(0.0)
+        - F.when(F.substring_index(domain, ".", -1).isin(RISKY_DOMAINS), 0.2).otherwise(0.0)
+    )
+    score = F.col("score")
+    kind = F.when(n < 3, "new, unverified").when(score >= 0.75, "trusted").when(score >= 0.5, "known").when(score >= 0.3, "suspicious").otherwise("malicious")
+    out = held.withColumn("score", F.round(F.greatest(F.least(points, F.lit(1.0)), F.lit(0.0)), 9)).withColumn("class", kind)
+    return out.drop("_checked", "_passed", "_flagged")

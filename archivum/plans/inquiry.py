@@ -113,11 +113,12 @@ def _sum(*signals: tuple[float, str]) -> str:
 
 _PRIORITY = _sum((2, f"{_any('lower(subject)', sg.URGENT)} OR {_any('left(lower(body), 300)', sg.URGENT)}"), (1, "len(regexp_extract_all(subject || left(body, 500), '[?]')) >= 2"), (1, _any("left(lower(body), 500)", sg.REQUESTS)), (1, "reply_to IS NOT NULL"), (1, "n >= 3"), (1, "n % 2 > 0"))
 _PRIVILEGE = _sum((3, "sender LIKE '%@law.%'"), (2, "n = 8"), *((p, f"contains(lower(subject || ' ' || body), '{t}')") for t, p in sg.PRIVILEGE.items()), (1.5, _any("lower(body)", sg.DISCLAIMERS)), (1.5, _any("lower(sender)", sg.TITLES)))
-_PHISHING = _sum(
+_PHISHING_SIGNALS = [
     *((2, f"contains(lower(subject), '{w}') OR contains(left(lower(body), 1000), '{w}')") for w in sg.PRESSURE), *((3, f"contains(lower(body), '{w}')") for w in sg.HARVESTING),
     (3, "sender LIKE 'bank.example <%'"), (4, "sender LIKE 'PayPal%'"), (3, r"regexp_matches(lower(body), 'https?://[^\s]*@[^\s]+')"), (3, r"regexp_matches(lower(body), 'https?://[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}')"),
     (1, _any("lower(body)", sg.SHORTENERS)), (2, "auth ILIKE '%spf=fail%' OR auth ILIKE '%spf=softfail%'"), (2, "auth ILIKE '%dkim=fail%'"), (3, "auth ILIKE '%dmarc=fail%'"), (2, "reply_to IS NOT NULL"),
-)
+]
+_PHISHING = _sum(*_PHISHING_SIGNALS)
 
 
 @_query("x23_priority", f"WITH {_BODIES_SQL}, p AS (SELECT doc_id, {_PRIORITY} AS score FROM b) SELECT doc_id, score, CASE WHEN score >= 5 THEN 'High' WHEN score >= 3 THEN 'Medium' ELSE 'Low' END AS level FROM p")
