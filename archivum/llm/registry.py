@@ -1,4 +1,4 @@
-"""The queries of the ten corpus operators, each over its whole table, and the SQL of those that SQL can express."""
+"""The queries of the corpus operators, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from archivum.llm import decontaminate, fingerprints, jaccard_join, language_model, packing, quality, substring_dedup, token_counts, toxicity, url_filter
+from archivum.llm import (
+    decontaminate, fingerprints, jaccard_join, language_model, mixture_packing, packing, periodic_runs, quality, substring_dedup, threshold_search, token_counts, toxicity, url_filter,
+)
 from archivum.llm.common import table
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -51,8 +53,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lambda s, d: language_model.language_model_scores(_documents(s, d)),
         "op9_url_filters": lambda s, d: url_filter.url_verdicts(table(s, d, "pages")),
         "op10_token_counts": lambda s, d: token_counts.token_counts(_documents(s, d)),
+        "op11_mixture_packing": lambda s, d: mixture_packing.piece_digests(mixture_packing.mixture_packing(_documents(s, d))),
+        "op12_periodic_runs": lambda s, d: periodic_runs.run_digests(periodic_runs.periodic_runs(_documents(s, d), rewrite=periodic_runs.planted)),
+        "op13_ranked_search": lambda s, d: threshold_search.threshold_search(_documents(s, d), table(s, d, "benchmark")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op9_url_filters": url_filter.ORACLE_SQL}
+    return {"op1_ngram_jaccard_join": JACCARD_SQL, "op6_benchmark_decontamination": DECONTAMINATION_SQL, "op9_url_filters": url_filter.ORACLE_SQL, "op13_ranked_search": threshold_search.ORACLE_SQL}
