@@ -14,23 +14,28 @@ powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import re
 from collections import OrderedDict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from archivum.llm.common import BROADCAST_ROWS, materialize
+from archivum.llm.hashing import chunks
+from archivum.llm.token_counts import byte_symbols
 
 CAPACITY = 2048
 #: Parts of a block; blocks whose bounds a task keeps.
 FAN, KEPT = 1024, 32
 #: Queues; if there are more sources, they share queues by a hash of their names.
 QUEUES = 256
-#: Words whose ids a task keeps, and the longest of them in bytes.
-CACHE, LONGEST = 300_000, 64
+#: Words whose ids a task keeps beside those of a text.
+CACHE = 200_000
 #: Partitions whose totals are summed in one group.
 GROUP = 1024
 
@@ -148,64 +153,87 @@ class Plan:
 
 
 class WordIds:
-    """Ids of whole texts by a tokenizers file whose patterns never cross white space, word by word with a bounded cache."""
+    """Ids of whole texts by a tokenizers file with word ends whose patterns never cross white space, with a bounded cache of words.
+
+    The ids are those of the tokenizers library, which itself encodes words with characters beyond Latin Extended-A and
+    texts with special strings.  Other words go through the same merges as ranks of tiktoken, where a byte that no UTF-8
+    text has stands for a word's end; the tests compare both.  Texts are encoded word by word, words pattern by pattern.
+    """
+
+    END = b"\xff"
+    PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    SIMPLE = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+    BEYOND = re.compile("[\u0130\u0180-\U0010ffff]")
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
+        byte = {s: b for b, s in enumerate(byte_symbols())}
+        special = set(self.library.get_added_tokens_decoder())
+        ranks = {bytes(map(byte.__getitem__, t.removesuffix("</w>"))) + (self.END if t.endswith("</w>") else b""): i for t, i in vocabulary.items() if i not in special}
+        self.fast = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
         self.cache: dict[bytes, bytes] = {}
 
-    def _encode(self, text: bytes) -> bytes:
+    def _whole(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
 
-    def of(self, text: bytes | None) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):  # as the library takes them in a whole text
-            return self._encode(text)
+    def _word(self, word: bytes) -> bytes:
+        found = self.SIMPLE.fullmatch(word)
+        if found:
+            parts = [p for p in (found[1].lower(), found[2]) if p]
+        else:
+            text = word.decode("utf-8")
+            if self.BEYOND.search(text):
+                return self._whole(word)
+            parts = [p.encode() for p in self.PATTERN.findall(text.lower())]
+        return np.array([i for p in parts for i in self.fast(p + self.END)], self.kind).tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        if any(s in text for s in self.special):
+            return self._whole(text)
         cache, words = self.cache, text.split()
-        try:
-            return b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            pass
         if len(cache) > CACHE:
             cache.clear()
-        out = []
-        for w in words:
-            ids = cache.get(w)
-            if ids is None:
-                ids = self._encode(w)
-                if len(w) <= LONGEST:
-                    cache[w] = ids
-            out.append(ids)
-        return b"".join(out)
+        for w in set(words):
+            if w not in cache:
+                cache[w] = self._word(w)
+        return b"".join(map(cache.__getitem__, words))
+
+
+@lru_cache(maxsize=1)
+def _word_ids(name: str) -> WordIds:
+    import public_tokenizers as public
+
+    return WordIds(public.path(name))
 
 
 def token_table(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
     """doc_id, source, part, before, n, ids: the ids of each text, and how many its partition has of the source before it."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers as public
         from pyspark import TaskContext
 
-        ids, part = WordIds(public.path(tokenizer)), TaskContext.get().partitionId()
+        ids, part = _word_ids(tokenizer), TaskContext.get().partitionId()
         last = np.array([end], ids.kind).tobytes()
         sent: dict[str, int] = {}
         for batch in batches:
-            source = batch.column("source").to_pylist()
-            own = [ids.of(t.as_py()) + last for t in batch.column("text").cast(pa.binary())]
-            n, before = [len(x) // len(last) for x in own], []
-            for s, k in zip(source, n, strict=True):
-                before.append(sent.get(s, 0))
-                sent[s] = before[-1] + k
-            if own:
+            for lo, hi, texts in chunks(batch.column("text"), 4 << 20):
+                source = batch.column("source").slice(lo, hi - lo)
+                own = [ids.of(t) + last for t in texts]
+                n, before = [len(x) // len(last) for x in own], []
+                for s, k in zip(source.to_pylist(), n, strict=True):
+                    before.append(sent.get(s, 0))
+                    sent[s] = before[-1] + k
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(source, pa.string()), pa.array([part] * len(own), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())],
+                    [batch.column("doc_id").slice(lo, hi - lo), source, pa.array([part] * len(own), pa.int32()), pa.array(before, pa.int64()), pa.array(n, pa.int64()), pa.array(own, pa.binary())],
                     ["doc_id", "source", "part", "before", "n", "ids"],
                 )
+        ids.cache.clear()  # workers live on
 
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("source"))
@@ -270,7 +298,7 @@ def mixture_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end:
                     start = at - place
                     rows.append((doc, start, size, ids[4 * start : 4 * (start + size)], n, sequence, offset))
                 held += 4 * n
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
                     rows, held = [], 0
             if rows:

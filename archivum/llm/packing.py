@@ -1,9 +1,8 @@
 """Best-fit packing of token pieces into sequences, by a configuration linear program over the length histogram.
 
 Texts become pieces of at most ``CAPACITY`` tokens in one pass.  The histogram of lengths (at most ``CAPACITY``
-numbers) is all that the driver sees: multiplicative weights price the lengths, a knapsack dynamic program finds the
-configurations of the best price, their shares are rounded down, and what is left is packed best-fit.  The
-plan says which ranks of each length go to which sequences, so every piece finds its place by its rank among the pieces
+numbers) is all that the driver sees: multiplicative weights price the lengths, a knapsack dynamic program finds
+configurations of the best price, the average of the rounds is rounded, and what is left is packed best-fit.  The plan says which ranks of each length go to which sequences, so every piece finds its place by its rank among the pieces
 of its length: a sum over (length, salt) counts and a ranking within (length, salt), however many pieces share a length.
 """
 
@@ -25,16 +24,23 @@ from archivum.llm.text_units import LONGEST, units
 CAPACITY = 2048
 #: Units whose ids a task keeps.
 CACHE = 200_000
-#: Rounds of multiplicative weights, and how steeply a length's price falls as it is covered.
-ROUNDS, STEEP = 96, 0.3
-#: Prices grow with this power of the length: of configurations with equal coverage, those of more pieces are taken.
-SPLIT = 0.98
+#: Rounds of multiplicative weights of a solution, how steeply a length's price falls as it is covered, configurations drawn
+#: in a round, and the loss (of a configuration's price of 1) that counts as one unit.
+ROUNDS, STEEP, ANCHORS, NEAR = 60, 0.01, 256, 0.0001
+#: Times that the program is solved, each time for the pieces that rounding has left.
+SOLUTIONS = 4
+#: Lengths whose configurations are drawn come with their uncovered tokens times this power of their length: long pieces first.
+LONG = 8
 #: Pieces of one length are ranked in so many groups for each million of pieces, at least SALT.
 SALT = 32
 
 
 class Ids:
-    """Token ids of whole texts as little-endian 32-bit numbers, by units."""
+    """Token ids of whole texts as little-endian 32-bit numbers, by units.
+
+    They are those of the tokenizers library, which itself encodes texts with special strings; units go through the same
+    vocabulary as ranks of tiktoken, which is faster (the tests compare both).
+    """
 
     def __init__(self, name: str):
         import base64
@@ -101,76 +107,110 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end: int = 0,
 
 
 class Knapsack:
-    """The unbounded knapsack over lengths at given prices: for each room the multiset of the highest price that fills it."""
-
-    def __init__(self, price: np.ndarray, capacity: int):
-        size = np.flatnonzero(price > 0)[::-1] + 1  # of equal prices, the longest piece
-        worth = price[size - 1]
-        self.best, self.choice = np.full(capacity + 1, -np.inf), np.zeros(capacity + 1, np.int64)
-        self.best[0] = 0.0
-        begin = len(size) - np.searchsorted(size[::-1], np.arange(capacity + 1), "right")
-        for c in range(int(size[-1]) if len(size) else capacity + 1, capacity + 1):
-            k = begin[c]
-            v = self.best[c - size[k:]] + worth[k:]
-            i = int(v.argmax())
-            self.best[c], self.choice[c] = v[i], size[k + i]
-
-    def configuration(self, room: int) -> list[int] | None:
-        """The lengths that fill ``room`` at the highest price; None if none do."""
-        if not np.isfinite(self.best[room]):
-            return None
-        out = []
-        while room > 0:
-            out.append(int(self.choice[room]))
-            room -= out[-1]
-        return out
+    """The unbounded knapsack over ``size`` at given prices: the highest price of what fits into each room."""
+
+    def __init__(self, size: np.ndarray, price: np.ndarray, capacity: int):
+        self.size, self.price = size, price
+        self.best = np.zeros(capacity + 1)
+        fits = np.searchsorted(size, np.arange(capacity + 1), "right")
+        for room in range(int(size[0]), capacity + 1):
+            k = fits[room]
+            self.best[room] = max(self.best[room - 1], (self.best[room - size[:k]] + price[:k]).max())
+
+    def configurations(self, first: np.ndarray, taste: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """One configuration for each of the sizes (by number) ``first`` that holds it: rows of size numbers, -1 for none.
+
+        Each further piece is drawn among those that lose nearly nothing of the highest price that the room allows: the
+        loss counts in units of NEAR, ``taste`` is the log weight of each size.  So configurations of equal price all
+        come up, and not the same complement for many sizes.
+        """
+        room, act, out = len(self.best) - 1 - self.size[first], np.arange(len(first)), [first]
+        while len(act):
+            r = room[act]
+            rest = r[:, None] - self.size[None, :]
+            loss = self.best[r][:, None] - self.price[None, :] - self.best[np.maximum(rest, 0)]
+            luck = np.where(rest >= 0, taste - loss / NEAR + rng.gumbel(size=rest.shape), -np.inf)
+            pick = luck.argmax(1)
+            ok = rest[np.arange(len(act)), pick] >= 0
+            act, pick = act[ok], pick[ok]
+            column = np.full(len(first), -1)
+            column[act] = pick
+            out.append(column)
+            room[act] -= self.size[pick]
+            act = act[room[act] >= self.size[0]]
+        return np.stack(out, 1)
+
+
+def fractional(left: np.ndarray, capacity: int, rounds: int, seed: int) -> tuple[dict[tuple[int, ...], float], float]:
+    """(weights of configurations, lower bound): a fractional answer of the configuration program for the pieces ``left``.
+
+    Covering program: as few configurations as possible so that each length is covered.  Each round prices the lengths
+    (multiplicative weights: a length's price falls as the rounds so far have covered it), solves the knapsack at these
+    prices, draws ANCHORS configurations of the best price through lengths that lack cover, and gives each an equal part of
+    the bound.  The answer is the average of the rounds.  Prices over the best price of a configuration are a dual answer,
+    so what all pieces are worth is a lower bound of the program.
+    """
+    rng = np.random.default_rng(seed)
+    size = np.flatnonzero(left) + 1
+    n = left[size - 1].astype(float)
+    anchors = min(ANCHORS, 4 * len(size))
+    price, load, bound = size / capacity, np.zeros(len(size)), float((n * size).sum() / capacity)
+    total: Counter = Counter()
+    for turn in range(1, rounds + 1):
+        table = Knapsack(size, price, capacity)
+        top = float((price + table.best[capacity - size]).max())
+        bound = max(bound, float((n * price).sum()) / top)
+        table.price, table.best = price / top, table.best / top
+        lacking = np.maximum(n - load / max(1, turn - 1), 0.05 * n)
+        chance = lacking * size
+        long = chance * (size / capacity) ** LONG
+        drawn = table.configurations(rng.choice(len(size), anchors, p=long / long.sum()), np.log(chance), rng)
+        load += np.bincount(drawn[drawn >= 0], minlength=len(size)) * (bound / anchors)
+        for row in drawn.tolist():
+            total[tuple(sorted((int(size[x]) for x in row if x >= 0), reverse=True))] += bound / anchors
+        price = price * np.exp(STEEP * (1 - np.minimum(load / turn / n, 2.0)))
+        price = np.maximum(price / price.max(), 1e-9)
+    return {c: w / rounds for c, w in total.items()}, bound
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
     """(plan, placed): configurations with their times that pack every piece, and how many pieces the program placed.
 
-    ``counts[k]``: pieces of length k + 1.  Covering program: as few configurations as possible so that each length is
-    covered.  A round prices each length by its tokens times the exponential of how far it is left uncovered
-    (multiplicative weights), and one knapsack table gives, for each length, the configuration of the highest price
-    through it.  A configuration is taken if it fills the capacity, for an even share of the rounds that are left;
-    where a length has run out, only its price falls.  Such shares are whole numbers (the rounding down), so what the
-    program places wastes nothing.  The rest goes best-fit, longest first; runs of equal lengths go in one step.
+    ``counts[k]``: pieces of length k + 1.  The fractional answer is rounded to whole times, heaviest configurations first,
+    with what was rounded off carried to the next, and as far as there are pieces; the program is then solved again for what is left.  After
+    each solution the rest is packed best-fit (longest first; runs of equal lengths in one step), and the fewest sequences
+    count, of equal numbers those of which the program placed more.  Best fit alone is one of the choices, so the plan has
+    never more sequences than it.
     """
     left = counts.astype(np.int64).copy()
     plan: Counter = Counter()
     if left[capacity - 1]:
         plan[(capacity,)] += int(left[capacity - 1])
         left[capacity - 1] = 0
-    need = left.astype(float)
-    tokens = (np.arange(1, capacity + 1) / capacity) ** SPLIT
-    load = np.zeros(capacity)
-    for turn in range(rounds):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            price = np.where(left > 0, tokens * np.exp(-STEEP * np.where(need > 0, load / need, 0.0)), 0.0)
-        table = Knapsack(price, capacity)
-        taken = 0
-        for length in np.flatnonzero(left)[::-1].tolist():
-            if not left[length]:
-                continue
-            rest = table.configuration(capacity - length - 1)
-            if rest is None:
-                continue
-            config = tuple(sorted((length + 1, *rest), reverse=True))
-            amount = Counter(config)
-            times = min(int(left[k - 1] // m) for k, m in amount.items())
-            times = min(times, -(-int(left[length]) // (rounds - turn)))
-            for k, m in amount.items():
-                load[k - 1] += m * max(1, times)
-                left[k - 1] -= m * times
+    rest = _best_fit(left, capacity)
+    best = (plan.total() + rest.total(), plan + rest, int((counts - left).sum()))
+    for turn in range(SOLUTIONS):
+        before = int(left.sum())
+        if not before:
+            break
+        carry = 0.0
+        for config, weight in sorted(fractional(left, capacity, rounds, turn)[0].items(), key=lambda x: (-x[1], x[0])):
+            carry += weight
+            times = int(carry + 1e-9)
             if times:
-                plan[config] += times
-                taken += times
-        if not left.any():
+                amount = Counter(config)
+                times = min(times, *(int(left[k - 1] // m) for k, m in amount.items()))
+                if times:
+                    plan[config] += times
+                    carry -= times
+                    for k, m in amount.items():
+                        left[k - 1] -= m * times
+        rest = _best_fit(left, capacity)
+        if plan.total() + rest.total() <= best[0]:
+            best = (plan.total() + rest.total(), plan + rest, int((counts - left).sum()))
+        if before - int(left.sum()) < 0.02 * before:
             break
-    placed = int((counts - left).sum())
-    for config, times in _best_fit(left, capacity).items():
-        plan[config] += times
-    return sorted(plan.items(), key=lambda x: (-sum(x[0]), x[0])), placed
+    return sorted(best[1].items(), key=lambda x: (-sum(x[0]), x[0])), best[2]
 
 
 def _best_fit(left: np.ndarray, capacity: int) -> Counter:
@@ -215,7 +255,7 @@ def best_fit_packing(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end:
 
     A null or empty text is one piece: the end id alone.  Rows that repeat or have no id are packed each; further
     columns are ignored; an empty table gives no rows.  A very long text's ids are held by one task, four bytes each.  The driver gets one number for each length; the plan that is broadcast has a row for each place in a
-    configuration, at most ROUNDS configurations a length: ``capacity`` bounds it, not the corpus.
+    configuration, at most SOLUTIONS * ROUNDS * ANCHORS and two a length: ``capacity`` bounds it, not the corpus.
     """
     spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, end, capacity), "pieces")
