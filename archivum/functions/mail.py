@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -198,12 +198,15 @@ def keyword_snippet(text: Column, word: str, around: int = 20) -> Column:
     return F.when(at > 0, F.substring(text, F.greatest(at - around, F.lit(1)), F.lit(len(word) + around) + F.least(at - 1, F.lit(around))))
 
 
-def message_anomalies(sender: Column, recipients: Column, body: Column, subject: Column, ts: Column, attachments: Column) -> Column:
-    """Names of what is odd about a message's fields, in a fixed order."""
-    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
-    odd = [
-        (blank(sender), "missing sender"), (blank(recipients), "missing recipient"), (blank(body), "empty body"),
-        (F.length(subject) > 200, "long subject"), (effective_time(ts).isNull(), "invalid date"), (attachments > 10, "many attachments"),
+def message_anomalies(sender: Column, recipients: Column, body: Column, subject: Column, date: Column, ts: Column, attachments: Column) -> Column:
+    """What is odd about a message's fields, in a fixed order; ``date`` is the field as written, ``ts`` its time.
+
+    A date that is written and can't be read is invalid, a missing one isn't; a body of white space is empty.
+    """
+    missing = lambda c: F.coalesce(c == "", F.lit(True))
+    odd = [  # fixed values: the names and bounds of the report
+        (missing(sender), "Missing From header"), (missing(recipients), "Missing To header"), (F.coalesce(body, F.lit("")).rlike(r"^[\s\u0085\p{Z}]*$"), "Empty body"),
+        (F.length(subject) > 200, "Long subject"), (date.isNotNull() & effective_time(ts).isNull(), "Invalid date"), (attachments > 10, "Too many attachments"),
     ]
     return F.array_compact(F.array(*[F.when(c, name) for c, name in odd]))
 
@@ -216,8 +219,45 @@ def message_hash(addresses: Column, ts: Column, subject: Column, body: Column) -
     return F.sha2(F.concat_ws("\x1e", people, stamp, flat(subject), flat(body)).cast("binary"), 256)
 
 
-def redact_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The text after (pattern, replacement) rules, each over what the one before left."""
+def readable_rules(rules: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The rules whose pattern can be read, as (pattern without case, replacement taken literally)."""
+    from pyspark.errors import IllegalArgumentException
+    from pyspark.sql import SparkSession
+
+    compiled, out = SparkSession.active()._jvm.java.util.regex.Pattern, []
     for pattern, replacement in rules:
+        try:
+            compiled.compile(f"(?i){pattern}")
+        except IllegalArgumentException:
+            continue
+        out.append((f"(?i){pattern}", replacement.replace("\\", r"\\").replace("$", r"\$")))
+    return out
+
+
+def redact_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """The text after (pattern, replacement) rules, each over what the one before left.
+
+    Patterns ignore case, replacements are literal, a pattern that can't be read is skipped.
+    """
+    for pattern, replacement in readable_rules(rules):
         text = F.regexp_replace(text, pattern, replacement)
     return text
+
+
+def rule_hits(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """How many matches ``redact_rules`` replaces in a text; none in a null one."""
+    hits, text = F.lit(0), F.coalesce(text, F.lit(""))
+    for pattern, replacement in readable_rules(rules):
+        hits = hits + F.regexp_count(text, F.lit(pattern))
+        text = F.regexp_replace(text, pattern, replacement)
+    return hits.cast("long")
+
+
+def redact_message(df: DataFrame, fields: list[str], names: str, rules: list[tuple[str, str]]) -> DataFrame:
+    """``fields`` (texts) and ``names`` (an array of texts) redacted, and ``redactions``: the matches in all of them."""
+    hits = F.lit(0).cast("long")
+    for f in fields:
+        hits = hits + rule_hits(F.col(f), rules)
+    hits = hits + F.aggregate(F.coalesce(names, F.array().cast("array<string>")), F.lit(0).cast("long"), lambda n, x: n + rule_hits(x, rules))
+    out = {f: redact_rules(F.coalesce(f, F.lit("")), rules) for f in fields}
+    return df.withColumns({"redactions": hits, **out, names: F.transform(names, lambda x: redact_rules(x, rules))})

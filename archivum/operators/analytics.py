@@ -152,41 +152,54 @@ def keyset_page(df: DataFrame, ts: str, id_: str, size: int, after: tuple | None
     return df.orderBy(F.desc(ts), F.desc(id_)).limit(size)
 
 
+def _packed(df: DataFrame, size: int) -> DataFrame:
+    """Blocks of at most ``size`` rows of (row, v): their numbers, and their vectors one after the other, scaled to length 1."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, size):
+                part = batch.slice(lo, size)
+                v = part.column("v").flatten().to_numpy().reshape(part.num_rows, -1)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("row").to_numpy().tobytes()]), pa.array([v.tobytes()])], ["rows", "vectors"])
+
+    return df.mapInArrow(pack, "rows binary, vectors binary")
+
+
 def nearest_of_queries(df: DataFrame, queries: DataFrame, row: str, vector: str, k: int, digits: int = 6, block: int = 1000) -> DataFrame:
     """query, row, similarity, rank: of each query vector, the ``k`` rows of the highest cosine similarity (ties: smallest id).
 
-    Queries go out in blocks of a fixed size, which is what a task holds; of each batch of rows only the k best for a
-    query (with ties) leave the task, and ranks are taken over those.
+    Rows and queries are packed into blocks of at most ``block`` each.  Blocks of rows are dealt out to groups, each of
+    which gets all blocks of queries, so that a task holds one block of both at a time and nothing goes through the
+    driver; of a pair of blocks only a query's k best (with ties) go on, and ranks are taken over those.
     """
-    spark, found = df.sparkSession, None
-    rows = df.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-    ids = queries.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").orderBy("row")
-    held = [(r["row"], r["v"]) for r in ids.toLocalIterator()]
-    for lo in range(0, len(held), block):
-        part = held[lo : lo + block]
-        q = np.array([v for _, v in part])
-        sent = spark.sparkContext.broadcast((np.array([i for i, _ in part], np.int64), q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            names, q = sent.value
-            for batch in batches:
-                column = batch.column("v")
-                if not len(column):
-                    continue
-                v = column.flatten().to_numpy().reshape(len(column), -1)
-                s = np.round(q @ (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)).T, digits)
-                least = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                i, j = np.nonzero(s >= least[:, None])
-                yield pa.RecordBatch.from_arrays([pa.array(names[i]), batch.column("row").take(pa.array(j)), pa.array(s[i, j])], ["query", "row", "similarity"])
-
-        one = rows.mapInArrow(best, "query long, row long, similarity double")
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        found = spark.createDataFrame([], "query long, row long, similarity double")
+    spark = df.sparkSession
+    both = [x.select(F.col(row).cast("long").alias("row"), F.col(vector).cast("array<double>").alias("v")).where("row is not null and v is not null") for x in (df, queries)]
+    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _packed(both[0], block).withColumn("group", F.pmod(F.xxhash64("rows"), F.lit(groups)).cast("int"))
+    asked = _packed(both[1], block).select(F.col("rows").alias("names"), F.col("vectors").alias("q"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, vectors, names, q in zip(*[batch.column(c) for c in ("rows", "vectors", "names", "q")], strict=True):
+                rows, names = (np.frombuffer(x.as_py(), np.int64) for x in (rows, names))
+                vectors, q = (np.frombuffer(x.as_py()).reshape(len(n), -1) for x, n in ((vectors, rows), (q, names)))
+                s = np.round(q @ vectors.T, digits)
+                at = max(0, s.shape[1] - k)
+                i, j = np.nonzero(s >= np.partition(s, at, axis=1)[:, at][:, None])
+                yield pa.RecordBatch.from_arrays([pa.array(names[i]), pa.array(rows[j]), pa.array(s[i, j])], ["query", "row", "similarity"])
+
+    found = rows.join(asked, "group").select("rows", "vectors", "names", "q").mapInArrow(best, "query long, row long, similarity double")
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "row")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def weekdays(df: DataFrame, ts: str) -> DataFrame:
+    """weekday (Sunday is 1), n: all seven, those without rows too; rows without a time don't count."""
+    found = df.where(F.col(ts).isNotNull()).groupBy(F.dayofweek(ts).cast("long").alias("weekday")).agg(F.count("*").alias("n"))
+    return df.sparkSession.range(1, 8).select(F.col("id").alias("weekday")).join(F.broadcast(found), "weekday", "left").select("weekday", F.coalesce("n", F.lit(0)).alias("n"))
+
+
 def size_classes(df: DataFrame, size: Column) -> DataFrame:
     """bucket, n of all five size classes, those without rows too."""
     names = df.sparkSession.createDataFrame([(n,) for n, _ in mail.SIZES], "bucket string")
@@ -215,11 +228,37 @@ def tally(df: DataFrame, parts: dict[str, Column], top: dict[str, int] | None =
 
     every = F.flatten(F.array(*(named(name, c) for name, c in parts.items())))
     counts = df.select(F.inline(every)).groupBy("kind", "key").agg(F.count("*").alias("n"))
-    if not top:
-        return counts
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "key"))
-    limit = F.create_map(*(F.lit(x) for kv in top.items() for x in kv))
-    return counts.withColumn("_place", place).where(F.col("_place") <= F.coalesce(F.try_element_at(limit, F.col("kind")), F.lit(2**31 - 1))).drop("_place")
+    return most_frequent(counts, top) if top else counts
+
+
+def most_frequent(counts: DataFrame, top: dict[str, int]) -> DataFrame:
+    """Of (kind, key, n) the most frequent keys of each kind in ``top``, ties by key, and all rows of other kinds.
+
+    Each kind's are taken by a limit, so every task passes on that many and no task sees all keys.
+    """
+    counts = materialize(counts, "counts")
+    out = counts.where(~F.col("kind").isin(*top))
+    for kind, most in top.items():
+        out = out.unionByName(counts.where(F.col("kind") == kind).orderBy(F.desc("n"), "key").limit(most))
+    return out
+
+
+def grouped_counts(df: DataFrame, parts: dict[str, Column], top: dict[str, int] | None = None, total: str = "total") -> DataFrame:
+    """kind, key, n: rows by each of several keys and in all, by grouping sets over one reading of the table.
+
+    A row has one key of each part, null included (``key`` is null then); ``top`` as in ``most_frequent``.
+    """
+    keyed = df.select(*[c.cast("string").alias(n) for n, c in parts.items()])
+    sets = keyed.groupingSets([[], *[[F.col(n)] for n in parts]], *parts).agg(F.count("*").alias("n"), F.grouping_id().alias("set"))
+    width = len(parts)
+    every = F.lit((1 << width) - 1)
+    kind = F.when(F.col("set") == every, F.lit(total))
+    key = F.lit(None).cast("string")
+    for i, name in enumerate(parts):
+        own = F.col("set") == ((1 << width) - 1) ^ (1 << (width - 1 - i))
+        kind, key = kind.when(own, name), F.when(own, F.col(name)).otherwise(key)
+    counts = sets.select(kind.alias("kind"), key.alias("key"), "n")
+    return most_frequent(counts, top) if top else counts
 
 
 def anomalies(df: DataFrame, row: str, sender: str, ts: str, recipients: str, attachments: str, night: int = 5, most: int = 10, factor: float = 3.0) -> DataFrame:

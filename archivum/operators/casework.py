@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivum.operators.durable import materialize
-from archivum.operators.review import number_rows
+from archivum.operators.review import number_rows, number_within
 
 
 def attachment_group(attachments: Column, name: str | None = None, kind: str | None = None, content: str | None = None) -> Column:
@@ -68,16 +68,23 @@ def custodian(df: DataFrame, who: list[str], sender: Column, recipients: Column,
     return df.where(named & (ts.isNull() | inside))
 
 
+def _pair_off(a: DataFrame, b: DataFrame, key: str, how: str) -> DataFrame:
+    """a, b, how: the n-th row of a key on one side with its n-th row on the other, by row; null keys are left out."""
+    left = number_within(a.where(F.col(key).isNotNull()).select("a", F.col(key).alias("k")), ["k"], ["a"])
+    right = number_within(b.where(F.col(key).isNotNull()).select("b", F.col(key).alias("k")), ["k"], ["b"])
+    return left.join(right, ["k", "n"]).select("a", "b", F.lit(how).alias("how"))
+
+
 def match_with_fallback(left: DataFrame, right: DataFrame, row: str, key: str, fallback: str) -> DataFrame:
     """a, b, how: rows of equal ``key``; of rows on both sides that this leaves unmatched, those of equal ``fallback``.
 
-    Null keys match nothing.
+    Every row is in one pair at most: the rows of a key are paired off in order of ``row``, which must be unique on its
+    side.  Null keys match nothing.
     """
     a = left.select(F.col(row).alias("a"), F.col(key).alias("k"), F.col(fallback).alias("f"))
     b = right.select(F.col(row).alias("b"), F.col(key).alias("k"), F.col(fallback).alias("f"))
-    first = materialize(a.drop("f").join(b.drop("f"), "k").select("a", "b", F.lit("key").alias("how")), "matched")
-    rest_a, rest_b = a.join(first.select("a"), "a", "left_anti"), b.join(first.select("b"), "b", "left_anti")
-    return first.unionByName(rest_a.drop("k").join(rest_b.drop("k"), "f").select("a", "b", F.lit("fallback").alias("how")))
+    first = materialize(_pair_off(a, b, "k", "key"), "matched")
+    return first.unionByName(_pair_off(a.join(first.select("a"), "a", "left_anti"), b.join(first.select("b"), "b", "left_anti"), "f", "fallback"))
 
 
 def verify_groups(df: DataFrame, group: str, raw: Column) -> DataFrame:

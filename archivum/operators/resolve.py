@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType
 
 from archivum.functions import mail
 from archivum.operators.components import connected_components
@@ -31,25 +28,13 @@ def shingles(words: str) -> Column:
     return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))))
 
 
-@F.pandas_udf(ArrayType(LongType()))
-def bands(sets: pd.Series) -> pd.Series:
-    """One number a band: a mix of the least values of its four seeded hashes over the shingles."""
-    seeds = np.arange(1, BANDS * IN_BAND + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def bands(hashes: str) -> Column:
+    """One number a band for a column of shingle hashes: a hash of the least values that IN_BAND seeded hashes take over them."""
+    def least(seed: int) -> Column:
+        return F.array_min(F.transform(hashes, lambda x: F.xxhash64(F.lit(seed), x)))
 
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
-
-    def one(values: np.ndarray) -> np.ndarray:
-        x = np.asarray(values, np.int64).view(np.uint64)
-        least = np.array([mixed(x + s).min() for s in seeds]).reshape(BANDS, IN_BAND)
-        out = seeds[:BANDS].copy()
-        for place in range(IN_BAND):
-            out = mixed(out ^ least[:, place])
-        return out.view(np.int64)
-
-    return sets.map(one)
+    values = [least(seed) for seed in range(BANDS * IN_BAND)]
+    return F.array(*[F.xxhash64(*values[i : i + IN_BAND]) for i in range(0, len(values), IN_BAND)])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:

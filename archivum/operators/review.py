@@ -22,6 +22,16 @@ def number_rows(df: DataFrame, order: list[str], out: str = "n") -> DataFrame:
     return inside.join(F.broadcast(shift), "_range").withColumn(out, F.col("_at") + F.col("_shift")).drop("_range", "_at", "_shift")
 
 
+def number_within(df: DataFrame, key: list[str], order: list[str], out: str = "n") -> DataFrame:
+    """Number the rows of each ``key`` from 1 by ``order``; both together must name every row uniquely.
+
+    All rows are numbered by ranges and a key's first number is taken off, so a key of very many rows is no task of its own.
+    """
+    numbered = number_rows(df, [*key, *order], "_all")
+    first = numbered.groupBy(*key).agg(F.min("_all").alias("_first"))
+    return numbered.join(first, key).withColumn(out, F.col("_all") - F.col("_first") + 1).drop("_all", "_first")
+
+
 def stamp(df: DataFrame, order: list[str], prefix: str, digits: int = 8, start: int = 1) -> DataFrame:
     """Add ``label``: prefix and running number by ``order``."""
     number = (F.col("_n") + (start - 1)).cast("string")

@@ -81,7 +81,7 @@ def parse(line: str) -> Query:
         value = value[1:-1] if len(value) > 1 and value[0] == value[-1] == '"' else value
         found = _known(key.lower(), value) if colon and key else None
         if excluding:
-            if found and found != ("attachments", "no"):
+            if found and found != ("attachments", "no") and (value or found[0] not in ("source", "evidence", "type")):
                 out.excluded.append(found)
             else:
                 free.extend([token] if colon else ["NOT", token])

@@ -30,10 +30,11 @@ def _(s, d):
     return cw.custodian(o, ["#00000001"], F.col("c_name"), F.col("c_mktsegment"), ts, datetime.datetime(1995, 1, 1), datetime.datetime(1996, 1, 1)).select(F.col("o_orderkey").alias("id"))
 
 
-@_query("j03_fallback_match", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS k, lang || n_chars AS f FROM documents), x AS (SELECT a.doc_id AS a, b.doc_id AS b FROM d a JOIN d b ON a.k = b.k WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1)
-SELECT a, b, 'key' AS how FROM x UNION ALL SELECT a.doc_id, b.doc_id, 'fallback' FROM d a JOIN d b ON a.f = b.f WHERE a.doc_id % 2 = 0 AND b.doc_id % 2 = 1 AND a.doc_id NOT IN (SELECT a FROM x) AND b.doc_id NOT IN (SELECT b FROM x)""")
+@_query("j03_fallback_match", """WITH d AS (SELECT doc_id, doc_id % 2 AS side, CASE WHEN doc_id % 3 <> 0 THEN md5(text) END AS k, lang || (n_chars // 50) AS f FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY side, k ORDER BY doc_id) AS n FROM d WHERE k IS NOT NULL),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b FROM n a JOIN n b ON a.k = b.k AND a.n = b.n WHERE a.side = 0 AND b.side = 1), r AS (SELECT *, row_number() OVER (PARTITION BY side, f ORDER BY doc_id) AS n FROM d WHERE f IS NOT NULL AND doc_id NOT IN (SELECT a FROM x) AND doc_id NOT IN (SELECT b FROM x))
+SELECT a, b, 'key' AS how FROM x UNION ALL SELECT a.doc_id, b.doc_id, 'fallback' FROM r a JOIN r b ON a.f = b.f AND a.n = b.n WHERE a.side = 0 AND b.side = 1""")
 def _(s, d):
-    docs = _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.md5(F.col("text").cast("binary"))).alias("k"), (F.concat("lang", F.col("n_chars").cast("string"))).alias("f"))
+    docs = _t(s, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 != 0, F.md5(F.col("text").cast("binary"))).alias("k"), F.concat("lang", F.expr("n_chars div 50").cast("string")).alias("f"))
     return cw.match_with_fallback(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"), "doc_id", "k", "f")
 
 

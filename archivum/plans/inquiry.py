@@ -186,9 +186,11 @@ def _(s, d):
     return an.tally(_letters(s, d), {"type": F.array("message_type"), "tag": F.col("tags"), "evidence": F.col("evidence"), "domain": F.col("domains"), "sender": F.array("sender"), "with attachments": yes, "ending": endings}, {"sender": 10, "domain": 15})
 
 
-@_query("a26_weekdays", "SELECT isodow(o_orderdate) AS weekday, count(*) AS n FROM orders GROUP BY 1")
+@_query("a26_weekdays", "SELECT CAST(w AS BIGINT) AS weekday, coalesce(n, 0) AS n FROM range(1, 8) a(w) LEFT JOIN (SELECT dayofweek(o_orderdate) + 1 AS k, count(*) AS n FROM orders WHERE o_orderkey % 7 <> dayofweek(o_orderdate) AND dayofweek(o_orderdate) <> 3 GROUP BY 1) ON w = k")
 def _(s, d):
-    return _t(s, d, "orders").groupBy((F.weekday("o_orderdate") + 1).cast("long").alias("weekday")).agg(F.count("*").alias("n"))
+    o = _t(s, d, "orders")
+    day = F.dayofweek("o_orderdate")
+    return an.weekdays(o.where((F.col("o_orderkey") % 7 != day - 1) & (day != 4)), "o_orderdate")
 
 
 @_query("a27_custodian", f"WITH {_LETTERS_SQL} SELECT domain, count(*) AS n FROM (SELECT unnest(domains) AS domain FROM l WHERE sender ILIKE '%#0000000%') GROUP BY 1")
@@ -204,10 +206,16 @@ def _(s, d):
     return an.anomalies(m, "event_id", "user_id", "ts", "r", "a")
 
 
-@_query("x21_rule_redaction", r"SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), '[0-9]{4,}', '[number]', 'g'), '[A-Z]{2,}', '[capitals]', 'g')) AS text_md5 FROM documents")
+_RULES = [("[0-9]{4,}", "[$number]"), ("IDIOT|the", r"\1 <word>"), ("(broken", "never"), ("[a-z]+@", "$0")]
+_RULED_SQL = r"replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '[0-9]{{4,}}', '[$number]', 'g'), 'IDIOT|the', chr(7) || ' <word>', 'gi'), '[a-z]+@', '$0', 'gi'), chr(7), chr(92) || '1')"
+_HITS_SQL = r"(len(regexp_extract_all(coalesce({0}, ''), '[0-9]{{4,}}')) + len(regexp_extract_all(regexp_replace(coalesce({0}, ''), '[0-9]{{4,}}', '[$number]', 'g'), '(?i)IDIOT|the')) + len(regexp_extract_all(regexp_replace(regexp_replace(coalesce({0}, ''), '[0-9]{{4,}}', '[$number]', 'g'), 'IDIOT|the', chr(7) || ' <word>', 'gi'), '(?i)[a-z]+@')))"
+
+
+@_query("x21_rule_redaction", f"SELECT doc_id, md5({_RULED_SQL.format('text')}) AS text_md5, {_RULED_SQL.format('source')} AS source, {_HITS_SQL.format('text')} + {_HITS_SQL.format('source')} + {_HITS_SQL.format(chr(39) + 'the 12345.TXT' + chr(39))} AS redactions FROM documents")
 def _(s, d):
-    out = mail.redact_rules(F.coalesce("text", F.lit("")), [("[0-9]{4,}", "[number]"), ("[A-Z]{2,}", "[capitals]")])
-    return _t(s, d, "documents").select("doc_id", F.md5(out.cast("binary")).alias("text_md5"))
+    docs = _t(s, d, "documents").select("doc_id", "text", "source", F.array(F.lit("the 12345.TXT")).alias("names"))
+    out = mail.redact_message(docs, ["text", "source"], "names", _RULES)
+    return out.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "source", "redactions")
 
 
 @_query("x33_periods", "SELECT count(*) FILTER (o_orderdate >= TIMESTAMP '1997-03-05' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS today, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-02-26 18:00:00' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS week, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-02-03 18:00:00' AND o_orderdate <= TIMESTAMP '1997-03-05 18:00:00') AS month, count(*) FILTER (o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate <= TIMESTAMP '1997-02-01') AS custom FROM orders")

@@ -46,10 +46,11 @@ def _(s, d):
     return _mail(s, d).select("id", mail.plain_subject(F.col("subject")).alias("plain"), key.alias("thread"))
 
 
-@_query("x12_message_anomalies", "SELECT doc_id, concat_ws(',', CASE WHEN lang = 'de' THEN 'missing sender' END, CASE WHEN source = 'src1' THEN 'missing recipient' END, CASE WHEN trim(coalesce(text, '')) = '' THEN 'empty body' END, CASE WHEN length(text) > 200 THEN 'long subject' END, CASE WHEN doc_id % 7 = 0 THEN 'invalid date' END, CASE WHEN doc_id % 15 > 10 THEN 'many attachments' END) AS odd FROM documents")
+@_query("x12_message_anomalies", r"SELECT doc_id, concat_ws(',', CASE WHEN lang = 'de' THEN 'Missing From header' END, CASE WHEN source = 'src1' THEN 'Missing To header' END, CASE WHEN regexp_full_match(coalesce(t, ''), '\s*') THEN 'Empty body' END, CASE WHEN length(text) > 200 THEN 'Long subject' END, CASE WHEN doc_id % 7 = 0 THEN 'Invalid date' END, CASE WHEN doc_id % 15 > 10 THEN 'Too many attachments' END) AS odd FROM (SELECT *, CASE WHEN doc_id % 11 = 0 THEN chr(10) || chr(9) || ' ' ELSE text END AS t FROM documents)")
 def _(s, d):
-    ts = F.when(F.col("doc_id") % 7 == 0, F.lit("1899-12-31")).otherwise("2024-01-01").cast("timestamp_ntz")
-    odd = mail.message_anomalies(F.when(F.col("lang") != "de", "a"), F.when(F.col("source") != "src1", "b").otherwise(" "), F.col("text"), F.col("text"), ts, F.col("doc_id") % 15)
+    date = F.when(F.col("doc_id") % 7 == 0, F.lit("some day")).when(F.col("doc_id") % 7 != 1, F.lit("2024-01-01 10:00:00"))
+    body = F.when(F.col("doc_id") % 11 == 0, "\n\t ").otherwise(F.col("text"))
+    odd = mail.message_anomalies(F.when(F.col("lang") != "de", "a"), F.when(F.col("source") != "src1", "b").otherwise(""), body, F.col("text"), date, F.try_to_timestamp(date).cast("timestamp_ntz"), F.col("doc_id") % 15)
     return _t(s, d, "documents").select("doc_id", F.array_join(odd, ",").alias("odd"))
 
 

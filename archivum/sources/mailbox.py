@@ -67,7 +67,7 @@ def read_message(raw: bytes) -> dict:
 def split_mbox(data: bytes) -> Iterator[bytes]:
     """The messages of an mbox file in order, without their envelope lines; blank parts are dropped."""
     starts = list(_ENVELOPE.finditer(data))
-    for at, after in zip(starts, [*starts[1:], None], strict=True):
+    for at, after in zip(starts, [*starts[1:], None][: len(starts)], strict=True):
         part = data[at.end() : after.start() if after else len(data)].lstrip(b"\r\n")
         if part.strip():
             yield part
