@@ -15,8 +15,9 @@ powers of two, so nothing is padded.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,6 +39,8 @@ QUEUES = 256
 CACHE = 200_000
 #: Partitions whose totals are summed in one group.
 GROUP = 1024
+#: What a piece holds: its ids, or their CRC-32.
+IDS, CRC = ("ids", "binary", bytes), ("ids_crc32", "long", zlib.crc32)
 
 
 def deal(amounts: np.ndarray, rooms: np.ndarray, share: np.ndarray) -> np.ndarray:
@@ -234,15 +237,19 @@ def token_table(docs: DataFrame, tokenizer: str, end: int) -> DataFrame:
                     ["doc_id", "source", "part", "before", "n", "ids"],
                 )
         ids.cache.clear()  # workers live on
+        pa.default_memory_pool().release_unused()
 
     key = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), F.col("source").cast("string")))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("source"))
     return rows.mapInArrow(encode, "doc_id long, source string, part int, before long, n long, ids binary")
 
 
-def mixture_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, targets: dict[str | None, float] | None = None, queues: int = QUEUES) -> DataFrame:
+def mixture_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end: int = 1, capacity: int = CAPACITY, targets: dict[str | None, float] | None = None, queues: int = QUEUES, content: tuple[str, str, Callable] = IDS) -> DataFrame:
     """doc_id, start, length, ids (unsigned little-endian 32-bit), doc_tokens, sequence_id and offset of every piece.
 
+    ``content`` names a column, its type and a function that makes its value of a piece's ids: the ids themselves, or
+    what is needed of them, so that they needn't leave the task.
+
     ``targets``: the proportion of each source in a window; sources that it doesn't name get the mean of those it does.
     Without it, windows have the proportions of the whole table, so that all queues end together.  With it, a queue that
     runs dry leaves its share to the others.  Of more than ``queues`` sources, several share a queue (by a hash of the
@@ -285,8 +292,13 @@ def mixture_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = None
-        names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        name, kind, of = content
+        names = ["doc_id", "start", "length", name, "doc_tokens", "sequence_id", "offset"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), {"binary": pa.binary(), "long": pa.int64(), "string": pa.string()}[kind], pa.int64(), pa.int64(), pa.int64()]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
             plan = plan or Plan(totals, share, capacity)
             rows: list[tuple] = []
@@ -296,18 +308,15 @@ def mixture_packing(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end:
                 ids = memoryview(np.frombuffer(raw, f"<u{len(raw) // n}").astype("<u4").tobytes())
                 for at, size, sequence, offset in plan.pieces(queue, place, place + n):
                     start = at - place
-                    rows.append((doc, start, size, ids[4 * start : 4 * (start + size)], n, sequence, offset))
+                    rows.append((doc, start, size, of(ids[4 * start : 4 * (start + size)]), n, sequence, offset))
                 held += 4 * n
-                if held > 2 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if held > 4 << 20:
+                    yield out(rows)
                     rows, held = [], 0
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield out(rows)
+        pa.default_memory_pool().release_unused()
 
-    out = placed.mapInArrow(cut_up, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
-    return out
+    return placed.mapInArrow(cut_up, f"doc_id long, start long, length long, {content[0]} {content[1]}, doc_tokens long, sequence_id long, offset long")
 
 
-def piece_digests(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -53,7 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_scoring": lambda s, d: language_model.language_model_scores(_documents(s, d)),
         "op9_url_filters": lambda s, d: url_filter.url_verdicts(table(s, d, "pages")),
         "op10_token_counts": lambda s, d: token_counts.token_counts(_documents(s, d)),
-        "op11_mixture_packing": lambda s, d: mixture_packing.piece_digests(mixture_packing.mixture_packing(_documents(s, d))),
+        "op11_mixture_packing": lambda s, d: mixture_packing.mixture_packing(_documents(s, d), content=mixture_packing.CRC),
         "op12_periodic_runs": lambda s, d: periodic_runs.run_digests(periodic_runs.periodic_runs(_documents(s, d), rewrite=periodic_runs.planted)),
         "op13_ranked_search": lambda s, d: threshold_search.threshold_search(_documents(s, d), table(s, d, "benchmark")),
     }

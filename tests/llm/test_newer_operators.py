@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from archivum.llm import mixture_packing, periodic_runs, registry, threshold_search
+from archivum.llm import fingerprints, mixture_packing, packing, periodic_runs, registry, threshold_search
 
 SCHEMA = "doc_id long, text string, source string, queue string, n long, part int, item_id string, rank int, runs string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -87,7 +87,7 @@ def test_mixture_packing_is_whole_and_without_padding(docs, empty, nulls, librar
     assert sum(n < 2048 for n in lengths.values()) <= 11
     assert mixture_packing.mixture_packing(empty).count() == 0
     assert [r.length for r in mixture_packing.mixture_packing(nulls).collect()] in ([1, 2], [2, 1], [1, 1, 1])
-    digests = mixture_packing.piece_digests(mixture_packing.mixture_packing(docs)).collect()
+    digests = mixture_packing.mixture_packing(docs, content=mixture_packing.CRC).collect()
     assert sorted(r.ids_crc32 for r in digests) == sorted(zlib.crc32(r.ids) for r in rows)
 
 
@@ -274,3 +274,77 @@ def test_the_search_stops_before_the_lists_end(monkeypatch):
 def test_new_queries_are_registered():
     assert {"op11_mixture_packing", "op12_periodic_runs", "op13_ranked_search"} <= set(registry.queries())
     assert "op13_ranked_search" in registry.oracle_sql()
+
+
+def _bins(texts, spark):
+    own = spark.createDataFrame([(t,) for t in texts], "text string")
+    return {r.text: list(r.bins) for r in fingerprints.with_bins(own, fingerprints.F.col("text"), "bins").collect()}
+
+
+@pytest.mark.parametrize("ids", ["all", "some", "none", "wide"])
+def test_the_next_document_and_its_likeness(spark, ids):
+    number = {"all": lambda i: i % 37 * 5, "some": lambda i: i if i % 3 else None, "none": lambda i: None, "wide": lambda i: (1 << 60) + i}[ids]
+    rows = [(number(i), _text(i % 23, 20 + i % 9)) for i in range(40)]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    bins = _bins({t for _, t in rows}, spark)
+    of = {"".join(f"{x:02x}" for x in b): t for t, b in bins.items()}
+    assert all(r.n_chars == len(of[r.fingerprint]) for r in got)
+    # the rows form one circle: what follows each is told by its edited text
+    def edited(text, after):
+        part = len(text) // 3
+        return hashlib.sha256((text[: len(text) - part] + after[:part]).encode()).hexdigest()
+
+    def near(a, b):
+        same = sum(x == y for x, y in zip(bins[a], bins[b], strict=True)) / 128
+        return max(0.0, (same - 1 / 256) / (1 - 1 / 256))
+
+    if ids in ("all", "wide"):
+        order = sorted(rows, key=lambda r: (-r[0], r[1]))
+        want = Counter((d, edited(t, order[(k + 1) % 40][1]), round(near(t, order[(k + 1) % 40][1]), 9)) for k, (d, t) in enumerate(order))
+        assert Counter((r.doc_id, r.edited_sha256, round(r.near_next, 9)) for r in got) == want
+    else:
+        texts = sorted({t for _, t in rows})
+        follows = Counter()
+        for r in got:
+            own = of[r.fingerprint]
+            match = [t for t in texts if edited(own, t) == r.edited_sha256 and abs(near(own, t) - r.near_next) < 1e-9]
+            assert len(match) == 1
+            follows[match[0]] += 1
+        assert follows == Counter(t for _, t in rows)  # each row follows exactly one
+    assert all((r.near_edited == 1.0) == (r.fingerprint == r.edited_fingerprint) for r in got)
+    assert re.fullmatch("[0-9a-f]{256}", got[0].fingerprint)
+
+
+def _histograms():
+    r = np.random.default_rng(4)
+    for name, lengths in (("uniform", r.integers(1, 2048, 600)), ("few", r.choice([300, 700, 1025, 1100], 900)), ("one", np.full(300, 700)), ("half", np.full(200, 1025)), ("log-normal", np.clip(r.lognormal(6, 1, 700).astype(int), 1, 2048))):
+        counts = np.zeros(2048, np.int64)
+        np.add.at(counts, lengths - 1, 1)
+        yield name, counts
+
+
+@pytest.mark.parametrize(("name", "counts"), list(_histograms()))
+def test_the_program_is_never_worse_than_best_fit(name, counts):
+    plan, _ = packing.solve(counts, rounds=20)
+    held = Counter()
+    for config, times in plan:
+        assert sum(config) <= 2048
+        for size in config:
+            held[size] += times
+    assert all(held[i + 1] == c for i, c in enumerate(counts.tolist()))
+    assert sum(t for _, t in plan) <= packing._best_fit(counts, 2048).total()
+
+
+def test_the_fractional_answer_covers_what_it_can_and_its_bound_holds():
+    for name, counts in _histograms():
+        counts[2047] = 0
+        answer, bound = packing.fractional(counts, 2048, 60, 0)
+        load = Counter()
+        for config, weight in answer.items():
+            for size in config:
+                load[size] += weight
+        lacking = sum(max(0.0, n - load[i + 1]) * (i + 1) for i, n in enumerate(counts.tolist()))
+        assert lacking < 0.2 * (counts * np.arange(1, 2049)).sum(), name
+        assert bound <= packing._best_fit(counts, 2048).total() + 1e-6
+        assert abs(sum(answer.values()) - bound) < 0.15 * bound
