@@ -81,27 +81,37 @@ def likeness(a: str, b: str) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(estimate)
 
 
+def _bounds(df: DataFrame, key: str, buckets: int) -> list[int]:
+    """Keys of rows that cut the rows into some ``buckets`` ranges of about equal size, the largest key last; none for no rows."""
+    found = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] or []
+    near = F.size(F.filter(F.lit(sorted(set(found))) if found else F.array().cast("array<bigint>"), lambda x: x < F.col(key)))
+    # the percentiles are doubles; the largest key of each of their ranges is exact
+    return sorted(r[0] for r in df.where(F.col(key).isNotNull()).groupBy(near.alias("range")).agg(F.max(key)).select(f"max({key})").collect())
+
+
 def with_next(df: DataFrame, columns: list[str], buckets: int) -> DataFrame:
     """Add ``next``: a struct of ``columns`` of the row that follows by descending doc_id; after the last, of the first.
 
     Bounds that are ids of rows cut the ids into ranges; the row at a bound is also sent to the range above it, as what
     follows that range's last row, and the largest to the lowest range.  One exchange, no single partition.  Rows of
-    equal ids follow each other in order of ``columns``; rows without an id come last.
+    equal ids follow each other in order of ``columns``; rows without an id come last, by a hash of the first of ``columns``
+    in ranges of their own.
     """
-    found = df.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)] + [1.0], 100 * buckets)).first()[0] or []
-    bounds = sorted(set(found))
-    here = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda x: x < F.col("doc_id")))
-    here = F.coalesce(F.when(F.col("doc_id").isNull(), 0).otherwise(here), F.lit(0))
-    top = bounds[-1] if bounds else None
+    df = df.withColumn("_hash", F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64(columns[0]), 12)))
+    lower, upper = _bounds(df, "_hash", buckets), _bounds(df, "doc_id", buckets)
+    if not lower and not upper:
+        return df.drop("_hash").withColumn("next", F.struct(*columns))
+    held = lambda x: F.lit(x) if x else F.array().cast("array<bigint>")
+    below = lambda x, key: F.size(F.filter(held(x), lambda b: b < F.col(key)))
+    no_id = F.col("doc_id").isNull()
+    here = F.when(no_id, below(lower, "_hash")).otherwise(below(upper, "doc_id") + len(lower))
+    at_bound = F.when(no_id, F.array_contains(held(lower), F.col("_hash"))).otherwise(F.array_contains(held(upper), F.col("doc_id")))
     own = F.struct(F.col("_here").alias("at"), F.lit(0).alias("turn"))
-    if top is None:  # only rows without an id, if any
-        return df.withColumn("next", F.coalesce(F.lead(F.struct(*columns)).over(Window.partitionBy(F.lit(0)).orderBy(*columns)), F.struct(*columns)))
-    last = F.struct(F.lit(0).alias("at"), F.lit(2).alias("turn"))
-    above = F.struct((F.col("_here") + 1).alias("at"), F.lit(1).alias("turn"))
-    sent = F.when(F.col("doc_id") == top, F.array(own, last)).when(F.array_contains(F.lit(bounds), F.col("doc_id")), F.array(own, above)).otherwise(F.array(own))
-    order = Window.partitionBy("_to.at").orderBy(F.col("_to.turn") == 2, F.desc_nulls_last("doc_id"), *columns)
+    above = F.when(F.col("_here") == len(lower) + len(upper) - 1, F.struct(F.lit(0).alias("at"), F.lit(2).alias("turn"))).otherwise(F.struct((F.col("_here") + 1).alias("at"), F.lit(1).alias("turn")))
+    sent = F.when(at_bound, F.array(own, above)).otherwise(F.array(own))
+    order = Window.partitionBy("_to.at").orderBy(F.col("_to.turn") == 2, F.desc_nulls_last("doc_id"), F.desc("_hash"), *columns)
     spread = df.withColumn("_here", here).withColumn("_to", F.explode(sent))
-    return spread.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_to.turn = 0").drop("_here", "_to")
+    return spread.withColumn("next", F.lead(F.struct(*columns)).over(order)).where("_to.turn = 0").drop("_here", "_to", "_hash")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -109,7 +119,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text is the text with its last third replaced by the beginning of the next document's, by descending
     doc_id.  Null texts count as empty; equal texts have equal fingerprints; a text without words has an empty one.
-    One row follows itself.  Further columns are ignored; an empty table gives no rows.
+    One row follows itself.  Rows without an id come after all others, by a hash of their text, and repeated rows follow
+    each other.  Very long texts are hashed by one task each, as arrays of their words.  Further columns are ignored; an
+    empty table gives no rows.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
