@@ -193,3 +193,16 @@ def domain_reputation(df: DataFrame, domain: str, ts: str, checked: Column, pass
     kind = F.when(n < 3, "new, unverified").when(score >= 0.75, "trusted").when(score >= 0.5, "known").when(score >= 0.3, "suspicious").otherwise("malicious")
     out = held.withColumn("score", F.round(F.greatest(F.least(points, F.lit(1.0)), F.lit(0.0)), 9)).withColumn("class", kind)
     return out.drop("_checked", "_passed", "_flagged")
+
+
+def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes") -> DataFrame:
+    """key, since, until, n: runs of a key's rows without a gap of ``gap`` or more; rows without a key or time don't count."""
+    rows = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull())
+    found = rows.groupBy(F.col(key), F.session_window(F.col(ts).cast("timestamp"), gap).alias("w")).agg(F.min(ts).alias("since"), F.max(ts).alias("until"), F.count("*").alias("n"))
+    return found.select(key, "since", "until", "n")
+
+
+def coordinated(df: DataFrame, key: str, ts: str, least: int = 3, together: int = 2, unit: str = "hour") -> DataFrame:
+    """since, members, n: hours (or another unit) in which ``together`` keys or more have ``least`` rows or more each."""
+    each = df.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).groupBy(F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz").alias("since"), F.col(key)).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return each.groupBy("since").agg(F.count("*").alias("members"), F.sum("n").alias("n")).where(F.col("members") >= together)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archivum.operators.durable import checkpoint
+
 #: Separator and quote of load files: fixed values of the format.
 SEPARATOR, QUOTE = "\u0014", "þ"
 
@@ -31,6 +36,31 @@ def write_mbox(df: DataFrame, path: str, sender: str = "sender", ts: str = "ts",
     df.select(mbox_record(F.col(sender), F.col(ts), F.col(raw)).alias("value")).write.text(path)
 
 
+def write_mbox_parts(df: DataFrame, path: str, most: int, order: list[str], sender: str = "sender", ts: str = "ts", raw: str = "raw_source") -> None:
+    """mbox files of at most ``most`` bytes each, by ``order``, below folders ``part=<range>-<number>``.
+
+    Rows are dealt out by ranges of ``order`` and written to the shared folder, so that a task that is run again cuts the
+    same parts; a range's messages fill one part after the other.  A message larger than ``most`` is a part by itself.  The
+    writer commits a task's files at its end, so a failed task leaves none.
+    """
+    record = mbox_record(F.col(sender), F.col(ts), F.col(raw))
+    ranged = checkpoint(df.select(*order, record.alias("value")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = 0, 0
+        for batch in batches:
+            parts = []
+            for where, size in zip(batch.column("range").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if held and held + size > most:
+                    number, held = number + 1, 0
+                held += size
+                parts.append(f"{where:06d}-{number:06d}")
+            yield pa.RecordBatch.from_arrays([batch.column("value"), pa.array(parts, pa.string())], ["value", "part"])
+
+    sized = ranged.select("range", "value", (F.octet_length("value").cast("long") + 1).alias("size"))
+    sized.mapInArrow(cut, "value string, part string").write.partitionBy("part").text(path)
+
+
 def load_file_line(*columns: Column) -> Column:
     """A line of a load file: every field quoted; line breaks inside fields become the registered mark; null is empty."""
     fields = [F.concat(F.lit(QUOTE), F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), "\r\n|\r|\n", "®"), F.lit(QUOTE)) for c in columns]
