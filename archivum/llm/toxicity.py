@@ -4,8 +4,8 @@ Words are mapped to symbols by a weighted lexicon (insults, threats, targets, ne
 insults and their weights are learned from labelled training documents, by how much more often a word stands in
 different surroundings in toxic than in clean texts, added to short lists for four languages.  Five transducers (insult and
 threat, target, negation, reported speech, intention) are composed into one, and a clause that holds an insult or a
-threat has the weight of its best path.  A target raises from where it is read on, or up to it; a threat needs one;
-negation and reported speech lower all that follows in their clause.  A document's score is a logistic function of its
+threat has the weight of its best path.  A target raises from where it is read on, or up to it; a threat needs one; reported speech lowers all that follows in its
+clause, negation what follows up to the next comma or conjunction.  A document's score is a logistic function of its
 matched clauses' weights.
 """
 
@@ -24,12 +24,11 @@ from archivum.llm.labelled import training_sample
 
 #: Labelled documents that the lexicon and the logistic function are fitted on, at most.
 SAMPLE = 16_000
-#: Learned insults, at most, and what each needs: different surroundings in toxic texts, and log-odds.
-LEXICON = 20_000
+#: What a learned insult needs: different surroundings in toxic texts, and log-odds.
 SUPPORT = 8
 LOG_ODDS = 3.5
 
-INSULT, THREAT, TARGET, NOT, REPORT, WILL = 1, 2, 3, 4, 5, 6
+INSULT, THREAT, TARGET, NOT, REPORT, WILL, AND = 1, 2, 3, 4, 5, 6, 7
 #: Seed words by symbol, in four languages.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid scum trash loser losers worthless pathetic disgusting clown imbecile fool dumb idiote imbécile crétin connard salaud abruti stupide débile dummkopf idiotin trottel blödmann arschloch abschaum dumm imbécil estúpido estúpida tonto basura asqueroso pendejo",
@@ -37,6 +36,7 @@ SEEDS = {
     TARGET: "you your yours yourself u tu toi vous votre ton te du dich dir ihr euch dein deine tú usted ustedes vosotros",
     NOT: "not no never isn't aren't don't doesn't wasn't won't can't nor neither without ne pas jamais aucun sans nicht kein keine nie niemals ohne nunca jamás sin tampoco",
     REPORT: "said says say wrote writes quoted reported claimed called according dit écrit déclaré selon sagte schrieb laut berichtete dijo escribió según informó",
+    AND: "and but because why when while although though however et mais car pourquoi quand und aber weil warum wenn denn sondern y pero porque cuando aunque",
     WILL: "will gonna going shall should must going'll i'll we'll vais va allons werde wird werden voy vamos va",
 }
 SEED_WEIGHT = 2.0
@@ -48,7 +48,9 @@ _SPLIT = np.ones(256, bool)
 _SPLIT[[*range(48, 58), *range(65, 91), *range(97, 123), 39]] = False
 _SPLIT[128:] = False
 _END = np.zeros(256, bool)
-_END[[ord(c) for c in ".!?;:\n\r|()\"," ]] = True
+_END[[ord(c) for c in ".!?;:\n\r|()\""]] = True
+_COMMA = np.zeros(256, bool)
+_COMMA[ord(",")] = True
 
 
 def lower(text: str | None) -> str:
@@ -87,7 +89,7 @@ class Transducer:
         while todo:
             pair = todo.pop()
             if pair not in arcs:
-                arcs[pair] = {s: [((p, q), f * g) for p, f in self.at(pair[0], s) for q, g in other.at(pair[1], s)] for s in range(1, WILL + 1)}
+                arcs[pair] = {s: [((p, q), f * g) for p, f in self.at(pair[0], s) for q, g in other.at(pair[1], s)] for s in range(1, AND + 1)}
                 todo.extend(to for out in arcs[pair].values() for to, _ in out)
         return Transducer(arcs, start, {p for p in arcs if p[0] in self.final and p[1] in other.final})
 
@@ -114,7 +116,8 @@ def transducers() -> list[Transducer]:
         "seen": {TARGET: [("seen", 1.0)], INSULT: [("seen", 1.25)], THREAT: [("seen", 1.0)]},
         "promised": {TARGET: [("seen", 1.0)], INSULT: [("promised", 1.25)], THREAT: [("promised", 1.0)]},
     }, "none", {"none", "seen"})
-    negation, report = (Transducer({"off": {s: [("on", 1.0)]}, "on": {INSULT: [("on", f)], THREAT: [("on", f)]}}, "off", {"off", "on"}) for s, f in ((NOT, 0.25), (REPORT, 0.6)))
+    # what a word lowers, and what ends that: a conjunction or a comma ends a negation, the clause a report
+    negation, report = (Transducer({"off": {s: [("on", 1.0)]}, "on": {INSULT: [("on", f)], THREAT: [("on", f)], **({end: [("off", 1.0)]} if end else {})}}, "off", {"off", "on"}) for s, f, end in ((NOT, 0.25, AND), (REPORT, 0.6, None)))
     intention = Transducer({"off": {WILL: [("on", 1.0)], THREAT: [("off", 0.5)]}}, "off", {"off", "on"})
     return [hit, target, negation, report, intention]
 
@@ -134,9 +137,14 @@ class Grammar:
             first = first.compose(t)
         self.whole = first
 
-    def clause(self, symbols: list[int], weights: list[float]) -> float:
-        """The weight of a clause's best reading; words without a symbol change nothing."""
-        read = [(s, w) for s, w in zip(symbols, weights, strict=True) if s]
+    def clause(self, symbols: np.ndarray, weights: np.ndarray, parted: np.ndarray) -> float:
+        """The weight of a clause's best reading; words without a symbol change nothing, ``parted`` ones follow a comma."""
+        read: list[tuple[int, float]] = []
+        for k in np.flatnonzero((symbols > 0) | parted).tolist():
+            if parted[k]:
+                read.append((AND, 0.0))
+            if symbols[k]:
+                read.append((int(symbols[k]), float(weights[k])))
         return self.whole.best([s for s, _ in read], [w for _, w in read])
 
     def features(self, texts: list[str | None]) -> np.ndarray:
@@ -161,10 +169,12 @@ class Grammar:
             clause = stop[starts]
             doc = np.searchsorted(at, np.arange(len(h)), "right") - 1
             cut = np.append(np.flatnonzero(np.concatenate(([True], (clause[1:] != clause[:-1]) | (doc[1:] != doc[:-1])))), len(h))
+            comma = np.concatenate(([0], np.cumsum(_COMMA[buf])))[starts]
+            parted = np.concatenate(([False], comma[1:] != comma[:-1]))
             scores: dict[int, list[float]] = {}
             for k in np.unique(np.searchsorted(cut, hot, "right") - 1).tolist():
                 i, edge = int(cut[k]), int(cut[k + 1])
-                s = self.clause(symbol[i:edge].tolist(), weight[i:edge].tolist())
+                s = self.clause(symbol[i:edge], weight[i:edge], parted[i:edge])
                 if s > 0:
                     scores.setdefault(int(doc[i]), []).append(s)
             for k, v in scores.items():
@@ -192,7 +202,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_insults(sample: DataFrame) -> dict[int, float]:
     """Word hashes and log-odds of words that stand in more different surroundings in toxic texts than in clean ones.
 
-    Copies of a text repeat a word's surroundings, so they add nothing.
+    Copies of a text repeat a word's surroundings, so they add nothing.  The sample bounds the words that are learned.
     """
     seen = sample.mapInArrow(_contexts, "word long, around long, toxic boolean").distinct()
     both = materialize(seen.groupBy("word").agg(F.count_if("toxic").alias("bad"), F.count_if(~F.col("toxic")).alias("good")), "word-counts")
@@ -201,7 +211,7 @@ def learn_insults(sample: DataFrame) -> dict[int, float]:
         return {}
     odds = F.log((F.col("bad") + 0.5) / (total[0] + 1.0)) - F.log((F.col("good") + 0.5) / (total[1] + 1.0))
     kept = both.where(F.col("bad") >= SUPPORT).withColumn("odds", odds).where(F.col("odds") >= LOG_ODDS)
-    return {r["word"]: min(6.0, r["odds"]) for r in kept.orderBy(F.desc("odds"), F.desc("bad"), "word").limit(LEXICON).select("word", "odds").collect()}
+    return {r["word"]: min(6.0, r["odds"]) for r in kept.select("word", "odds").collect()}  # of the words of the sample
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> np.ndarray:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from archivum.llm import fingerprints, mixture_packing, packing, periodic_runs, registry, threshold_search
+from archivum.llm import fingerprints, mixture_packing, packing, periodic_runs, registry, threshold_search, toxicity
 
 SCHEMA = "doc_id long, text string, source string, queue string, n long, part int, item_id string, rank int, runs string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
@@ -348,3 +348,13 @@ def test_the_fractional_answer_covers_what_it_can_and_its_bound_holds():
         assert lacking < 0.2 * (counts * np.arange(1, 2049)).sum(), name
         assert bound <= packing._best_fit(counts, 2048).total() + 1e-6
         assert abs(sum(answer.values()) - bound) < 0.15 * bound
+
+
+def test_negation_ends_at_a_conjunction_and_a_target_outlasts_a_comma():
+    g = toxicity.Grammar({})
+    plain, negated = (g.features([t])[0, 1] for t in ("you are an idiot", "you are not an idiot"))
+    for text in ("I do not know why you are such an idiot", "it is not late and you are an idiot", "this is not late, you are an idiot", "you, sir, are an idiot"):
+        assert g.features([text])[0, 1] == plain
+    for text in ("I do not think that you are an idiot", "you are really not such an idiot"):
+        assert g.features([text])[0, 1] == negated < plain
+    assert g.features(["he said it is late, and you are an idiot"])[0, 1] < plain
