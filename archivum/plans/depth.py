@@ -47,7 +47,7 @@ def _graph(s: SparkSession, d: str, where: str) -> DataFrame:
     return rv.edges(lines.select(F.concat(F.lit("c"), "o_custkey").alias("c"), F.concat(F.lit("s"), "l_suppkey").alias("s")), "c", "s")
 
 
-_THIN = "l_quantity > 49 AND l_linenumber = 1"
+_THIN = "l_quantity > 47"
 _OLD, _NEW = "o_orderdate < TIMESTAMP '1997-01-01'", "o_orderdate >= TIMESTAMP '1997-01-01'"
 
 
@@ -107,14 +107,14 @@ def _(s, d):
     return an.grouped_counts(o, parts, {"sender": 5, "thread": 5})
 
 
-_OUTCOME = "CASE WHEN event_id % 97 = 0 THEN 'unavailable' WHEN user_id % 5 = 0 AND event_id % 3 = 0 THEN 'failed' WHEN event_id % 41 = 0 THEN 'pending' ELSE 'stored' END"
+_OUTCOME = "CASE WHEN event_id % 7 < 3 THEN 'failed' WHEN event_id % 5 = 0 THEN 'pending' WHEN event_id % 11 = 0 THEN 'unavailable' ELSE 'stored' END"
 
 
-@_query("g02_page_states", f"""WITH e AS (SELECT event_id // 300 AS page, event_id % 100 AS item, {_OUTCOME} AS outcome, event_id AS seq FROM events), i AS (SELECT page, item, CASE WHEN bool_or(outcome = 'stored') THEN 'stored' WHEN bool_or(outcome = 'unavailable') THEN 'unavailable' ELSE max_by(outcome, seq) END AS state FROM e GROUP BY 1, 2)
+@_query("g02_page_states", f"""WITH e AS (SELECT event_id // 60 AS page, event_id % 30 AS item, {_OUTCOME} AS outcome, event_id AS seq FROM events), i AS (SELECT page, item, CASE WHEN bool_or(outcome = 'stored') THEN 'stored' WHEN bool_or(outcome = 'unavailable') THEN 'unavailable' ELSE max_by(outcome, seq) END AS state FROM e GROUP BY 1, 2)
 SELECT page, count(*) FILTER (state = 'pending') AS pending, count(*) FILTER (state = 'stored') AS stored, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'unavailable') AS unavailable, count(*) FILTER (state IN ('pending', 'failed')) = 0 AS final FROM i GROUP BY 1""")
 def _(s, d):
     source = durable.fresh_path(s, "item-events")
-    events = _t(s, d, "events").select(F.expr("event_id div 300").alias("page"), F.expr("event_id % 100").alias("item"), F.expr(_OUTCOME).alias("outcome"), F.col("event_id").alias("seq"))
+    events = _t(s, d, "events").select(F.expr("event_id div 60").alias("page"), F.expr("event_id % 30").alias("item"), F.expr(_OUTCOME).alias("outcome"), F.col("event_id").alias("seq"))
     events.write.parquet(source)
     path = durable.fresh_path(s, "pages")
     items.store_pages(items.page_states(capture.replay(s, source, events.schema), "page", "item", "outcome", "seq"), path, durable.fresh_path(s, "pages-state")).awaitTermination()

@@ -169,9 +169,11 @@ def _(s, d):
     return an.size_classes(_t(s, d, "documents"), F.octet_length("text"))
 
 
-@_query("w05_five_largest_bursts", "WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 300000 GROUP BY 1), m AS (SELECT avg(n) AS mean, count(*) AS days FROM d) SELECT day, n, round(mean, 6) AS mean FROM d, m WHERE days >= 7 AND n > 3 * mean ORDER BY n DESC, day LIMIT 5")
+@_query("w05_five_largest_bursts", "WITH d AS (SELECT CAST(CASE WHEN o_orderkey % 20 = 0 THEN date_trunc('month', o_orderdate) ELSE o_orderdate END AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), m AS (SELECT avg(n) AS mean, count(*) AS days FROM d) SELECT day, n, round(mean, 6) AS mean FROM d, m WHERE days >= 7 AND n > 3 * mean ORDER BY n DESC, day LIMIT 5")
 def _(s, d):
-    return an.bursts(an.daily(_t(s, d, "orders").where("o_orderpriority = '1-URGENT' AND o_totalprice > 300000"), "o_orderdate"), 3.0).orderBy(F.desc("n"), "day").limit(5).withColumn("mean", F.round("mean", 6))
+    o = _t(s, d, "orders")  # one order in twenty is moved to the first of its month, so that days stand out
+    moved = o.withColumn("o_orderdate", F.when(F.col("o_orderkey") % 20 == 0, F.date_trunc("month", "o_orderdate").cast("timestamp_ntz")).otherwise(F.col("o_orderdate")))
+    return an.bursts(an.daily(moved, "o_orderdate"), 3.0).orderBy(F.desc("n"), "day").limit(5).withColumn("mean", F.round("mean", 6))
 
 
 _TALLY_SQL = f"""WITH {_LETTERS_SQL}, e AS (SELECT 'type' AS kind, message_type AS key FROM l UNION ALL SELECT 'tag', unnest(tags) FROM l UNION ALL SELECT 'evidence', unnest(evidence) FROM l UNION ALL SELECT 'domain', unnest(domains) FROM l

@@ -13,7 +13,7 @@ from archivum.operators import durable
 from archivum.operators import review as rv
 from archivum.operators import search as se
 from archivum.sources import exports
-from archivum.plans import casework, depth, finding, inquiry, insight, upkeep  # noqa: F401  (fill the table)
+from archivum.plans import casework, depth, finding, inquiry, insight, proof, upkeep  # noqa: F401  (fill the table)
 from archivum.plans.base import QUERIES as _Q
 from archivum.plans.base import query as _query
 from archivum.plans.base import table as _t
@@ -145,9 +145,9 @@ def _(s, d):
     return _t(s, d, "documents").where(F.col("text").rlike(r"(?i)\bth[a-z]*tion\b")).select("doc_id")
 
 
-@_query("j04_only_in_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@_query("j04_only_in_customers", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= TIMESTAMP '1998-06-01')")
 def _(s, d):
-    return _t(s, d, "customer").join(_t(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return _t(s, d, "customer").join(_t(s, d, "orders").where("o_orderdate >= timestamp_ntz'1998-06-01'"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @_query("j05_semi", "SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50)")
@@ -214,9 +214,11 @@ def _(s, d):
     return rv.stamp(_t(s, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], "DOC").select("o_orderkey", "label")
 
 
-@_query("w03_new_keys", "WITH r AS (SELECT o_custkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS c FROM orders) SELECT o_custkey, count(*) AS hits FROM r GROUP BY o_custkey, c HAVING min(rn) > c - greatest(c // 10, 1) AND c >= 10")
+@_query("w03_new_keys", "WITH k AS (SELECT CASE WHEN o_orderdate >= TIMESTAMP '2001-02-01' AND o_orderkey % 10 = 0 THEN 1000000 + o_orderkey % 7 ELSE o_custkey END AS key, o_orderdate, o_orderkey FROM orders), r AS (SELECT key, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS rn, count(*) OVER () AS c FROM k) SELECT key, count(*) AS hits FROM r GROUP BY key, c HAVING min(rn) > c - greatest(c // 10, 1) AND c >= 10 AND count(*) >= 3")
 def _(s, d):
-    return rv.new_keys(_t(s, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], 1)
+    o = _t(s, d, "orders")
+    late = (F.col("o_orderdate") >= F.lit("2001-02-01").cast("timestamp_ntz")) & (F.col("o_orderkey") % 10 == 0)
+    return rv.new_keys(o.withColumn("key", F.when(late, 1_000_000 + F.col("o_orderkey") % 7).otherwise(F.col("o_custkey"))), "key", ["o_orderdate", "o_orderkey"], 3)
 
 
 @_query("w07_volume_trend", "WITH m AS (SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1), p AS (SELECT n, row_number() OVER (ORDER BY month) AS a, count(*) OVER () AS c FROM m), t AS (SELECT avg(n) FILTER (a > c - 3) AS recent, avg(n) FILTER (a <= greatest(1, c - 3)) AS earlier FROM p WHERE c >= 3) SELECT round(recent, 6) AS recent, round(earlier, 6) AS earlier, round((recent - earlier) / earlier, 6) AS change FROM t WHERE recent IS NOT NULL")
@@ -303,10 +305,10 @@ def _(s, d):
     return an.reciprocal_rank_fusion(ranked, "o_custkey").withColumn("score", F.round("score", 8))
 
 
-@_query("g04_current_state", "SELECT user_id, event_id, ts, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND user_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+@_query("g04_current_state", "SELECT user_id, event_id, ts, event_type FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND event_id % 41 = 0 AND user_id IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def _(s, d):
     e = _t(s, d, "events").select("event_id", "ts", "user_id", "event_type")
-    return capture.current(e, "user_id", "ts", e.where("event_type = 'error'").select("user_id").distinct())
+    return capture.current(e, "user_id", "ts", e.where("event_type = 'error' and event_id % 41 = 0").select("user_id").distinct())
 
 
 @_query("k08_load_file", "SELECT md5('þ' || doc_id || 'þ' || chr(20) || 'þ' || coalesce(lang, '') || 'þ' || chr(20) || 'þ' || regexp_replace(coalesce(text, ''), '\\r\\n|\\r|\\n', '®', 'g') || 'þ') AS line_md5 FROM documents")
