@@ -161,7 +161,7 @@ def fractional(left: np.ndarray, capacity: int, rounds: int, seed: int) -> tuple
         top = float((price + table.best[capacity - size]).max())
         bound = max(bound, float((n * price).sum()) / top)
         table.price, table.best = price / top, table.best / top
-        lacking = np.maximum(n - load / max(1, turn - 1), 0.05 * n)
+        lacking = np.maximum(n - load / max(1, turn - 1), 1e-6 * n)
         chance = lacking * size
         long = chance * (size / capacity) ** LONG
         drawn = table.configurations(rng.choice(len(size), anchors, p=long / long.sum()), np.log(chance), rng)
