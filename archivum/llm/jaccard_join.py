@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from archivum.llm.common import discard, materialize, semi_join
-from archivum.llm.components import connected_components
+from archivum.llm.common import BROADCAST_ROWS, discard, materialize, semi_join
+from archivum.operators.components import connected_components
 from archivum.llm.hashing import U, chunks, mix, shingles, word_hashes
 
 #: Upper sizes of the bands grow by this factor.
@@ -31,8 +31,9 @@ BAND = 1.6
 WIDTH = 4
 #: Shingles of a block: the nodes of one key that a task holds are dealt out as pairs of blocks.
 BLOCK = 1 << 20
-#: Documents of the sample that tells very common keys; a key that so many of them have is dealt out by (key, salt).
-SAMPLE, COMMON, SALTS = 4000, 16, 256
+#: The sample that tells very common keys: one document of so many, but as many as LEAST at the least; a key that COMMON of
+#: them have is dealt out by (key, salt), as many salts as it has times COMMON of them.
+EVERY, LEAST, COMMON = 64, 4000, 16
 #: 64-bit words that a comparison of sketches works on at once.
 TILE = 1 << 20
 
@@ -260,15 +261,21 @@ def _items(docs: DataFrame, members: DataFrame, wanted: DataFrame) -> DataFrame:
 def _shared_keys(docs: DataFrame, rows: int) -> DataFrame:
     """(key, salt, node, star, size) of keys that several nodes have; ``star``: the smallest node there.
 
-    Keys that are very common in a sample of the documents are dealt out by (key, salt), so no task gets all their rows;
-    the sample decides on no more than that.
+    Keys that are common in a sample of the documents are dealt out by (key, salt).  The sample is a fixed share of large
+    tables and the salts grow with a key's rows in it, so however large the table and however common the key, a (key,
+    salt) has some COMMON * EVERY rows; the sample decides on no more than that.
     """
-    sample = docs.sample(min(1.0, SAMPLE / max(1, rows)), 7).mapInArrow(_key_rows, "key long, node long")
-    common = materialize(sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).select("key"), "common-keys")
-    keys = docs.mapInArrow(_key_rows, "key long, node long").join(F.broadcast(common.withColumn("common", F.lit(True))), "key", "left")
-    keys = keys.withColumn("salt", F.when(F.col("common"), F.pmod(F.xxhash64("node"), F.lit(SALTS)) + 1).otherwise(0).cast("int")).drop("common")
+    sample = docs.sample(min(1.0, max(1 / EVERY, LEAST / max(1, rows))), 7).mapInArrow(_key_rows, "key long, node long")
+    common = sample.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON)
+    common = materialize(common.select("key", F.ceil(F.col("n") / COMMON).alias("salts")), "common-keys")
+    few = common.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keys = docs.mapInArrow(_key_rows, "key long, node long").join(F.broadcast(common) if few else common, "key", "left")
+    keys = keys.select("key", "node", F.coalesce(F.pmod(F.xxhash64("node"), "salts") + 1, F.lit(0)).cast("int").alias("salt"))
     at_key = Window.partitionBy("key", "salt")
-    return keys.withColumns({"star": F.min("node").over(at_key), "last": F.max("node").over(at_key), "size": F.count("*").over(at_key)}).where("star != last or salt > 0").drop("last")
+    shared = keys.withColumns({"star": F.min("node").over(at_key), "last": F.max("node").over(at_key), "size": F.count("*").over(at_key)}).where("star != last or salt > 0").drop("last")
+    shared = materialize(shared, "shared-keys")
+    discard(common)
+    return shared
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -281,7 +288,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     members = materialize(docs.mapInArrow(_members, "doc_id long, n_shingles long, node long, sketch binary"), "members")
-    shared = materialize(_shared_keys(docs, members.count()), "shared-keys")
+    shared = _shared_keys(docs, members.count())
 
     tops = shared.where("salt > 0").groupBy("key").agg(F.min("star").alias("a"))
     stars = shared.select(F.col("star").alias("a"), F.col("node").alias("b")).unionByName(shared.where("salt > 0").select("key", F.col("star").alias("b")).distinct().join(tops, "key").select("a", "b"))

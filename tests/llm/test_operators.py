@@ -259,6 +259,56 @@ def test_language_model_gradients():
         assert abs((up - down) / 2e-4 - grad[name][at]) < 1e-4, name
 
 
+def test_language_model_score_is_the_sum_of_its_steps():
+    lm = language_model
+    r = np.random.default_rng(8)
+    model = lm.GatedModel.start(r.random(lm.VOCABULARY) * 50)
+    model.w = {k: (v + r.normal(0, 0.1, v.shape)).astype(np.float32) for k, v in model.w.items()}
+    texts = [np.append(r.integers(0, lm.VOCABULARY - 1, n), lm.VOCABULARY - 1) for n in (0, 1, 5, 40, 700)]
+    first = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want, every = [], np.arange(lm.VOCABULARY)
+    for text in texts:
+        h, x, total = np.zeros((1, lm.HIDDEN), np.float32), lm.VOCABULARY - 1, 0.0
+        for k, symbol in enumerate(text.tolist()):
+            h = model.gates((model.w["wx"] + model.w["b"])[[x]], h)[0]
+            if k < 3:  # the probabilities of all symbols sum to one
+                p = np.exp(model.output(np.repeat(h, lm.VOCABULARY, axis=0), every)[0])
+                assert abs(p.sum() - 1) < 1e-4 and abs(np.log(p[symbol]) - model.output(h, np.array([symbol]))[0][0]) < 1e-3
+            total += float(model.output(h, np.array([symbol]))[0][0])
+            x = symbol
+        want.append(total)
+    got = model.score(np.concatenate(texts), first)
+    assert np.allclose(got, want, rtol=1e-4, atol=1e-3)
+
+
+def test_attention_and_its_gradients():
+    r = np.random.default_rng(4)
+    net = quality.Attention.start()
+    net.w["mean"], net.w["scale"] = r.normal(0, 0.1, quality.FEATURES), 1 + r.random(quality.FEATURES)
+    first, y = np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0])
+    x = r.normal(0, 1, (9, quality.FEATURES))
+    f = net.forward(x, first)
+    for k in range(3):  # each document by itself, passage by passage
+        e = [np.tanh((p - net.w["mean"]) / net.w["scale"] @ net.w["we"] + net.w["be"]) for p in x[first[k] : first[k + 1]]]
+        s = np.exp([np.dot(np.tanh(v @ net.w["wv"]) / (1 + np.exp(-(v @ net.w["wu"]))), net.w["wa"]) for v in e])
+        z = sum(a * v for a, v in zip(s / s.sum(), e, strict=True))
+        assert abs(f["p"][k] - 1 / (1 + np.exp(-(z @ net.w["wo"] + net.w["bo"][0])))) < 1e-12
+
+    def loss():
+        p = net.forward(x, first)["p"]
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    grad = net.step(x, first, y)
+    for name, g in grad.items():
+        for at in {tuple(i) for i in r.integers(0, g.shape, (6, g.ndim))}:
+            net.w[name][at] += 1e-5
+            up = loss()
+            net.w[name][at] -= 2e-5
+            down = loss()
+            net.w[name][at] += 1e-5
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-7, name
+
+
 def test_url_filter(spark):
     urls = [None, "", "no host", "http://A.Example.COM/en/75?x#y", "https://example.com/en/1", "http://notexample.com/en/7", "x://de.example.net/de/8", "http://net/de/", "http://org?/es/", "http://example.org/es/#a"]
     pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
