@@ -13,7 +13,7 @@ from archivum.operators import durable
 from archivum.operators import review as rv
 from archivum.operators import search as se
 from archivum.sources import exports
-from archivum.plans import casework, depth, finding, inquiry, insight, proof, upkeep, watch  # noqa: F401  (fill the table)
+from archivum.plans import casework, depth, finding, habits, inquiry, insight, proof, upkeep, watch  # noqa: F401  (fill the table)
 from archivum.plans.base import QUERIES as _Q
 from archivum.plans.base import query as _query
 from archivum.plans.base import table as _t
