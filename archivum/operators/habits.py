@@ -87,7 +87,7 @@ def habits(df: DataFrame, ts: str) -> DataFrame:
     one = one.withColumn("recent", F.when(F.size(recent) > 0, mean(recent))).withColumn("older", F.when(F.size(older) > 0, mean(older)).otherwise(F.col("recent")))
     names = F.array(*[F.lit(x) for x in DAY_NAMES])
     return one.select(
-        (-F.col("h.back")).alias("peak_hour"), F.col("h.n").alias("peak_hour_n"), F.element_at(names, (-F.col("d.back")).cast("int")).alias("peak_day"), F.col("d.n").alias("peak_day_n"),
+        (-F.col("h.back")).alias("peak_hour"), F.col("h.n").alias("peak_hour_n"), F.when(F.col("d").isNotNull(), F.element_at(names, (-F.col("d.back")).cast("int"))).alias("peak_day"), F.col("d.n").alias("peak_day_n"),
         "weekend", F.when(F.col("all") > 0, F.floor(100 * F.col("weekend") / F.col("all"))).alias("weekend_percent"), "recent", "older",
         F.when(F.col("older") > 0, ((F.col("recent") - F.col("older")) / F.col("older") * 100).cast("long")).alias("change_percent"),
     )

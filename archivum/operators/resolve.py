@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from archivum.operators.signals import once
 
 #: Words in a shingle, bands of the MinHash, hashes in a band.
 WORDS, BANDS, IN_BAND = 5, 16, 4
+#: Shingles of a block: what a task holds of a band is dealt out as pairs of blocks.
+BLOCK = 1 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -46,14 +52,72 @@ def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return likeness.withColumn("linked", F.col("similarity") >= least)
 
 
+def _group_links(rows: list[tuple], i: int, j: int, least: float) -> list[tuple[int, int, float]]:
+    """Links of a band's nodes (block, node, open, set) between blocks i and j, where one side is open.
+
+    As many as join what is joined here, and the weakest of each set of joined nodes.
+    """
+    own = [r for r in rows if r[0] == i]
+    other = own if i == j else [r for r in rows if r[0] == j]
+    root = {r[1]: r[1] for r in (*own, *other)}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    joining, links = [], []
+    for k, (_, a, a_open, x) in enumerate(own):
+        for _, b, b_open, y in other[k + 1 :] if i == j else other:
+            if not (a_open or b_open) or min(len(x), len(y)) < least * max(len(x), len(y)):
+                continue
+            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+            similarity = shared / (len(x) + len(y) - shared)
+            if similarity >= least:
+                links.append((min(a, b), max(a, b), similarity))
+                if (ra := find(a)) != (rb := find(b)):
+                    root[max(ra, rb)] = min(ra, rb)
+                    joining.append(links[-1])
+    weakest: dict[int, tuple[int, int, float]] = {}
+    for link in links:
+        label = find(link[0])
+        if label not in weakest or link[2] < weakest[label][2]:
+            weakest[label] = link
+    return [*joining, *weakest.values()]
+
+
+def _block_links(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(group: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            found = _group_links(rows, group[2], group[3], least)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+        group, held = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "value", "i", "j")), strict=True)
+            facts = zip(*(batch.column(c).to_pylist() for c in ("block", "node", "open")), strict=True)
+            for key, fact, items in zip(keys, facts, batch.column("set"), strict=True):
+                if key != group:
+                    if held:
+                        yield out(group, held)
+                    group, held = key, []
+                held.append((*fact, np.sort(items.values.to_numpy())))
+        if held:
+            yield out(group, held)
+
+    return run
+
+
 def near_duplicates(df: DataFrame, row: str, text: str, least: float = 0.8) -> DataFrame:
     """(row, representative, similarity) of rows whose texts resemble another's: the representative is the smallest row
     of the group (rows joined by chains of links), similarity that of the weakest link that was read.
 
     Candidates share a band; each is decided by its exact Jaccard similarity.  Rows of equal sets are one node, so copies
     are never paired.  The nodes of a band are compared with its smallest node; only those it isn't like are compared
-    with the band's others, so a group of near copies costs one comparison a member.  A very common band is combined
-    before the shuffle and met by joins that can be split.  Texts without words and rows without an id are in no group; an
+    with the band's others, so a group of near copies costs one comparison a member.  That comparison runs inside tasks, for
+    pairs of blocks of a band, and gives the links that join its nodes and the weakest ones, never all pairs.  A very
+    common band is combined before the shuffle and met by joins that can be split.  Texts without words and rows without an id are in no group; an
     empty table gives none.  ``row`` must be a long.
     """
     words = once(df.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text")).where("row is not null"), words=words_of(F.col("text")))
@@ -67,17 +131,23 @@ def near_duplicates(df: DataFrame, row: str, text: str, least: float = 0.8) -> D
     held_keys = materialize(keys.join(crowd, ["band", "value"]), "near-keys")
     stars = materialize(_verified(held_keys.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, least), "near-stars")
     failed = stars.where("not linked").select(F.col("a").alias("centre"), F.col("b").alias("node"))
-    open_ = held_keys.join(failed, ["centre", "node"], "left_semi").select("band", "value", F.col("node").alias("one"))
-    others = open_.join(held_keys.where("node != centre"), ["band", "value"]).where("one != node")
-    rest = _verified(others.select(F.least("one", "node").alias("a"), F.greatest("one", "node").alias("b")).distinct(), nodes, least)
-    links = materialize(stars.unionByName(rest).where("linked").select("a", "b", "similarity"), "near-links")
+    open_ = held_keys.join(failed, ["centre", "node"], "left_semi").select("band", "value", "node", F.lit(True).alias("open"))
+    crowded = open_.select("band", "value").distinct()
+    inside = held_keys.where("node != centre").join(crowded, ["band", "value"], "left_semi").join(open_, ["band", "value", "node"], "left")
+    inside = materialize(inside.join(nodes.select("node", F.size("set").alias("n")), "node").select("band", "value", "node", F.coalesce("open", F.lit(False)).alias("open"), "n"), "near-inside")
+    blocks = inside.groupBy("band", "value").agg(F.count("*").alias("k"), F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks")).where("k > 1").drop("k")
+    dealt = inside.join(blocks, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    dealt = dealt.join(nodes, "node").select("band", "value", "i", "j", "block", "node", "open", "set")
+    rest = dealt.repartition("band", "value", "i", "j").sortWithinPartitions("band", "value", "i", "j").mapInArrow(_block_links(least), "a long, b long, similarity double")
+    links = materialize(stars.where("linked").select("a", "b", "similarity").unionByName(rest).distinct(), "near-links")
     label = connected_components(links.select("a", "b"))
     weakest = links.join(label.withColumnRenamed("node", "a"), "a").groupBy("label").agg(F.min("similarity").alias("similarity"))
     grouped = members.join(label, "node", "left").withColumn("representative", F.coalesce("label", "node"))
     several = grouped.groupBy("representative").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     scored = several.join(weakest.withColumnRenamed("label", "representative"), "representative", "left")
     out = materialize(grouped.join(scored, "representative").select(F.col("row").alias(row), "representative", F.coalesce("similarity", F.lit(1.0)).alias("similarity")), "near")
-    discard(held, members, nodes, keys, held_keys, stars, links)
+    discard(held, members, nodes, keys, held_keys, stars, inside, links)
     return out
 
 

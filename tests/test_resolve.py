@@ -43,6 +43,38 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {r["similarity"] for r in found if r["doc_id"] in (203, 204)} == {1.0}
 
 
+def test_blocks_of_a_band_change_nothing(spark, monkeypatch):
+    random.seed(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [random.choice(words) for _ in range(100)]
+    texts = {}
+    for k in range(40):  # a drifting text: its ends are unlike, chains of links hold them together
+        base[random.randrange(100)] = random.choice(words)
+        base[random.randrange(100)] = random.choice(words)
+        texts[k] = " ".join(base)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    whole = sorted(map(tuple, rs.near_duplicates(df, "doc_id", "text").collect()))
+    assert {r[0]: r[1] for r in whole} == _groups(texts) and all(r[2] < 0.9 for r in whole)
+    monkeypatch.setattr(rs, "BLOCK", 200)
+    assert sorted(map(tuple, rs.near_duplicates(df, "doc_id", "text").collect())) == whole
+
+
+def test_links_of_a_group_are_all_found_and_few():
+    import numpy as np
+
+    sets = [np.arange(k, k + 40) for k in range(0, 30, 2)]  # neighbours share 38 of 42
+    rows = [(k % 2, k, k > 0, s) for k, s in enumerate(sets)]
+    found = [x for i, j in ((0, 0), (0, 1), (1, 1)) for x in rs._group_links(rows, i, j, 0.8)]
+    every = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in range(15) for b in range(a + 1, 15)}
+    assert all(every[a, b] == s >= 0.8 for a, b, s in found) and len(found) <= 3 * 2 * 15
+    assert min(s for *_, s in found) == min(s for s in every.values() if s >= 0.8)
+    label = {k: k for k in range(15)}
+    for a, b, _ in found:
+        old, new = max(label[a], label[b]), min(label[a], label[b])
+        label = {k: new if v == old else v for k, v in label.items()}
+    assert set(label.values()) == {0}
+
+
 def test_near_duplicates_of_nothing(spark):
     assert rs.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
