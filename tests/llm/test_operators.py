@@ -318,6 +318,13 @@ def test_url_filter(spark):
     assert url_filter.url_verdicts(pages.limit(0)).count() == 0
 
 
+def test_url_rules_have_the_words_of_the_contract(spark):
+    rules = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    assert [f"{v} {r}" for r, v in url_filter.RULES] == rules.split(", ")
+    pages = spark.createDataFrame([(1, "http://a.net/de/1"), (2, "http://example.net/de/8"), (3, "http://example.net/de/7")], "page_id long, url string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in url_filter.url_verdicts(pages).collect()) == [(1, "net/de/", "allow"), (2, "example.net/de/8", "block"), (3, "net/de/", "allow")]
+
+
 def _labelled(spark):
     rows, labels = [], []
     for i in range(400):
