@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from archivum.functions import mail
 from archivum.operators.components import connected_components
 from archivum.operators.durable import discard, materialize
-from archivum.operators.signals import once
 
 #: Words in a shingle, bands of the MinHash, hashes in a band.
 WORDS, BANDS, IN_BAND = 5, 16, 4
@@ -21,26 +22,115 @@ BLOCK = 1 << 20
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """The lower-cased words with one space between."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
 
 
-def shingles(words: str) -> Column:
-    """Hashes of the distinct runs of five words of a column of words; fewer words are one shingle, no words have none.
+#: Constants of xxHash64, and how many shingles are hashed at a time.
+P1, P2, P3, P4, P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+AT_ONCE = 1 << 14
 
-    The words must be a column, as an expression would be worked out anew for every run.
+
+def shingles(words: bytes) -> np.ndarray:
+    """xxhash64 (seed 42, as Spark's) of the distinct runs of five words, ascending; the words stand with one space between.
+
+    Fewer words are one shingle, no words have none.
     """
-    w = F.col(words)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (WORDS - 1), F.lit(1)))
-    return F.when(F.size(w) == 0, F.array().cast("array<long>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(w, i, WORDS), " ")))))
+    if not words:
+        return np.empty(0, np.int64)
+    gaps = np.flatnonzero(np.frombuffer(words, np.uint8) == 32).tolist()
+    begins, ends = [0, *(g + 1 for g in gaps)], [*gaps, len(words)]
+    found = [xxhash.xxh64_intdigest(words[i:j], 42) for i, j in zip(begins, ends[min(WORDS, len(ends)) - 1 :])]  # as many as there are ends
+    return np.unique(np.array(found, np.uint64).view(np.int64))
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, set and digest of the rows whose texts have words."""
+    for batch in batches:
+        rows, sets, digests, held = [], [], [], 0
+        for row, words in zip(batch.column("row").to_pylist(), batch.column("words"), strict=True):
+            if not len(found := shingles(words.as_buffer().to_pybytes())):
+                continue
+            rows.append(row)
+            sets.append(found)
+            digests.append(hashlib.sha256(found.tobytes()).digest())
+            held += len(found)
+            if held >= BLOCK:
+                yield _set_batch(rows, sets, digests)
+                rows, sets, digests, held = [], [], [], 0
+        if rows:
+            yield _set_batch(rows, sets, digests)
+
+
+def _set_batch(rows: list[int], sets: list[np.ndarray], digests: list[bytes]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), pa.array(digests, pa.binary())], ["row", "set", "digest"])
+
+
+def _hash_longs(mixed: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs after ``seeds``; ``mixed`` is ``_mix`` of them."""
+    h = (seeds + P5 + np.uint64(8)) ^ mixed
+    h = ((h << np.uint64(27)) | (h >> np.uint64(37))) * P1 + P4
+    h ^= h >> np.uint64(33)
+    h *= P2
+    h ^= h >> np.uint64(29)
+    h *= P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _mix(values: np.ndarray) -> np.ndarray:
+    x = values.view(np.uint64) * P2
+    return ((x << np.uint64(31)) | (x >> np.uint64(33))) * P1
 
 
-def bands(hashes: str) -> Column:
-    """One number a band for a column of shingle hashes: a hash of the least values that IN_BAND seeded hashes take over them."""
-    def least(seed: int) -> Column:
-        return F.array_min(F.transform(hashes, lambda x: F.xxhash64(F.lit(seed), x)))
+def _int_seed(n: int) -> np.ndarray:
+    """Spark's xxhash64 of the int ``n``, after which further values are hashed."""
+    h = (np.array([42], np.uint64) + P5 + np.uint64(4)) ^ (np.array([n], np.uint64) * P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * P2 + P3
+    h ^= h >> np.uint64(33)
+    h *= P2
+    h ^= h >> np.uint64(29)
+    h *= P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+SEEDS = [_int_seed(n) for n in range(BANDS * IN_BAND)]
+
+
+def bands(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) numbers of sets that begin at ``starts`` of ``values``, none empty.
+
+    A band's number is a hash of the least values (as signed numbers) that IN_BAND seeded hashes take over the set.
+    """
+    least = np.full((len(SEEDS), len(starts)), np.iinfo(np.int64).max)
+    for lo in range(0, len(values), AT_ONCE):
+        part = _mix(values[lo : lo + AT_ONCE])
+        first = int(np.searchsorted(starts, lo, "right")) - 1
+        last = int(np.searchsorted(starts, lo + len(part)))
+        cuts = np.maximum(starts[first:last] - lo, 0)
+        for k, seed in enumerate(SEEDS):
+            got = np.minimum.reduceat(_hash_longs(part, seed).view(np.int64), cuts)
+            np.minimum(least[k, first:last], got, out=least[k, first:last])
+    out = np.empty((len(starts), BANDS), np.int64)
+    for band in range(BANDS):
+        h = np.full(len(starts), 42, np.uint64)
+        for k in range(band * IN_BAND, (band + 1) * IN_BAND):
+            h = _hash_longs(_mix(least[k]), h)
+        out[:, band] = h.view(np.int64)
+    return out
+
 
-    values = [least(seed) for seed in range(BANDS * IN_BAND)]
-    return F.array(*[F.xxhash64(*values[i : i + IN_BAND]) for i in range(0, len(values), IN_BAND)])
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, band and value of nodes with their sets."""
+    for batch in batches:
+        held = batch.column("set")
+        if len(held):
+            starts = held.offsets.to_numpy().astype(np.int64)
+            value = bands(held.values.to_numpy()[starts[0] : starts[-1]], starts[:-1] - starts[0])
+            node = np.repeat(batch.column("node").to_numpy(), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(value))), pa.array(value.ravel())], ["node", "band", "value"])
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -120,13 +210,12 @@ def near_duplicates(df: DataFrame, row: str, text: str, least: float = 0.8) -> D
     common band is combined before the shuffle and met by joins that can be split.  Texts without words and rows without an id are in no group; an
     empty table gives none.  ``row`` must be a long.
     """
-    words = once(df.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text")).where("row is not null"), words=words_of(F.col("text")))
-    sets = words.select("row", shingles("words").alias("set"))
-    held = materialize(sets.where("size(set) > 0").select("row", "set", F.sha2(F.array_join(F.array_sort("set").cast("array<string>"), ","), 256).alias("digest")), "near-sets")
+    words = df.where(F.col(row).isNotNull()).select(F.col(row).cast("long").alias("row"), words_of(F.col(text)).alias("words"))
+    held = materialize(words.mapInArrow(_sets, "row long, set array<long>, digest binary"), "near-sets")
     first = held.groupBy("digest").agg(F.min("row").alias("node"))
     members = materialize(held.select("row", "digest").join(first, "digest").select("row", "node"), "near-members")
     nodes = materialize(held.join(members.where("row = node").select("row").distinct(), "row", "left_semi").dropDuplicates(["row"]).select(F.col("row").alias("node"), "set"), "near-nodes")
-    keys = materialize(nodes.select("node", F.posexplode(bands("set")).alias("band", "value")), "near-bands")
+    keys = materialize(nodes.mapInArrow(_bands, "node long, band int, value long"), "near-bands")
     crowd = keys.groupBy("band", "value").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").drop("n")
     held_keys = materialize(keys.join(crowd, ["band", "value"]), "near-keys")
     stars = materialize(_verified(held_keys.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), nodes, least), "near-stars")

@@ -75,6 +75,24 @@ def test_links_of_a_group_are_all_found_and_few():
     assert set(label.values()) == {0}
 
 
+def test_shingles_and_bands_are_those_of_spark_functions(spark, monkeypatch):
+    import numpy as np
+
+    random.seed(7)
+    texts = ["one", "a b c d", "a b c d e", "\u00e9\u00e8 \u4e2d\u6587 x \U00010400 y z", *(" ".join(f"w{random.randrange(30)}" for _ in range(random.randrange(1, 200))) for _ in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, words string").withColumn("w", F.split("words", " "))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1)))
+    df = df.select("row", F.array_sort(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("w", i, 5), " "))))).alias("set"))
+    seeded = lambda k: F.transform("set", lambda x: F.xxhash64(F.lit(k), x))
+    least = [F.array_min(seeded(k)) for k in range(rs.BANDS * rs.IN_BAND)]
+    want = df.select("set", F.array(*[F.xxhash64(*least[i : i + rs.IN_BAND]) for i in range(0, len(least), rs.IN_BAND)])).orderBy("row").collect()
+    sets = [rs.shingles(t.encode()) for t in texts]
+    assert [x.tolist() for x in sets] == [r[0] for r in want] and len(rs.shingles(b"")) == 0
+    for at_once in (1, 7, 1 << 14):
+        monkeypatch.setattr(rs, "AT_ONCE", at_once)
+        assert rs.bands(np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])).tolist() == [r[1] for r in want]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert rs.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
