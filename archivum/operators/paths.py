@@ -66,24 +66,44 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 64)
     return spark.createDataFrame(list(enumerate(path)), f"step int, node {kind}")
 
 
+def _sides(old: DataFrame, new: DataFrame, *keys) -> DataFrame:
+    """The rows of two edge tables, their weights in columns of their own."""
+    nothing = F.lit(None)
+    return old.select(*keys, F.col("weight").alias("old"), nothing.alias("new")).unionByName(new.select(*keys, nothing.alias("old"), F.col("weight").alias("new")))
+
+
+def _added(sides: DataFrame, *keys: str) -> DataFrame:
+    """Sums of ``old`` and ``new`` by ``keys``; a key with a null is nothing that two graphs share."""
+    unknown = F.array_contains(F.array(*(F.col(k).isNull() for k in keys)), True)
+    return sides.groupBy(*keys, F.when(unknown, F.col("old").isNull()).alias("_side")).agg(F.sum("old").alias("old"), F.sum("new").alias("new")).drop("_side")
+
+
+def compare_weights(sides: DataFrame, change: float = 2.0) -> DataFrame:
+    """As ``compare_graphs``, of one table (a, b, old, new): the weight is null where a row belongs to the other graph."""
+    found = _added(sides, "a", "b").select("a", "b", F.col("old").alias("old_weight"), F.col("new").alias("new_weight"))
+    delta = F.col("new_weight") - F.col("old_weight")
+    status = F.when(F.col("old_weight").isNull(), "new").when(F.col("new_weight").isNull(), "lost").when(delta > change, "stronger").when(delta < -change, "weaker")
+    return found.where("old_weight is not null or new_weight is not null").withColumn("status", status).where(F.col("status").isNotNull())
+
+
 def compare_graphs(old: DataFrame, new: DataFrame, change: float = 2.0) -> DataFrame:
     """Edges by what became of them: a, b, old_weight, new_weight, status (new, lost, stronger, weaker).
 
-    One full join; an edge of both graphs is reported if its weight differs by more than ``change``.  Repeated edges of one
-    graph are added up first.
+    One aggregation over both graphs, nothing is sorted or joined; an edge of both is reported if its weight differs by more
+    than ``change``.  Repeated edges of one graph are added up.
     """
-    sides = [g.groupBy("a", "b").agg(F.sum("weight").alias(f"{n}_weight")) for g, n in ((old, "old"), (new, "new"))]
-    found = sides[0].join(sides[1], ["a", "b"], "full")
-    delta = F.col("new_weight") - F.col("old_weight")
-    status = F.when(F.col("old_weight").isNull(), "new").when(F.col("new_weight").isNull(), "lost").when(delta > change, "stronger").when(delta < -change, "weaker")
-    return found.withColumn("status", status).where(F.col("status").isNotNull())
+    return compare_weights(_sides(old, new, "a", "b"), change)
+
+
+def compare_node_weights(sides: DataFrame) -> DataFrame:
+    """As ``compare_nodes``, of one table (node, old, new): the weight is null where a row belongs to the other graph."""
+    found = _added(sides, "node").where("old is null or new is null").where("old is not null or new is not null")
+    return found.select("node", F.coalesce("new", "old").alias("strength"), F.when(F.col("old").isNull(), "new").otherwise("lost").alias("status"))
 
 
 def compare_nodes(old: DataFrame, new: DataFrame) -> DataFrame:
     """Nodes of one graph only: node, strength (sum of its edges' weights), status (new, lost)."""
-    sides = [g.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias(n)) for g, n in ((old, "old"), (new, "new"))]
-    found = sides[0].join(sides[1], "node", "full").where("old is null or new is null")
-    return found.select("node", F.coalesce("new", "old").alias("strength"), F.when(F.col("old").isNull(), "new").otherwise("lost").alias("status"))
+    return compare_node_weights(_sides(old, new, F.col("a").alias("node")))
 
 
 def top_nodes(edges: DataFrame, kind, top: int = 10) -> DataFrame:
