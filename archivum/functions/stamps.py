@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,13 +89,20 @@ def boundaries(raw: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(raw, F.lit(r'(?i)boundary="?([^";\r\n]+)'), F.lit(1)))
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def mail_date(text: Column) -> Column:
     """The instant of a date as in mail fields, comments at its end left out; null if it has none of the known forms."""
     plain = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s*\([^)]*\)\s*$", "")), r"\s+", " ")
     plain = F.regexp_replace(plain, r" (GMT|UTC|UT)$", " +0000")
     # the day's name says nothing that the date doesn't
     plain = F.regexp_replace(plain, r"^[A-Za-z]{3}, ?", "")
-    return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f.removeprefix("EEE, "))) for f in DATES])
+    forms = dict.fromkeys(f.removeprefix("EEE, ") for f in DATES)
+    # every form begins with a digit: what doesn't is not tried, as each trial that fails costs an exception
+    return _bound(plain, lambda p: F.when(p.rlike("^[0-9]"), F.coalesce(*[F.try_to_timestamp(p, F.lit(f)) for f in forms])))
 
 
 def received_hops(raw: Column) -> Column:
@@ -109,4 +118,4 @@ def received_hops(raw: Column) -> Column:
         return F.regexp_extract(field, rf"(?i)\b{word}\s+([^\s;()]+)", 1)
 
     hops = F.transform(fields, lambda f: F.struct(clause(f, "from").alias("from_"), clause(f, "by").alias("by"), clause(f, "with").alias("with_"), F.unix_micros(mail_date(F.trim(F.element_at(F.split(f, ";"), -1)))).alias("micros")))
-    return F.transform(hops, lambda h, i: F.struct(h["from_"].alias("from_"), h["by"].alias("by"), h["with_"].alias("with_"), h["micros"].alias("micros"), ((h["micros"] - F.get(hops, i - 1)["micros"]) / 1_000_000).alias("delay")))
+    return _bound(hops, lambda every: F.transform(every, lambda h, i: F.struct(h["from_"].alias("from_"), h["by"].alias("by"), h["with_"].alias("with_"), h["micros"].alias("micros"), ((h["micros"] - F.get(every, i - 1)["micros"]) / 1_000_000).alias("delay"))))

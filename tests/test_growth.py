@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from archivum.functions import stamps
 from archivum.operators import paths
 
 
@@ -5,6 +8,11 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_received_fields_are_read_once(spark):
+    hops = spark.createDataFrame([("x",)], "x string").select(stamps.received_hops(F.col("x")).alias("h"))
+    assert hops._jdf.queryExecution().analyzed().toString().count("bwith") == 1
+
+
 def test_graphs_are_compared_without_a_join(spark):
     old = spark.createDataFrame([("a", "b", 5), (None, "b", 1), ("z", "b", None)], "a string, b string, weight long")
     new = spark.createDataFrame([("a", "b", 9), (None, "b", 7)], "a string, b string, weight long")
