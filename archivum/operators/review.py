@@ -235,13 +235,14 @@ def edges(df: DataFrame, a: str, b: str) -> DataFrame:
 def hops(graph: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps of the start nodes (column ``node``), with their distance: one join a step.
 
-    Each step is checkpointed, so lineage stays short; a shortest path's length is the distance of its end.
+    Each step is written, so lineage stays short and a small front is known to be small: then the graph is read and not
+    shuffled.  Edges may repeat (weights don't matter) and must hold both directions; a shortest path's length is the
+    distance of its end.
     """
-    seen = checkpoint(start.select("node", F.lit(0).alias("distance")))
+    seen = fresh = materialize(start.select("node", F.lit(0).alias("distance")), "hops")
     for step in range(1, depth + 1):
-        front = seen.where(F.col("distance") == step - 1)
-        found = graph.join(front, F.col("a") == F.col("node")).select(F.col("b").alias("node")).distinct()
-        fresh = checkpoint(found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)))
+        found = graph.select("a", "b").join(fresh.select("node").distinct(), F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
+        fresh = materialize(found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(step)), "hops")
         if fresh.isEmpty():
             break
         seen = seen.unionByName(fresh)
