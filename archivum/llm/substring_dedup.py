@@ -1,7 +1,8 @@
 """Removal of 50-byte strings that occur in documents of smaller ids, exactly and without moving every suffix.
 
 Of each 50-byte window the 20-byte string with the smallest hash is its anchor, so equal windows have equal anchors.
-Anchor hashes meet in one shuffle of (hash, doc_id); those of one document are dropped.  For the rest, the surroundings
+Anchor hashes meet in one shuffle of (hash, doc_id), packed bucket by bucket into blocks of half the bytes of rows; those
+of one document are dropped.  For the rest, the surroundings
 that can matter (30 bytes on both sides) meet by hash.  Equal surroundings need one comparison; where they differ, the
 suffixes that start at each possible window are sorted by the hash-compared mergesort, and equal runs tell the smallest
 document of each window.  Groups of very many different surroundings are dealt out by window instead of being held.
@@ -20,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from archivum.llm.common import anti_join, materialize, semi_join
+from archivum.llm.common import BROADCAST_ROWS, anti_join, materialize
 from archivum.llm.hashing import U, chunks, mix
 from archivum.llm.suffix_sort import SuffixSorter, powers, prefix_hashes
 
@@ -35,6 +36,14 @@ HELD = 100_000
 SLICE = 1 << 20
 #: Tasks that the rows of a key go to which are known to be shared before they meet.
 SALTS = 1023
+#: Bits of an anchor's hash that say whether it is shared; texts that share no more than these are told apart by their bytes.
+KEY = U((1 << 48) - 1)
+#: Buckets of anchors for each partition of their shuffle.
+BUCKETS = 4
+#: Bytes of a packed anchor: six of the key, one that tells salted rows, eight of the id (its distance from the one before).
+WIDE = 15
+#: Anchors of unpacked blocks that are put out together.
+UNPACKED = 100_000
 
 
 def anchors(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,23 +80,69 @@ def anchors(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, at - first[text], value[at]
 
 
+def pack(bucket: np.ndarray, key: np.ndarray, salted: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+    """(bucket, block): the rows of each bucket by id, byte by byte, so that what ids have in common is a run of zeros."""
+    order = np.lexsort((own, bucket))
+    bucket, own = bucket[order], own[order]
+    begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    gap = np.diff(own, prepend=own[:1])
+    gap[begin] = own[begin]
+    rows = np.empty((len(own), WIDE), np.uint8)
+    rows[:, :6] = key[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    rows[:, 6] = salted[order]
+    rows[:, 7:] = gap.astype("<i8").view(np.uint8).reshape(-1, 8)
+    block = [rows[lo:hi].T.tobytes() for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(own)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int32)), pa.array(block, pa.binary())], ["bucket", "block"])
+
+
+def unpack(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, salted, doc_id) of the rows of some blocks."""
+    key, salted, own = [], [], []
+    for block in blocks:
+        rows = np.frombuffer(block, np.uint8).reshape(WIDE, -1)
+        wide = np.zeros((rows.shape[1], 8), np.uint8)
+        wide[:, :6] = rows[:6].T
+        key.append(wide.view("<i8").ravel())
+        salted.append(rows[6])
+        own.append(np.cumsum(np.ascontiguousarray(rows[7:].T).view("<i8").ravel()))
+    return np.concatenate(key), np.concatenate(salted), np.concatenate(own)
+
+
+def _anchor_blocks(buckets: int):
+    """Texts -> (bucket, block).  Of a key that several texts of a chunk have, two rows go where the key goes, the others elsewhere."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for lo, _, part in chunks(batch.column("text")):
+                text, _, key = anchors(part)
+                if len(key):
+                    key = key & KEY
+                    order = np.lexsort((text, key))
+                    text, key = text[order], key[order]
+                    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
+                    text, key = text[fresh], key[fresh]
+                    own = ids[lo + text]
+                    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                    size = np.diff(np.append(begin, len(key)))
+                    nth = np.arange(len(key)) - np.repeat(begin, size)
+                    salt = np.where(nth < 2, U(0), U(1) + mix(own.view(U) + key) % U(SALTS))
+                    yield pack(mix(key + mix(salt)) % U(buckets), key, nth >= 2, own)
+
+    return rows
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, salt, doc_id).  Of a key that several texts of a chunk have, two rows go where the key goes, the others elsewhere."""
+    """(key, salt, doc_id) of the blocks; salt: 1 if others of its chunk go where the key goes."""
     for batch in batches:
-        ids = batch.column("doc_id").to_numpy()
-        for lo, _, part in chunks(batch.column("text")):
-            text, _, key = anchors(part)
-            if len(key):
-                order = np.lexsort((text, key))
-                text, key = text[order], key[order]
-                fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])))
-                text, key = text[fresh], key[fresh]
-                own = ids[lo + text]
-                begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                size = np.diff(np.append(begin, len(key)))
-                nth = np.arange(len(key)) - np.repeat(begin, size)
-                salt = np.where(nth < 2, 0, 1 + (mix(own.view(U) + key) % U(SALTS)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(salt, pa.int32()), pa.array(own)], ["key", "salt", "doc_id"])
+        blocks, size = [], 0
+        for i, block in enumerate(batch.column("block")):
+            blocks.append(block.as_py())
+            size += len(blocks[-1])
+            if size >= WIDE * UNPACKED or i + 1 == batch.num_rows:
+                key, salt, own = unpack(blocks)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt.astype(np.int32)), pa.array(own)], ["key", "salt", "doc_id"])
+                blocks, size = [], 0
 
 
 def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +167,9 @@ def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key)], ["doc_id", "key"])
 
 
+_BODY = "doc_id long, row long, body binary"
+
+
 def _compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts as compressed bytes, for the shuffle."""
     z = zstandard.ZstdCompressor(level=1)
@@ -132,7 +190,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         text, at, key = anchors(texts)
         # a key counts only in the text that it was asked for
         asked = mix(np.concatenate(keys).view(U)) + mix(np.repeat(np.arange(len(keys)), [len(k) for k in keys]).astype(U) + U(1))
-        held = np.flatnonzero(np.isin(mix(key) + mix(text.astype(U) + U(1)), asked))
+        held = np.flatnonzero(np.isin(mix(key & KEY) + mix(text.astype(U) + U(1)), asked))
         text, spots, key = text[held], at[held], key[held].view(np.int64)
         around = [bytes((min(a, SIDE),)) + texts[t][max(0, a - SIDE) : a + GRAM + SIDE] for t, a in zip(text.tolist(), spots.tolist(), strict=True)]
         doc, row = np.array(docs)[text], np.array(rows)[text]
@@ -301,15 +359,14 @@ def _parts(group: np.ndarray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Maximal runs of overlapping or touching spans."""
-    out: list[list[int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], hi)
-        else:
-            out.append([lo, hi])
-    return [(a, b) for a, b in out]
+def merge(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, lo, hi) of the maximal runs of overlapping or touching spans of each row, in order."""
+    base = row.astype(np.int64) << 32  # spans are shorter
+    order = np.argsort(base + lo, kind="stable")
+    lo, reach = (base + lo)[order], np.maximum.accumulate((base + hi)[order])
+    begin = np.flatnonzero(np.concatenate(([True], lo[1:] > reach[:-1]))) if len(lo) else order
+    row = row[order][begin]
+    return row, lo[begin] - (row.astype(np.int64) << 32), reach[np.append(begin[1:], len(lo)) - 1] - (row.astype(np.int64) << 32) if len(lo) else reach
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -332,12 +389,14 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = materialize(copies, "copies")
 
     single = anti_join(own, copies, ["doc_id", "row"])
-    rows = single.mapInArrow(_anchor_rows, "key long, salt int, doc_id long").repartition("key", "salt").sortWithinPartitions("key", "salt")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: blocks are small, what they hold isn't
+    blocks = single.mapInArrow(_anchor_blocks(BUCKETS * parts), "bucket int, block binary").repartition(parts, "bucket")
+    rows = blocks.mapInArrow(_anchor_rows, "key long, salt int, doc_id long").sortWithinPartitions("key")
     keys = rows.mapInArrow(_several, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-    bodies = single.mapInArrow(_compress, "doc_id long, row long, body binary")
+    bodies = single.mapInArrow(_compress, _BODY)
     around = bodies.join(keys, "doc_id").mapInArrow(_surroundings, "key long, around binary, doc_id long, row long, at int, hi int")
     found = around.repartition("key").sortWithinPartitions("key", "around", "doc_id", "at").mapInArrow(_spans, _OUT)
-    found = materialize(found, "spans")
+    found = materialize(found, "spans", free=True)
     windows = found.where("window is not null")
     late = windows.join(windows.groupBy("window").agg(F.min("doc_id").alias("least")), "window").where("doc_id > least")
     spans = found.where("window is null").select("doc_id", "row", "lo", "hi").unionByName(late.select("doc_id", "row", "lo", "hi"))
@@ -345,24 +404,42 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    z = zstandard.ZstdDecompressor()
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "row", "n_removed", "n_spans", "kept_sha256", "kept"])
+
     for batch in batches:
-        rows = []
-        for doc, row, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("spans").to_pylist(), strict=True):
-            body, kept, at = text.as_py() or b"", [], 0
-            runs = merge([(s["lo"], s["hi"]) for s in spans])
-            for lo, hi in runs:
-                kept.append(body[at:lo])
-                at = hi
+        spans = batch.column("spans")
+        every = spans.flatten()
+        own, lo, hi = merge(np.repeat(np.arange(len(spans)), pc.list_value_length(spans).to_numpy()), every.field("lo").to_numpy(), every.field("hi").to_numpy())
+        first = np.searchsorted(own, np.arange(len(spans) + 1)).tolist()
+        rows, size = [], 0
+        for i, (doc, row, packed) in enumerate(zip(*(batch.column(c) for c in ("doc_id", "row", "body")), strict=True)):
+            body, kept, at = z.decompress(packed.as_py()), [], 0
+            begin, end = lo[first[i] : first[i + 1]].tolist(), hi[first[i] : first[i + 1]].tolist()
+            for a, b in zip(begin, end, strict=True):
+                kept.append(body[at:a])
+                at = b
             kept.append(body[at:])
             left = b"".join(kept)
-            rows.append((doc, row, sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), left))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["doc_id", "row", "n_removed", "n_spans", "kept_sha256", "kept"])
+            rows.append((doc.as_py(), row.as_py(), sum(end) - sum(begin), len(end), hashlib.sha256(left).hexdigest(), left))
+            size += len(left) + 200
+            if size > SLICE:
+                yield out(rows)
+                rows, size = [], 0
+        if rows:
+            yield out(rows)
+    pa.default_memory_pool().release_unused()
 
 
 def _cut_rows(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    spans = materialize(spans, "merged")
-    with_text = semi_join(_identified(docs), spans.select("doc_id", "row"), ["doc_id", "row"]).join(spans, ["doc_id", "row"])
+    spans = materialize(spans, "merged", free=True)
+    texts = _identified(docs)
+    if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(spans.select("doc_id", "row")), ["doc_id", "row"], "left_semi")
+    with_text = texts.mapInArrow(_compress, _BODY).join(spans, ["doc_id", "row"])
     return with_text.mapInArrow(_cut, "doc_id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row"])
 
 
