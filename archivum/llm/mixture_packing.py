@@ -15,9 +15,10 @@ powers of two, so nothing is padded.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections import OrderedDict
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -185,16 +186,31 @@ class WordIds:
     def _whole(self, text: bytes) -> bytes:
         return np.array(self.library.encode(text.decode("utf-8"), add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _word(self, word: bytes) -> bytes:
+    def _parts(self, word: bytes) -> list[bytes] | None:
+        """The matches of the pattern in a lower-cased word; None if the library is to encode it."""
         found = self.SIMPLE.fullmatch(word)
         if found:
-            parts = [p for p in (found[1].lower(), found[2]) if p]
-        else:
-            text = word.decode("utf-8")
-            if self.BEYOND.search(text):
-                return self._whole(word)
-            parts = [p.encode() for p in self.PATTERN.findall(text.lower())]
-        return np.array([i for p in parts for i in self.fast(p + self.END)], self.kind).tobytes()
+            return [p for p in (found[1].lower(), found[2]) if p]
+        text = word.decode("utf-8")
+        if self.BEYOND.search(text):
+            return None
+        text = text.lower()
+        return [text.encode()] if text.isalpha() else [p.encode() for p in self.PATTERN.findall(text)]
+
+    def _learn(self, words: Iterable[bytes]) -> None:
+        """Put the ids of new words into the cache; in texts of many rare words this is where the time goes."""
+        cache, fast, end, width = self.cache, self.fast, self.END, self.kind[1:]
+        code = {"u2": "H", "u4": "I"}[width]
+        packs = [struct.Struct(f"<{n}{code}").pack for n in range(16)]
+        for w in words:
+            if w.isalpha():  # of bytes: ASCII letters alone
+                ids = fast(w.lower() + end)
+            elif (parts := self._parts(w)) is None:
+                cache[w] = self._whole(w)
+                continue
+            else:
+                ids = fast(parts[0] + end) if len(parts) == 1 else [i for p in parts for i in fast(p + end)]
+            cache[w] = packs[len(ids)](*ids) if len(ids) < 16 else np.array(ids, self.kind).tobytes()
 
     def of(self, text: bytes) -> bytes:
         if any(s in text for s in self.special):
@@ -202,9 +218,8 @@ class WordIds:
         cache, words = self.cache, text.split()
         if len(cache) > CACHE:
             cache.clear()
-        for w in set(words):
-            if w not in cache:
-                cache[w] = self._word(w)
+        if new := set(words).difference(cache):
+            self._learn(new)
         return b"".join(map(cache.__getitem__, words))
 
 

@@ -83,3 +83,20 @@ def test_merged_spans():
     got = substring_dedup.merge(row, lo.astype(np.int32), hi.astype(np.int32))
     assert list(zip(*(x.tolist() for x in got), strict=True)) == want
     assert [len(x) for x in substring_dedup.merge(row[:0], lo[:0], hi[:0])] == [0, 0, 0]
+
+
+def test_new_words_of_letters_need_no_pattern():
+    """Most new words of a corpus are letters alone: they go to the ranks at once, with the library's ids."""
+    import public_tokenizers as public
+
+    from archivum.llm.mixture_packing import WordIds
+
+    ids = WordIds(public.path("word_bpe_49k.json"))
+    mixed = "don't I'LL we've. 'tis a1b2 İx ſa ªºµ 1²½ 中文 --- zé!? " + "A" * 3000
+    letters = "Abc dEf unheard " + "zé" * 900 + " éier ßŉ " + "q" * 70_000
+    for text in (mixed, letters, "", " "):
+        assert np.frombuffer(ids.of(text.encode()), ids.kind).tolist() == ids.library.encode(text, add_special_tokens=False).ids
+    want = ids.of(letters.encode())
+    ids.cache.clear()
+    ids.PATTERN = None
+    assert ids.of(letters.encode()) == want
