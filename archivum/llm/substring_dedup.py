@@ -29,11 +29,13 @@ LENGTH = 50
 GRAM = 20
 SIDE = LENGTH - GRAM
 #: Rows of surroundings that a task sorts at once.
-BATCH = 40_000
+BATCH = 10_000
 #: Different surroundings of one anchor that are held; further ones go on as windows.
 HELD = 100_000
-#: Bytes of a long text that are looked at together.
-SLICE = 1 << 20
+#: Bytes of texts, or of a long text, whose anchors are looked for together: a task needs some fifty bytes of arrays for each.
+SLICE = 1 << 18
+#: Bytes of texts whose equal surroundings are combined, and of cut texts that are put out together.
+GATHER = 1 << 20
 #: Tasks that the rows of a key go to which are known to be shared before they meet.
 SALTS = 1023
 #: Bits of an anchor's hash that say whether it is shared; texts that share no more than these are told apart by their bytes.
@@ -42,12 +44,17 @@ KEY = U((1 << 48) - 1)
 BUCKETS = 4
 #: Bytes of a packed anchor: six of the key, one that tells salted rows, eight of the id (its distance from the one before).
 WIDE = 15
-#: Anchors of unpacked blocks that are put out together.
-UNPACKED = 100_000
+#: Anchors of a bucket that are compared together; of a larger bucket only some keys at a time.
+UNPACKED = 500_000
+#: Rows of texts that are decoded together.
+DECODED = 500
 
 
 def anchors(part: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, position in it, hash) of the anchors of some texts; a long text is read in slices that share LENGTH - 1 bytes."""
+    if len(part) > 1 and sum(map(len, part)) > SLICE:
+        found = [(text + lo, at, h) for lo, _, some in chunks(pa.array(part, pa.binary()), SLICE) for text, at, h in [anchors(some)]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
     if len(part) == 1 and len(part[0]) > SLICE + LENGTH:
         found = [(at + lo, h) for lo in range(0, len(part[0]) - LENGTH + 1, SLICE) for _, at, h in [anchors([part[0][lo : lo + SLICE + LENGTH - 1]])]]
         at, h = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -132,39 +139,48 @@ def _anchor_blocks(buckets: int):
     return rows
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, salt, doc_id) of the blocks; salt: 1 if others of its chunk go where the key goes."""
-    for batch in batches:
-        blocks, size = [], 0
-        for i, block in enumerate(batch.column("block")):
-            blocks.append(block.as_py())
-            size += len(blocks[-1])
-            if size >= WIDE * UNPACKED or i + 1 == batch.num_rows:
-                key, salt, own = unpack(blocks)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(salt.astype(np.int32)), pa.array(own)], ["key", "salt", "doc_id"])
-                blocks, size = [], 0
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket -> (doc_id, key) of anchors that several texts have.
 
+    That is, of a bucket's rows, the salted ones and those whose key stands in another row without a salt.  Unpacking and
+    comparing are one function, so a task has one Python worker.
+    """
 
-def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, salt), those with a salt and those whose key stands in another row without; the last one waits."""
-    key, doc, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), False  # the waiting row, and whether its key was seen before it
+    def rows(blocks: list[bytes], turn: int, turns: int) -> list[np.ndarray]:
+        """(key, salted, doc_id) of the keys of a turn."""
+        found, lo, size = [], 0, 0
+        for i, block in enumerate(blocks):
+            size += len(block)
+            if size >= WIDE * UNPACKED or i + 1 == len(blocks):
+                some = unpack(blocks[lo : i + 1])
+                if turns > 1:
+                    mine = some[0] % turns == turn
+                    some = tuple(x[mine] for x in some)
+                found.append(some)
+                lo, size = i + 1, 0
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
+
+    def shared(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        turns = -(-sum(map(len, blocks)) // (WIDE * UNPACKED))
+        for turn in range(turns):
+            key, salted, own = rows(blocks, turn, turns)
+            plain = np.flatnonzero(salted == 0)
+            plain = plain[np.argsort(key[plain])]
+            same = key[plain[1:]] == key[plain[:-1]]
+            twice = np.zeros(len(plain), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            keep = np.concatenate((np.flatnonzero(salted), plain[twice]))
+            yield pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(key[keep])], ["doc_id", "key"])
+
+    bucket, blocks = None, []
     for batch in batches:
-        k, d, salt = (batch.column(c).to_numpy() for c in ("key", "doc_id", "salt"))
-        sure = np.flatnonzero(salt)
-        if len(sure):
-            yield pa.RecordBatch.from_arrays([pa.array(d[sure]), pa.array(k[sure])], ["doc_id", "key"])
-            k, d = k[salt == 0], d[salt == 0]
-        k, d = np.concatenate((key, k)), np.concatenate((doc, d))
-        if len(k) < 2:
-            key, doc = k, d
-            continue
-        same = k[1:] == k[:-1]
-        keep = np.concatenate(([linked], same)) | np.concatenate((same, [False]))
-        key, doc, linked = k[-1:], d[-1:], bool(keep[-1])
-        rows = np.flatnonzero(keep[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(d[rows]), pa.array(k[rows])], ["doc_id", "key"])
-    if linked:
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key)], ["doc_id", "key"])
+        for at, block in zip(batch.column("bucket").to_pylist(), batch.column("block"), strict=True):
+            if at != bucket:
+                yield from shared(blocks)
+                bucket, blocks = at, []
+            blocks.append(block.as_py())
+    yield from shared(blocks)
 
 
 _BODY = "doc_id long, row long, body binary"
@@ -214,7 +230,7 @@ def _surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         docs, rows, texts, keys, size = [], [], [], [], 0
         for doc, row, body, own in zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), batch.column("body"), batch.column("keys"), strict=True):
             text = z.decompress(body.as_py())
-            if texts and size + len(text) > SLICE:
+            if texts and size + len(text) > GATHER:
                 yield found(docs, rows, texts, keys)
                 docs, rows, texts, keys, size = [], [], [], [], 0
             docs.append(doc)
@@ -390,11 +406,11 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     single = anti_join(own, copies, ["doc_id", "row"])
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: blocks are small, what they hold isn't
-    blocks = single.mapInArrow(_anchor_blocks(BUCKETS * parts), "bucket int, block binary").repartition(parts, "bucket")
-    rows = blocks.mapInArrow(_anchor_rows, "key long, salt int, doc_id long").sortWithinPartitions("key")
-    keys = rows.mapInArrow(_several, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    blocks = single.mapInArrow(_anchor_blocks(BUCKETS * parts), "bucket int, block binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    keys = blocks.mapInArrow(_several, "doc_id long, key long").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
     bodies = single.mapInArrow(_compress, _BODY)
-    around = bodies.join(keys, "doc_id").mapInArrow(_surroundings, "key long, around binary, doc_id long, row long, at int, hi int")
+    # a merge join, as a broadcast would put two Python functions, and so two workers, into each task
+    around = bodies.join(keys.hint("merge"), "doc_id").mapInArrow(_surroundings, "key long, around binary, doc_id long, row long, at int, hi int")
     found = around.repartition("key").sortWithinPartitions("key", "around", "doc_id", "at").mapInArrow(_spans, _OUT)
     found = materialize(found, "spans", free=True)
     windows = found.where("window is not null")
@@ -426,7 +442,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left = b"".join(kept)
             rows.append((doc.as_py(), row.as_py(), sum(end) - sum(begin), len(end), hashlib.sha256(left).hexdigest(), left))
             size += len(left) + 200
-            if size > SLICE:
+            if size > GATHER:
                 yield out(rows)
                 rows, size = [], 0
         if rows:
@@ -439,7 +455,7 @@ def _cut_rows(docs: DataFrame, spans: DataFrame) -> DataFrame:
     texts = _identified(docs)
     if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(spans.select("doc_id", "row")), ["doc_id", "row"], "left_semi")
-    with_text = texts.mapInArrow(_compress, _BODY).join(spans, ["doc_id", "row"])
+    with_text = texts.mapInArrow(_compress, _BODY).join(spans.hint("merge"), ["doc_id", "row"])  # as in repeated_spans
     return with_text.mapInArrow(_cut, "doc_id long, row long, n_removed long, n_spans long, kept_sha256 string, kept binary").dropDuplicates(["doc_id", "row"])
 
 
@@ -484,7 +500,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(lo, DECODED) for b in batches for lo in range(0, b.num_rows, DECODED)):
             text = [t if k is None else k.decode("utf-8", "ignore") for t, k in zip(batch.column("text").to_pylist(), batch.column(ours["kept"]).to_pylist(), strict=True)]
             cols = [pa.array(text, pa.string()) if n == "text" else batch.column(n) for n in schema.names]
             yield pa.RecordBatch.from_arrays(cols, schema.names)

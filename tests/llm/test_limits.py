@@ -100,3 +100,69 @@ def test_new_words_of_letters_need_no_pattern():
     ids.cache.clear()
     ids.PATTERN = None
     assert ids.of(letters.encode()) == want
+
+
+def test_anchors_of_a_chunk_hold_few_arrays():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 2_000, dtype=np.uint8)) for _ in range(500)]
+    tracemalloc.start()
+    text, at, key = substring_dedup.anchors(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all at once took 72 MB
+    one = [substring_dedup.anchors([t]) for t in texts]
+    assert text.tolist() == np.repeat(np.arange(500), [len(a) for _, a, _ in one]).tolist()
+    assert at.tolist() == np.concatenate([a for _, a, _ in one]).tolist() and key.tolist() == np.concatenate([k for *_, k in one]).tolist()
+
+
+def test_keys_of_several_rows_are_told_bucket_by_bucket(monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(6)
+    key, own, salted = rng.integers(0, 3_000, 5_000, dtype=U), rng.integers(0, 900, 5_000), rng.random(5_000) < 0.2
+    times = Counter(key[~salted].tolist())
+    want = sorted((d, k) for d, k, s in zip(own.tolist(), key.tolist(), salted.tolist(), strict=True) if s or times[k] > 1)
+    packed = substring_dedup.pack(key % U(7), key, salted, own)
+    halves = [packed.slice(0, 3), packed.slice(3)]
+    for held in (500_000, 60):  # a bucket at once, and some of its keys at a time
+        monkeypatch.setattr(substring_dedup, "UNPACKED", held)
+        got = [x for out in substring_dedup._several(iter(halves)) for x in zip(out.column("doc_id").to_pylist(), out.column("key").to_pylist(), strict=True)]
+        assert sorted(got) == want
+    assert list(substring_dedup._several(iter([]))) == []
+
+
+def _python_functions_in_a_task(plan: str) -> int:
+    """The most Python functions, each with a worker of its own, that follow each other without an exchange."""
+    most, path = 0, []
+    for line in plan.split("== Final Plan ==")[-1].split("+- == Initial Plan ==")[0].splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        while path and path[-1][0] >= depth:
+            path.pop()
+        n = path[-1][1] if path else 0
+        n = 0 if "Exchange" in node.split("(")[0] else n + node.split(") ")[-1].startswith("MapInArrow")
+        path.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_tasks_have_one_python_worker(spark, monkeypatch):
+    plans = []
+
+    def run(df):
+        df.collect()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    def seen(df, name, **how):
+        if name in ("spans", "merged"):
+            run(df)
+        return materialize(df, name, **how)
+
+    monkeypatch.setattr(substring_dedup, "materialize", seen)
+    passage = "a passage that stands in each of the texts, longer than fifty bytes " * 2
+    docs = spark.createDataFrame([(i, f"{i} begins so, then comes {passage} and ends as {i * i}") for i in range(60)], "doc_id long, text string")
+    run(substring_dedup.without_repeats(docs))
+    assert len(plans) == 3
+    assert max(_python_functions_in_a_task(p) for p in plans) == 1  # were two, and so four workers in an executor of two cores
